@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from quillbank.llm import line_dedup, quality
+from quillbank.llm import bpe, decontam, line_dedup, minmax_dedup, quality
 
 QUERIES = {
+    "op1_minmax_dedup": minmax_dedup.op1,
     "op2_quality_rules": quality.op2,
+    "op4_decontamination": decontam.op4,
+    "op8_byte_bpe": bpe.op8,
     "op9_line_dedup": line_dedup.op9,
 }
 
 ORACLES = {
     "op2_quality_rules": quality.ORACLE,
+    "op4_decontamination": decontam.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
