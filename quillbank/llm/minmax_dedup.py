@@ -11,7 +11,8 @@ meet in a bucket. From there on:
 * What is still apart in a shared bucket is settled exactly by prefix filtering: sets whose rarest shingles do not meet
   cannot be similar. Only pairs of different components that share such a shingle are verified, so no link is lost.
 
-All sets, buckets, links and components stay in tables; joins on hot keys are left to adaptive skew handling.
+All sets, buckets, links and components stay in tables. Joins are sort-merge joins at every size, so that the plan does not
+change as tables grow and adaptive execution can split hot keys.
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        small = large.join(lowest.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen or not now[0]:
@@ -133,14 +134,14 @@ def components(edges: DataFrame) -> DataFrame:
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after joining the components that ``links`` (u, v: labels) connect."""
     found = components(links)
-    return cut(labels.join(found.select(F.col("node").alias("label"), "root"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+    return cut(labels.join(found.select(F.col("node").alias("label"), "root").hint("merge"), "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The rows of ``pairs`` (x, y, ...) whose full sets have 100 * intersection >= percent * union."""
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("_xs"))
     right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("_ys"))
-    both = pairs.join(left, "x").join(right, "y").withColumn("_shared", F.size(F.array_intersect("_xs", "_ys")).cast("long"))
+    both = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y").withColumn("_shared", F.size(F.array_intersect("_xs", "_ys")).cast("long"))
     return both.where(100 * F.col("_shared") >= percent * (F.size("_xs") + F.size("_ys") - F.col("_shared"))).select(*pairs.columns)
 
 
@@ -150,10 +151,10 @@ def _any(df: DataFrame) -> bool:
 
 def _apart(members: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
     """Members (key, node, label) of the buckets that hold more than one component, with a centre and its label."""
-    told = members.join(labels, "node")
+    told = members.join(labels.hint("merge"), "node")
     centre = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")))
     split = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("c")).where("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
-    return told.join(split, "key")
+    return told.join(split.hint("merge"), "key")
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -163,37 +164,37 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     order is by how many of these sets hold a shingle, so those that one set has alone come first and match nothing.
     Every pair of different components has a member outside the shingle's most common component; that side leads.
     """
-    each = sets.join(nodes, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    each = sets.join(nodes.hint("merge"), "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("f"))
     need = F.expr(f"CAST(n - CAST(ceil(n * {percent} / 100.0D) AS INT) + 1 AS INT)")
-    rare = each.join(often, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    rare = each.join(often.hint("merge"), "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
     first = rare.select("node", "n", F.explode(F.slice("all", F.lit(1), need)).alias("x")).where("x.f > 1").select("node", "n", "x.s")
-    posted = cut(first.join(labels, "node"))
+    posted = cut(first.join(labels.hint("merge"), "node"))
     main = posted.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("m.label").alias("main"))
-    some = posted.join(main, "s")
+    some = posted.join(main.hint("merge"), "s")
     lead = some.where("label <> main").select("s", F.col("node").alias("x"), F.col("label").alias("u"), F.col("n").alias("nx"), "main")
     other = some.select("s", F.col("node").alias("y"), F.col("label").alias("v"), F.col("n").alias("ny"))
     fits = (F.col("u") != F.col("v")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((F.col("v") == F.col("main")) | (F.col("x") < F.col("y")))
-    return lead.join(other, "s").where(fits).select("x", "y", "u", "v").distinct()
+    return lead.join(other.hint("merge"), "s").where(fits).select("x", "y", "u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are not read).
 
     Texts without words, null or empty, have no shingles and are linked with nothing. Equal texts are linked; rows that
-    repeat a doc_id with the same text fall into one component, whose least id they carry. doc_id is cast to a long and
-    must not be null. kept holds for the least doc_id of a component.
+    repeat a doc_id with the same text fall into one component, whose least id they carry. doc_id is cast to a long; a row
+    without one takes part by its text but gets a null kept. kept holds for the least doc_id of a component.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = cut(_sketched(docs, width))
     classes = known.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("node"))
     classes = cut(classes)
-    firsts = known.join(classes.select("node"), F.col("doc_id") == F.col("node"), "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "a", "b"])
+    firsts = known.join(classes.select("node").hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "a", "b"])
     placed = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    members = cut(placed.join(shared, "key"))
+    members = cut(placed.join(shared.hint("merge"), "key"))
     nodes = cut(members.select("node").distinct())
-    texts = docs.join(nodes, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
+    texts = docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = cut(_sets(texts, width).dropDuplicates(["node"]))
     labels = nodes.select("node", F.col("node").alias("label"))
     for round_ in range(STAR_ROUNDS):
@@ -209,16 +210,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = cut(_verified(pairs, sets, percent).select("u", "v").distinct())
         if _any(links):
             labels = _relabel(labels, links)
-    named = classes.join(labels, "node", "left").select("n_shingles", "a", "b", F.coalesce("label", "node").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "a", "b").join(named, ["n_shingles", "a", "b"], "left")
+    named = classes.join(labels.hint("merge"), "node", "left").select("n_shingles", "a", "b", F.coalesce("label", "node").alias("component_id"))
+    out = known.select("doc_id", "n_shingles", "a", "b").join(named.hint("merge"), ["n_shingles", "a", "b"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of each group of near duplicates, with all their columns."""
+    """The rows of ``docs`` with the least doc_id of each group of near duplicates, with all their columns.
+
+    Rows without a doc_id stay.
+    """
     gone = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(cut(gone).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

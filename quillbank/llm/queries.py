@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillbank.llm import bpe, decontam, line_dedup, minmax_dedup, quality
+from quillbank.llm import bpe, ctw, decontam, line_dedup, minmax_dedup, quality
 
 QUERIES = {
     "op1_minmax_dedup": minmax_dedup.op1,
     "op2_quality_rules": quality.op2,
+    "op3_context_tree_score": ctw.op3,
     "op4_decontamination": decontam.op4,
     "op8_byte_bpe": bpe.op8,
     "op9_line_dedup": line_dedup.op9,
