@@ -30,15 +30,15 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """All columns of ``docs``, with ``text`` without the repeated lines, and ``n_lines`` and ``n_dropped``.
 
-    doc_id tells documents apart and has to be unique and not null, as in the documents table. A null text is one empty
-    line and comes back as the empty text; empty lines are never dropped. Columns of ``docs`` named n_lines or n_dropped
-    are replaced.
+    doc_id tells documents apart and has to be unique, as in the documents table; a row without one counts as a document
+    but keeps all its lines. A null text is one empty line and comes back as the empty text; empty lines are never
+    dropped. Columns of ``docs`` named n_lines or n_dropped are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.drop("n_lines", "n_dropped", "_bad").withColumn("text", F.coalesce("text", F.lit("")))
     frequent = cut(repeated_lines(docs, min_docs))
     placed = docs.select("doc_id", F.posexplode(line_hashes()).alias("pos", "h")).where("h IS NOT NULL").select("doc_id", "pos", "h.a", "h.b")
     bad = cut(placed.join(frequent, ["a", "b"]).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_bad")))
-    joined = docs.join(bad, "doc_id", "left")
+    joined = docs.join(bad.hint("merge"), "doc_id", "left")  # one plan at every size
     kept = """CASE WHEN _bad IS NULL THEN text ELSE element_at(transform(array(split(text, '\\n')), lines ->
         element_at(transform(array(concat(array(-1), _bad, array(size(lines)))), b ->
           concat_ws('\\n', flatten(transform(slice(b, 1, size(b) - 1), (x, i) -> slice(lines, x + 2, b[i + 1] - x - 1))))), 1)), 1) END"""
