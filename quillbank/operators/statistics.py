@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillbank.session import dense_index
+
 
 def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
     """num / den; ``empty`` where den is 0 or null."""
@@ -49,7 +51,10 @@ def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFr
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str, order: str) -> DataFrame:
     """Mann-Whitney AUC from 1-based places by score, ``order`` deciding ties; 0.5 where a class is missing."""
-    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(score, order)))
+    if keys:
+        placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(score, order)))
+    else:  # one order of all rows: by range partitions, not in one task
+        placed = dense_index(df, score, order, name="_place").withColumn("_place", F.col("_place") + 1)
     pos, all_ = F.sum(label).cast("double"), F.count(F.lit(1)).cast("double")
     sums = F.sum(F.when(F.col(label) == 1, F.col("_place")).otherwise(0)).cast("double")
     value = (sums - pos * (pos + 1) / 2) / F.nullif(pos * (all_ - pos), F.lit(0.0))
