@@ -346,7 +346,8 @@ def strata_round_robin(items, budget: int, least: float = 0.15, strata: int = 6)
     last = placed.agg(F.max("r")).first()[0] or 0
     wanted = [int(s / strata * last) for s in range(1, strata)]
     edges = F.broadcast(placed.where(F.col("r").isin(wanted)).agg(F.collect_list(F.struct("r", "b")).alias("e")))  # one row
-    values = F.array(*[F.get(F.filter("e", lambda x, w=w: x["r"] == w), F.lit(0))["b"] for w in wanted])
+    at = lambda r: F.get(F.filter("e", lambda x: x["r"] == r), F.lit(0))["b"]
+    values = F.array(*map(at, wanted))
     told = placed.crossJoin(edges).withColumn("stratum", F.size(F.filter(values, lambda x: x < F.col("b"))).cast("bigint"))
     best = told.withColumn("round", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("a"), "id")).cast("bigint")).where(F.col("round") <= budget)
     return best.orderBy("round", "stratum").limit(budget).select("id", "stratum", "round")

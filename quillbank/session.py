@@ -43,6 +43,6 @@ def dense_index(df: DataFrame, *order, name: str = "id") -> DataFrame:
     for p, n in counts:
         offsets.append((p, total))
         total += n
-    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "p bigint, _offset bigint")
+    table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part bigint, _offset bigint")
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("p", part).join(F.broadcast(table), "p").withColumn(name, F.col("_offset") + within).drop("_at", "_offset", "p")
+    return placed.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn(name, F.col("_offset") + within).drop("_at", "_offset", "_part")
