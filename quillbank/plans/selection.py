@@ -56,9 +56,10 @@ def w11(spark, d):
     return Q.k_center(pool, clusters, BUDGET).withColumn("score", F.round("score", 6))
 
 
-@query("w9_random_order")
+@query("w9_random_order", """WITH n AS (SELECT vec_id AS i, (20260706 + vec_id * 1831565813) & 4294967295 AS s FROM embeddings), a AS (SELECT i, ((xor(s, s >> 15)::HUGEINT * (s | 1)::HUGEINT) % 4294967296)::BIGINT AS t FROM n),
+m AS (SELECT i, xor((t + ((xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT) % 4294967296)::BIGINT) & 4294967295, t) AS m FROM a) SELECT i AS id, round(xor(m, m >> 14) / 4294967296.0, 9) AS u FROM m ORDER BY xor(m, m >> 14), i LIMIT 10""")
 def w9(spark, d):
-    return Q.random_order(items(spark, d)[0], BUDGET, 20260706)
+    return Q.random_order(items(spark, d)[0], BUDGET, 20260706).withColumn("u", F.round("u", 9))
 
 
 @query("w12_cluster_representatives", f"WITH {CENTROIDS}, s AS (SELECT id, e.cid, round({DOT('v', 'centroid')}, 9) AS sim, id % 13 AS r FROM e JOIN k USING (cid)) SELECT cid, (SELECT id FROM s x WHERE x.cid = s.cid ORDER BY sim DESC, id LIMIT 1) AS medoid, (SELECT id FROM s x WHERE x.cid = s.cid ORDER BY r DESC, id LIMIT 1) AS most_realistic FROM s GROUP BY cid")
