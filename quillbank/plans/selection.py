@@ -11,7 +11,7 @@ from quillbank.functions import numbers as N
 from quillbank.operators import nearest as K
 from quillbank.operators import select as Q
 from quillbank.plans.registry import query, table
-from quillbank.plans.vectors import CENTROIDS, DOT, vectors
+from quillbank.plans.vectors import CENTROIDS, DOT, NEAREST, vectors
 
 BUDGET = 10
 ITEMS = CENTROIDS + f""", items AS MATERIALIZED (SELECT id, any_value(v) AS v, any_value(0.01 * (id % 13))::DOUBLE AS r, list({DOT('v', 'centroid')} ORDER BY k.cid) AS sims FROM e, k GROUP BY id), w AS MATERIALIZED (SELECT list(weight ORDER BY cid) AS w FROM k)"""
@@ -117,3 +117,26 @@ def p12(spark, d):
     shapes = F.array(F.lit("What is %s?"), F.lit("Which %s is best?"), F.lit("Is %s worth it?"))
     filled = F.replace(F.element_at(shapes, (F.col("place") % 3 + 1).cast("int")), F.lit("%s"), F.col("p_name"))
     return top.select(F.lit("keyword").alias("method"), "place", F.col("p_name").alias("q")).unionByName(top.select(F.lit("template").alias("method"), "place", filled.alias("q")))
+
+
+@query("p11_coverage_curve", f"""WITH {NEAREST}, p AS (SELECT place, id FROM ({greedy_sql(0.35)})), h AS (SELECT n, cid FROM p JOIN a USING (id), range(1, {BUDGET} + 1) r(n) WHERE place <= n GROUP BY n, cid)
+SELECT n, round(sum(weight) / (SELECT sum(weight) FROM k), 6) AS coverage FROM h JOIN k USING (cid) GROUP BY n""")
+def p11(spark, d):
+    """Weighted coverage of the clusters by the first n picks of one greedy order, for every budget."""
+    pool, clusters = items(spark, d)
+    picks = Q.facility(pool, clusters, BUDGET).select("place", "id")
+    chosen = pool.join(F.broadcast(picks), "id")
+    near = K.nearest(chosen.select("id", "v"), clusters).join(picks, "id")
+    budgets = near.withColumn("n", F.explode(F.sequence("place", F.lit(BUDGET).cast("bigint")))).select("n", "cid").distinct()
+    total = clusters.agg(F.sum("weight").alias("total"))
+    covered = budgets.join(clusters.select("cid", "weight"), "cid").groupBy("n").agg(F.sum("weight").alias("w"))
+    return covered.crossJoin(F.broadcast(total)).select("n", F.round(F.col("w") / F.col("total"), 6).alias("coverage"))
+
+
+@query("p15_bank_run", f"WITH {NEAREST} SELECT own % 3 AS vertical, count(*) AS keywords, count(DISTINCT own) AS clusters, round(avg((cid = own)::INT), 6) AS own_nearest, round(avg(sim), 6) AS mean_sim FROM a GROUP BY 1")
+def p15(spark, d):
+    """The cluster stage's figures for each vertical in one pass: the loop over verticals is a grouping key."""
+    v = vectors(spark, d)
+    told = K.nearest(v.select("id", "v"), K.centroids(v)).join(v.select("id", F.col("cid").alias("own")), "id")
+    same = F.when(F.col("cid") == F.col("own"), 1.0).otherwise(0.0)
+    return told.groupBy((F.col("own") % 3).alias("vertical")).agg(F.count("*").alias("keywords"), F.count_distinct("own").alias("clusters"), F.round(F.avg(same), 6).alias("own_nearest"), F.round(F.avg("sim"), 6).alias("mean_sim"))
