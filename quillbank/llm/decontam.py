@@ -10,7 +10,6 @@ positions (every SAMPLE-th and each run's start, so that no walk meets a separat
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from itertools import repeat
@@ -333,7 +332,3 @@ d_found AS (SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 
 ORACLE = f"""WITH {hits_sql()} SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_hit AS BIGINT) AS n_hit, CAST(len(items) AS BIGINT) AS n_items,
 sha256(array_to_string(items, ',')) AS items_sha256, len(items) >= 2 AS contaminated FROM d_found"""
-
-
-def sha_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -8,8 +8,6 @@ Viterbi gives the likeliest states of a transcript. Turns are then rendered cano
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -202,7 +200,3 @@ def op6(spark, sf_dir: str) -> DataFrame:
         "conv_id", F.col("block").cast("long").alias("block"), (fold_remainder(F.col("conv_id"), 4) == 2).alias("held_out"), F.size("true_roles").cast("long").alias("n_turns"),
         F.size("turns").cast("long").alias("n_found"), right.cast("long").alias("n_right"), F.concat_ws(",", F.transform("turns", lambda t: t["role"])).alias("roles"), F.sha2("rendered", 256).alias("rendered_sha256"),
     )
-
-
-def digest(turns: list[tuple[str, str]]) -> str:
-    return hashlib.sha256(render(turns).encode()).hexdigest()
