@@ -10,7 +10,8 @@ windows have equal triggers wherever they are, and repeated text falls into equa
 * Second pass: the dictionary of the phrases at those triggers with the first document of each. Further documents with an
   equal phrase lose all its windows.
 * Third pass: a trigger with several phrases of different documents (the edges of a repeated passage) is settled window
-  by window, over the dictionary's phrases alone: their first documents stand for all others.
+  by window, over the dictionary's phrases alone: their first documents stand for all others. Equal windows of one chunk
+  are settled where they are read, so of a very common one each chunk sends one row; the rest meet in sorted order.
 
 Order among strings of bounded length serves only to find equals here, so 64-bit hashes of phrases and windows take the
 place of the suffix arrays of dictionary and parse: rows on a hot key can then be aggregated before they are shuffled,
@@ -21,18 +22,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbank.llm.shared import cut, mix64, read, reclaim, ship
+from quillbank.llm.shared import cut, discard, mix64, read, reclaim, ship
 
 LENGTH, TRIGGER = 50, 16
 CHUNK = 1 << 21
 #: Size of the bit tables, in bits as a power of two: 16 MB, whatever the input.
 TABLE_BITS = 27
+#: Words of 64 bits in a row that brings a part of a table to the driver, as a power of two.
+PACKED = 13
+#: Turns in which the third pass takes its windows, a share of the hashes each: what it shuffles at once is that much less.
+TURNS = 2
 
 _random = np.random.default_rng(50)
 BYTE = _random.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,11 +144,19 @@ def _long(x: np.ndarray) -> pa.Array:
 def _bits(keys: DataFrame) -> np.ndarray:
     """A table of 2 ** TABLE_BITS bits with one set for each row's ``key``, as 64-bit words; its size bounds what is collected."""
     slot = F.col("key").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, CAST(key & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    got = words.toPandas()
-    table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    return table.view(np.uint64)
+    words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr("shiftleft(1L, CAST(key & 63 AS INT))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+
+    def pack(block: pa.Table) -> pa.Table:
+        at = block.column("w").to_numpy()
+        part = np.zeros(1 << PACKED, np.int64)
+        part[at & ((1 << PACKED) - 1)] = block.column("b").to_numpy()
+        return pa.table({"block": pa.array([int(at[0]) >> PACKED], pa.int32()), "bits": pa.array([part.tobytes()], pa.binary())})
+
+    packed = words.withColumn("block", F.shiftright("w", PACKED)).groupBy("block").applyInArrow(pack, "block int, bits binary")
+    table = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
+    for row in packed.toLocalIterator():  # a partition's blocks at a time
+        table[row["block"] << PACKED : (row["block"] + 1) << PACKED] = np.frombuffer(row["bits"], np.uint64)
+    return table
 
 
 def _in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -174,8 +188,10 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             several = np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
             yield pa.RecordBatch.from_arrays([_long(keys[first]), pa.array(1 + several.astype(np.int32))], names=["key", "n"])
 
-    shared = docs.mapInArrow(triggers, "key bigint, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    held = spark.sparkContext.broadcast(_bits(shared))
+    def in_two(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+
+    held = spark.sparkContext.broadcast(_bits(in_two(docs.mapInArrow(triggers, "key bigint, n int"))))
     reclaim(spark)
 
     def phrases(batches):
@@ -185,29 +201,67 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["trigger", "phrase", "doc_id", "start", "windows"])
 
     found = cut(docs.mapInArrow(phrases, "trigger bigint, phrase bigint, doc_id bigint, start bigint, windows int"))
+    held.destroy()
     dictionary = cut(found.groupBy("trigger", "phrase").agg(F.min("doc_id").alias("first")))
-    edges = dictionary.groupBy("trigger").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("trigger")
+    reclaim(spark)
     told = cut(found.join(dictionary.hint("merge"), ["trigger", "phrase"]).select("trigger", "doc_id", "start", "windows", (F.col("doc_id") > F.col("first")).alias("later")))
+    discard(spark, found)
     reclaim(spark)
-    open_ = told.where("NOT later").join(edges.hint("merge"), "trigger", "left_semi").select("doc_id", "start")
 
     def places(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([_long(_place(batch.column("doc_id").to_numpy(), batch.column("start").to_numpy()) >> np.uint64(1))], names=["key"])
 
-    wanted = spark.sparkContext.broadcast(_bits(open_.mapInArrow(places, "key bigint")))
+    def unsettled() -> DataFrame:
+        edges = dictionary.groupBy("trigger").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("trigger")
+        return told.where("NOT later").join(edges.hint("merge"), "trigger", "left_semi").select("doc_id", "start").mapInArrow(places, "key bigint")
+
+    wanted = spark.sparkContext.broadcast(_bits(unsettled()))
+    discard(spark, dictionary)
     reclaim(spark)
 
-    def windows(batches):
+    def windows(batches, turn: int):
+        """Of equal windows of one chunk only those of its least document go on; the others are settled here (``sure``)."""
         for ids, parse in _parsed(batches, length):
             some = np.flatnonzero(_in_table(wanted.value, _place(ids[parse.document], parse.start) >> np.uint64(1)))
             hashes, document, start = parse.windows(some)
-            yield pa.RecordBatch.from_arrays([_long(hashes), _long(ids[document]), _long(start)], names=["window", "doc_id", "start"])
-
-    each = cut(docs.mapInArrow(windows, "window bigint, doc_id bigint, start bigint"))
-    earliest = each.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    single = each.join(earliest.hint("merge"), "window").where("doc_id > first").select("doc_id", "start", F.lit(1).alias("windows"))
-    return told.where("later").select("doc_id", "start", "windows").unionByName(single)
+            now = hashes % np.uint64(TURNS) == turn
+            if not now.any():
+                continue
+            hashes, own, start = hashes[now], ids[document[now]], start[now]
+            order = np.lexsort((own, hashes))
+            hashes, own, start = hashes[order], own[order], start[order]
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            sure = own > own[np.flatnonzero(new)][np.cumsum(new) - 1]
+            key = np.where(sure, _place(own, start), hashes)  # settled rows go anywhere; their start is told as -1 - start
+            yield pa.RecordBatch.from_arrays([_long(key), _long(own), _long(np.where(sure, -1 - start, start))], names=["window", "doc_id", "start"])
+
+    def settle(batches):
+        """Over rows in the order of window and doc_id: those whose window an earlier row of smaller doc_id has."""
+        at, first = None, 0
+        for batch in batches:
+            window, own, start = (batch.column(c).to_numpy() for c in ("window", "doc_id", "start"))
+            if not len(window):
+                continue
+            sure, start = start < 0, np.where(start < 0, -1 - start, start)
+            open_ = np.flatnonzero(~sure)
+            later = sure.copy()
+            if len(open_):
+                new = np.concatenate([[at is None or window[open_[0]] != at], window[open_][1:] != window[open_][:-1]])
+                firsts = np.concatenate([[first], own[open_[new]]])[np.cumsum(new)]
+                later[open_] = own[open_] > firsts
+                at, first = window[open_[-1]], firsts[-1]
+            some = np.flatnonzero(later)
+            yield pa.RecordBatch.from_arrays([_long(own[some]), _long(start[some]), pa.array(np.ones(len(some), np.int32))], names=["doc_id", "start", "windows"])
+
+    out = told.where("later").select("doc_id", "start", "windows")
+    for turn in range(TURNS):
+        each = docs.mapInArrow(partial(windows, turn=turn), "window bigint, doc_id bigint, start bigint")
+        single = cut(each.repartition("window").sortWithinPartitions("window", "doc_id").mapInArrow(settle, "doc_id bigint, start bigint, windows int"))
+        del each
+        reclaim(spark)
+        out = out.unionByName(single)
+    return out
 
 
 def spans_of(start: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:

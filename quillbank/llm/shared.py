@@ -53,6 +53,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` made and that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def reclaim(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished stages now rather than at the next chance collection."""
     gc.collect()
