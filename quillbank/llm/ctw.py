@@ -247,6 +247,7 @@ def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES) -> Dat
     held = cut(rows.drop("doc_id").groupBy("shard").applyInArrow(gather, "shard int, kind tinyint, key bigint, n bigint"))
     reclaim(spark)
     model = cut(held.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("*").alias("in_shards")))
+    reclaim(spark)
     total, distinct = model.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pairs = model.where("kind = 1").select("key", "n")
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 1_000_000 + 1)
@@ -267,7 +268,9 @@ def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES) -> Dat
 
     known = pairs.groupBy("g").applyInArrow(lower, "kind tinyint, key bigint, value double")
     words = model.where("kind = 0 AND in_shards > 1").select("kind", "key", F.col("n").cast("double").alias("value"))  # others have their shard's own count
-    told = held.select("shard", "kind", "key").join(cut(known.unionByName(words)).hint("merge"), ["kind", "key"])
+    values = cut(known.unionByName(words))
+    reclaim(spark)
+    told = held.select("shard", "kind", "key").join(values.hint("merge"), ["kind", "key"])
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score_shard(left, right, int(total), int(distinct))
