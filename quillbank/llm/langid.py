@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from quillbank.llm.shared import fold_remainder, read, ship
 
 SAMPLE, PIECE = 256, 500
+#: Languages that a model may have; more are an error, as each costs a compression of every text.
+LANGUAGES = 1000
 LEVEL = 3
 #: Share of the best size by which the second best must be larger for a prediction not to be rejected.
 MARGIN = 0.01
@@ -43,13 +45,17 @@ def dictionaries(docs: DataFrame, train: Column, sample: int = SAMPLE, piece: in
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
     hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substr("text", F.greatest(F.lit(1), F.floor((F.length("text") - piece) / 2).cast("int")), F.lit(piece)).alias("piece"))
     # About three times the sample falls below the bound; copies count once, so a text with many rows is one row here.
-    size = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n"), F.count("*").alias("rows"))
-    low = hashed.join(size, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 3.0 * sample)
+    size = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n"), F.count("*").alias("rows")).limit(LANGUAGES + 1).collect()
+    if len(size) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not size:
+        return {}
+    rows_of = {r["lang"]: r["rows"] for r in size}
+    share = F.create_map(*[F.lit(x) for r in size for x in (r["lang"], 3.0 * sample / r["n"])])[F.col("lang")]
+    low = hashed.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share)
     found = defaultdict(list)
-    rows_of = {}
-    for r in low.groupBy("lang", "rows", "h").agg(F.min("piece").alias("piece")).collect():
+    for r in low.groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect():
         found[r["lang"]].append((r["h"], r["piece"]))
-        rows_of[r["lang"]] = r["rows"]
     return {lang: (b"\n".join(normal(p) for _, p in sorted(found[lang])[:sample]), rows_of[lang]) for lang in sorted(found)}
 
 
