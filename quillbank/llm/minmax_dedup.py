@@ -27,7 +27,7 @@ from quillbank.llm.shared import cut, mix64, read, ship
 
 PERMUTATIONS, ROWS = 144, 6
 BANDS = 2 * PERMUTATIONS // ROWS
-STAR_ROUNDS = 3
+STAR_ROUNDS = 6
 #: Shingles that are sketched together, so that they stay in a core's cache.
 BLOCK = 100_000
 
@@ -162,19 +162,22 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent:
 
     With shingles in one order for all, two sets of the given similarity share one of the first n - ceil(t n) + 1. The
     order is by how many of these sets hold a shingle, so those that one set has alone come first and match nothing.
-    Every pair of different components has a member outside the shingle's most common component; that side leads.
+    At the first shingle that two sets share, what is left of either bounds their intersection from above; a row on which
+    that bound is too low is not the first shared one of a similar pair, and is not made. Every pair of different
+    components has a member outside the shingle's most common component; that side leads.
     """
     each = sets.join(nodes.hint("merge"), "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("f"))
     need = F.expr(f"CAST(n - CAST(ceil(n * {percent} / 100.0D) AS INT) + 1 AS INT)")
     rare = each.join(often.hint("merge"), "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
-    first = rare.select("node", "n", F.explode(F.slice("all", F.lit(1), need)).alias("x")).where("x.f > 1").select("node", "n", "x.s")
+    first = rare.select("node", "n", F.posexplode(F.slice("all", F.lit(1), need)).alias("at", "x")).where("x.f > 1").select("node", "n", (F.col("n") - F.col("at")).alias("left"), "x.s")
     posted = cut(first.join(labels.hint("merge"), "node"))
     main = posted.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("m.label").alias("main"))
     some = posted.join(main.hint("merge"), "s")
-    lead = some.where("label <> main").select("s", F.col("node").alias("x"), F.col("label").alias("u"), F.col("n").alias("nx"), "main")
-    other = some.select("s", F.col("node").alias("y"), F.col("label").alias("v"), F.col("n").alias("ny"))
-    fits = (F.col("u") != F.col("v")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & ((F.col("v") == F.col("main")) | (F.col("x") < F.col("y")))
+    lead = some.where("label <> main").select("s", F.col("node").alias("x"), F.col("label").alias("u"), F.col("n").alias("nx"), F.col("left").alias("lx"), "main")
+    other = some.select("s", F.col("node").alias("y"), F.col("label").alias("v"), F.col("n").alias("ny"), F.col("left").alias("ly"))
+    enough = (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))  # intersection >= t / (1 + t) of both sizes
+    fits = (F.col("u") != F.col("v")) & enough & ((F.col("v") == F.col("main")) | (F.col("x") < F.col("y")))
     return lead.join(other.hint("merge"), "s").where(fits).select("x", "y", "u", "v").distinct()
 
 
