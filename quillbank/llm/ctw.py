@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillbank.llm.shared import LongMap, cut, fold_remainder, read, reclaim, ship
 
-DEPTH = 4
+DEPTH = 7  # with the byte itself, what a 64-bit key holds
 SHARD_BYTES = 12_000_000
 CHUNK_BYTES = 2_000_000
 EDGE = b"\xff"  # not in UTF-8: stands before the text DEPTH times and after it once

@@ -77,6 +77,12 @@ def test_scores_equal_the_recursion(spark):
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), abs=1e-9)
 
 
+def test_contexts_longer_than_a_short_word_count(spark):
+    texts = ["Qabcde1", "Zabcde2"] * 20 + ["Qabcde1", "Qabcde2"]  # only the sixth byte back tells what follows
+    got = {r.doc_id: r.score for r in ctw.score(frame(spark, [(i, t, i < 40, None) for i, t in enumerate(texts)]), F.col("keep")).collect()}
+    assert got[40] > got[41] + 1
+
+
 def test_odd_rows(spark):
     rows = [(None, "a", None, None), (1, None, True, "q"), (1, None, True, "q"), (2, "x" * 50_000, False, None)]
     got = ctw.score(frame(spark, rows), F.col("keep")).collect()
