@@ -37,16 +37,17 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items as rows of word codes, and the items of each."""
+    """The distinct windows of some items as rows of word codes, and the distinct items of each; an item may have several rows."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
         rows: dict[tuple[int, ...], set[int]] = {}
-        self.items = [i for i, _ in items]
-        for n, (_, text) in enumerate(items):
+        self.items = sorted({i for i, _ in items})
+        place = {i: n for n, i in enumerate(self.items)}
+        for item, text in items:
             codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             for i in range(max(len(codes) - window, 0) + 1 if codes else 0):
-                rows.setdefault(tuple(codes[i : i + window]), set()).add(n)
+                rows.setdefault(tuple(codes[i : i + window]), set()).add(place[item])
         self.lengths = np.array([len(r) for r in rows], np.int64)
         self.codes = np.zeros((len(rows), window), np.int64)  # aligned to the right, for the search from the end
         for k, r in enumerate(rows):
@@ -298,12 +299,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, win
         return found.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)
     marked = cut(scan(docs, benchmark, window, block_bytes).select("doc_id", F.col("items").alias("_items"), F.col("spans").alias("_spans")))
     joined = docs.join(marked, "doc_id").where(F.size("_items") < min_items).drop("_items")
+    columns = docs.columns
 
     def run(batches):
         for batch in batches:
             spans = batch.column("_spans").to_pylist()
             texts = [without_spans(t, [(x["begin"], x["end"]) for x in s]) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], names=docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
 
     return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
 

@@ -58,3 +58,13 @@ def test_cleaning_and_odd_tables(spark):
         assert got == {1: ("Before. ! After", 7), 2: ("clean text", 8)}
     assert D.decontaminate(docs, bench.limit(0)).count() == 4 and D.decontaminate(docs.limit(0), bench).count() == 0
     assert D.without_spans("a, bé-c d", [(1, 3)]) == "a,  d"
+
+
+def test_an_item_in_several_rows_counts_once(spark):
+    passage, other = "one two three four five six seven eight nine", "red green blue black white grey brown pink"
+    docs = spark.createDataFrame([(1, f"{passage} and {other}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage), (7, passage), (7, other)], "item_id long, text string")
+    for blocks in (10**7, 64):
+        found = D.scan(docs, bench, block_bytes=blocks).first()
+        assert (found["items"], found["n_hit"]) == (["7"], 17)
+        assert [r.text for r in D.decontaminate(docs, bench, block_bytes=blocks).collect()] == [" and "]
