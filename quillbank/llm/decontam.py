@@ -268,22 +268,38 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """doc_id, n_words, n_hit, items (ids as sorted strings) and spans (merged, of word places) for each document.
 
     Null and empty texts have no words and no hits; null items or item ids and items without words match nothing; an
-    empty benchmark gives no hits. Where the benchmark needs more than one block, doc_id has to be unique: the blocks'
-    findings are merged by it. Extra columns are not read.
+    empty benchmark gives no hits. Every row gives one row, repeated ones and those without a doc_id too. Extra columns
+    are not read.
     """
-    found = [_search(docs.select("doc_id", "text"), w, False) for w in _blocks(benchmark, window, block_bytes)]
-    if len(found) == 1:
-        return found[0]
+    docs, blocks = docs.select("doc_id", "text"), list(_blocks(benchmark, window, block_bytes))
+    if len(blocks) == 1:
+        return _search(docs, blocks[0], False)
+    return _merged(_keyed(docs), blocks).drop(ROW)
+
+
+#: Tells rows apart where the findings of several blocks are merged.
+ROW = "_decontam_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ROW, written so that every later read sees the same keys."""
+    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _merged(keyed: DataFrame, blocks: list[Windows]) -> DataFrame:
+    """All columns of ``keyed`` but text, n_words, n_hit, items and spans: what the blocks find, one row for each ROW."""
+    kept = [c for c in keyed.columns if c != "text"]
+    found = [_search(keyed, w, False) for w in blocks]
     rows = found[0]
     for x in found[1:]:
         rows = rows.unionByName(x)
-    merged = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = rows.groupBy(*kept).agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     fold = """aggregate(spans, CAST(array() AS array<struct<begin:bigint,end:bigint>>), (a, x) ->
         CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.begin
         THEN concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, x.end))))
         ELSE concat(a, array(x)) END)"""
     merged = merged.withColumn("spans", F.expr(fold))
-    return merged.select("doc_id", "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.begin)").alias("n_hit"), "items", "spans")
+    return merged.select(*kept, "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.begin)").alias("n_hit"), "items", "spans")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -297,8 +313,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, win
         found = _search(docs.withColumnsRenamed({c: f"_own_{c}" for c in clash}), blocks[0], True)
         found = found.where(F.size("items") < min_items).drop("n_words", "n_hit", "items", "spans")
         return found.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)
-    marked = cut(scan(docs, benchmark, window, block_bytes).select("doc_id", F.col("items").alias("_items"), F.col("spans").alias("_spans")))
-    joined = docs.join(marked, "doc_id").where(F.size("_items") < min_items).drop("_items")
+    keyed = _keyed(docs)
+    marked = cut(_merged(keyed.select(ROW, "text"), blocks).select(ROW, F.col("items").alias("_items"), F.col("spans").alias("_spans")))
+    joined = keyed.join(marked, ROW).where(F.size("_items") < min_items).drop("_items")
     columns = docs.columns
 
     def run(batches):

@@ -68,3 +68,15 @@ def test_an_item_in_several_rows_counts_once(spark):
         found = D.scan(docs, bench, block_bytes=blocks).first()
         assert (found["items"], found["n_hit"]) == (["7"], 17)
         assert [r.text for r in D.decontaminate(docs, bench, block_bytes=blocks).collect()] == [" and "]
+
+
+def test_every_row_stays_whatever_the_blocks(spark):
+    a, b = "one two three four five six seven eight nine", "red green blue black white grey brown pink"
+    rows = [(None, "clean"), (None, f"x {a}"), (None, None), (1, f"{a} y"), (1, f"{a} y"), (1, f"{b} z"), (2, f"{a} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, a), (8, b)], "item_id long, text string")
+    for blocks in (10**7, 64):
+        found = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in D.scan(docs, bench, block_bytes=blocks).collect()), key=str)
+        assert found == sorted([(None, 1, 0, []), (None, 10, 9, ["7"]), (None, 0, 0, []), (1, 10, 9, ["7"]), (1, 10, 9, ["7"]), (1, 9, 8, ["8"]), (2, 17, 17, ["7", "8"])], key=str)
+        kept = sorted((tuple(r) for r in D.decontaminate(docs, bench, block_bytes=blocks).collect()), key=str)
+        assert kept == sorted([(None, "clean"), (None, "x "), (None, None), (1, " y"), (1, " y"), (1, " z")], key=str)
