@@ -1,9 +1,10 @@
 """Line dedup across documents, in DataFrame expressions alone.
 
-Two narrow passes over the text: the first counts, for each hash of a normalised line, the documents that hold it; the
-second places the hashes that are over the threshold at their line positions. Only hashes and positions are shuffled on
-the line's key, both pre-aggregated or joined, so a line that a third of the documents hold is no hot spot. The text is
-shuffled once, by document, to be put together again from the slices between dropped positions.
+Two narrow passes over the text: the first counts, for each hash of a normalised line, the rows that hold it; the second
+places the hashes that may be over the threshold at their line positions, and only those are counted by distinct doc_id.
+Only hashes and positions are shuffled on the line's key, both pre-aggregated or joined, so a line that a third of the
+documents hold is no hot spot. The text is shuffled once, by a hash of doc_id and text, to be put together again from the
+slices between dropped positions.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from quillbank.llm.shared import LOWER, SPACES, UPPER, cut, read
 
 
+#: 128 bits of a row's doc_id and text, never null.
+ROW = ["_row_a", "_row_b"]
+
+
 def line_hashes() -> F.Column:
     """128 bits for each line of ``text``, null where the normalised line is empty."""
     key = lambda line: F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
@@ -30,15 +35,18 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """All columns of ``docs``, with ``text`` without the repeated lines, and ``n_lines`` and ``n_dropped``.
 
-    doc_id tells documents apart and has to be unique, as in the documents table; a row without one counts as a document
-    but keeps all its lines. A null text is one empty line and comes back as the empty text; empty lines are never
+    Documents are counted by distinct doc_id, as in the SQL: rows of one doc_id count once, rows without one do not count.
+    Frequent lines are dropped from every row, repeated ones and those without a doc_id too. A null text is one empty line and comes back as the empty text; empty lines are never
     dropped. Columns of ``docs`` named n_lines or n_dropped are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_bad").withColumn("text", F.coalesce("text", F.lit("")))
-    frequent = cut(repeated_lines(docs, min_docs))
-    placed = docs.select("doc_id", F.posexplode(line_hashes()).alias("pos", "h")).where("h IS NOT NULL").select("doc_id", "pos", "h.a", "h.b")
-    bad = cut(placed.join(frequent, ["a", "b"]).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("_bad")))
-    joined = docs.join(bad.hint("merge"), "doc_id", "left")  # one plan at every size
+    docs = docs.drop("n_lines", "n_dropped", "_bad", *ROW).withColumn("text", F.coalesce("text", F.lit("")))
+    candidates = cut(repeated_lines(docs, min_docs))
+    keyed = docs.withColumns({ROW[0]: F.xxhash64("doc_id", "text"), ROW[1]: F.xxhash64(F.lit(1), "doc_id", "text")})  # equal rows share a key: their positions are the same
+    placed = keyed.select("doc_id", *ROW, F.posexplode(line_hashes()).alias("pos", "h")).where("h IS NOT NULL").select("doc_id", *ROW, "pos", "h.a", "h.b")
+    placed = cut(placed.join(candidates, ["a", "b"]))
+    frequent = placed.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    bad = cut(placed.join(frequent, ["a", "b"], "left_semi").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("_bad")))
+    joined = keyed.join(bad.hint("merge"), ROW, "left")  # one plan at every size
     kept = """CASE WHEN _bad IS NULL THEN text ELSE element_at(transform(array(split(text, '\\n')), lines ->
         element_at(transform(array(concat(array(-1), _bad, array(size(lines)))), b ->
           concat_ws('\\n', flatten(transform(slice(b, 1, size(b) - 1), (x, i) -> slice(lines, x + 2, b[i + 1] - x - 1))))), 1)), 1) END"""

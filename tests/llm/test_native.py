@@ -77,3 +77,10 @@ def test_lines(spark):
     alone = line_dedup.line_dedup(spark.createDataFrame([(None, "a\nb"), (None, "a\nb")], "doc_id long, text string"), min_docs=2).collect()
     assert [x.text for x in alone] == ["a\nb", "a\nb"]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_lines_of_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(1, "often\na"), (1, "often\na"), (1, "c\noften\nd"), (2, "b\noften"), (None, "often\nz"), (None, "often\nz"), (None, None), (3, "twice\ntwice"), (3, "twice\ntwice")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2).collect()
+    want = [(1, "a", 2, 1), (1, "a", 2, 1), (1, "c\nd", 3, 1), (2, "b", 2, 1), (None, "z", 2, 1), (None, "z", 2, 1), (None, "", 1, 0), (3, "twice\ntwice", 2, 0), (3, "twice\ntwice", 2, 0)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
