@@ -93,7 +93,7 @@ def frontier(p: np.ndarray, q: np.ndarray, scale: float = 5.0, points: int = 25)
     return float(np.clip(((x[1:] - x[:-1]) * (y[1:] + y[:-1]) / 2).sum(), 0, 1))
 
 
-def fit_2pl(succ: np.ndarray, trials: np.ndarray, steps: int = 1500, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_2pl(succ: np.ndarray, trials: np.ndarray, steps: int = 3000, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Discrimination and difficulty of items and ability of takers by Adam on the joint likelihood.
 
     Ability is standardised after every step; weak ridge terms hold the items. Nothing is random.
@@ -114,7 +114,7 @@ def fit_2pl(succ: np.ndarray, trials: np.ndarray, steps: int = 1500, rate: float
     return np.logaddexp(0, alpha), b, theta
 
 
-def irt(responses: DataFrame, key: str, steps: int = 1500) -> DataFrame:
+def irt(responses: DataFrame, key: str, steps: int = 3000) -> DataFrame:
     """key, item, a, b from long responses (key, item, taker, succ, trials); one independent fit for each key.
 
     The takers are a universe of bounded size chosen beforehand, so a key's matrix is small.

@@ -130,3 +130,16 @@ def test_csv_with_quotes_and_line_ends(spark):
     files.write_csv(spark.createDataFrame(rows, "i bigint, t string"), path)
     got = sorted((r.i, r.t or "") for r in files.read_csv(spark, path, "i bigint, t string").collect())
     assert got == rows
+
+
+def test_item_response_takes_the_steps_of_the_reference():
+    import numpy as np
+
+    from quillbank.operators import kernels
+
+    r = np.random.default_rng(0)
+    trials = r.integers(1, 9, (6, 8)).astype(float)
+    succ = np.floor(trials * r.random((6, 8)))
+    for got, want in zip(kernels.fit_2pl(succ, trials), kernels.fit_2pl(succ, trials, 3000), strict=True):
+        assert np.array_equal(got, want)
+    assert any(not np.array_equal(x, y) for x, y in zip(kernels.fit_2pl(succ, trials), kernels.fit_2pl(succ, trials, 1500), strict=True))
