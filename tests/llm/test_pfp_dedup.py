@@ -61,3 +61,29 @@ def test_odd_tables(spark):
     rows = [(None, "b" * 60, 1), (None, "b" * 60, 2), (2, "b" * 60, 3)]
     got = pfp_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, phrase int")).collect()
     assert len(got) == 3 and all(r.n_removed == 0 and bytes(r.kept) == b"b" * 60 for r in got)
+
+
+@pytest.mark.parametrize("hot", [0, 3, 100_000])
+def test_hot_triggers_go_window_by_window(spark, hot):
+    rows = rows_of(4) + [(600 + i, f"{i * 7919 % 1000} begins here, and this line is in a third of all documents, then ends {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r)[1:] for r in pfp_dedup.without_repeats(docs, digests=True, hot=hot, shard_bytes=2000).collect()}
+    assert got == brute(rows, 50)
+
+
+def test_repeated_rows_and_ids_and_other_columns(spark):
+    passage = "x".join(str(i) for i in range(40))
+    rows = [(7, passage, "a", 1), (7, passage, "b", 2), (9, "start " + passage, "c", 3), (9, "other text", "d", 4), (None, passage, "e", 5)]
+    got = sorted(pfp_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, shard string, kept int")).collect(), key=lambda r: r.shard)
+    assert [(r.doc_id, r.n_removed, r.shard) for r in got] == [(7, 0, "a"), (7, 0, "b"), (9, len(passage), "c"), (9, 0, "d"), (None, 0, "e")]
+    assert bytes(got[2].kept) == b"start " and [tuple(s) for s in got[2].spans] == [(6, 6 + len(passage))]
+
+
+def test_suffixes_in_order_of_their_first_bytes():
+    r = random.Random(5)
+    for length in (3, 8, 17, 50):
+        data = bytes(r.choice(b"ab") for _ in range(400))
+        begin = pfp_dedup.np.arange(400 - length + 1)
+        order, new = pfp_dedup.suffix_order(pfp_dedup.np.frombuffer(data, pfp_dedup.np.uint8), begin, length)
+        ordered = [data[i : i + length] for i in order.tolist()]
+        assert ordered == sorted(ordered) and new.tolist() == [i == 0 or a != ordered[i - 1] for i, a in enumerate(ordered)]
