@@ -5,10 +5,11 @@ Krichevsky-Trofimov counts; its weighted probability mixes, half and half, its o
 children's, so all depths take part. After training the mixture is fixed: a node's own estimate has the weight that the
 training text gives it, the rest goes to the child; the recursion ends at the deepest node that training has seen.
 
-How it is spread: documents form shards of some megabytes. A shard gives its distinct (context, byte) pairs and words with
-their training counts; these are summed over all shards, whatever their number. Pairs are then grouped by their nearest
-two context bytes, where whole subtrees are at hand, and the 256 x 255 nodes above are summed and sent to every group, a
-fixed size. Each shard gets back just the pairs and words that it holds. No model goes to the driver or to all executors.
+How it is spread: documents form shards of some megabytes (``packing``). A shard sends its distinct (context, byte) pairs
+and words with their training counts, as compressed blobs, to buckets of the nearest two context bytes, where whole
+subtrees are at hand. Counts of at most FAN shards are summed at a time, in as many levels as the shards need. The
+256 x 255 nodes above are summed and sent to every bucket, a fixed size. Each shard gets back the values of just the pairs
+and words that it sent, in its own order. No model goes to the driver or to all executors.
 """
 
 from __future__ import annotations
@@ -21,32 +22,35 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillbank.llm.shared import LongMap, cut, fold_remainder, read, reclaim, ship
+from quillbank.llm.packing import bucket_count, pack, raws_of, squeeze, unpack, unsqueeze
+from quillbank.llm.shared import LongMap, cut, fold_remainder, mix64, read, reclaim, ship
 
 DEPTH = 7  # with the byte itself, what a 64-bit key holds
-SHARD_BYTES = 12_000_000
+SHARD_BYTES = 16_000_000
 CHUNK_BYTES = 2_000_000
+#: Text for each bucket of pairs, and shards (then sums of shards) whose counts are summed together.
+BUCKET_BYTES, FAN = 4_000_000, 256
 EDGE = b"\xff"  # not in UTF-8: stands before the text DEPTH times and after it once
 END_WORD = xxhash.xxh3_64_intdigest(EDGE)
 HALF = math.log(0.5)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
+def word_hashes(raw: bytes) -> np.ndarray:
     """64 bits for each word in lower case and one for the end."""
-    words = text.encode().lower().split() if text else []
+    words = raw.lower().split()
     words.append(EDGE)
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def byte_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def byte_pairs(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all (context, byte) pairs, nearest context byte first and the byte last, and how many each text has."""
-    raw = [EDGE * DEPTH + (t.encode().lower() if t else b"") + EDGE for t in texts]
-    sizes = np.array([len(r) for r in raw], np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(EDGE * DEPTH + r.lower() + EDGE for r in raws), np.uint8)
+    sizes = np.array([len(r) + DEPTH + 1 for r in raws], np.int64)
     keys = np.zeros(len(data), np.uint64)
+    each = keys.view(np.uint8).reshape(-1, 8)  # little-endian: the byte comes first, the nearest context byte last
+    each[:, 0] = data
     for d in range(1, DEPTH + 1):
-        keys[d:] |= data[:-d] << np.uint64(8 * (DEPTH + 1 - d))
-    keys |= data
+        each[d:, 8 - d] = data[:-d]
     real = np.ones(len(data), bool)
     begins = np.cumsum(sizes) - sizes
     for d in range(DEPTH):
@@ -54,15 +58,15 @@ def byte_pairs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], sizes - DEPTH
 
 
-def _chunks(texts: list[str | None]):
+def _chunks(raws: list[bytes]):
     lo, total = 0, 0
-    for i, t in enumerate(texts):
-        total += 4 * len(t) if t else 1
-        if total >= CHUNK_BYTES * 2:
+    for i, r in enumerate(raws):
+        total += len(r) + 1
+        if total >= CHUNK_BYTES:
             yield lo, i + 1
             lo, total = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+    if lo < len(raws):
+        yield lo, len(raws)
 
 
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,30 +79,31 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n[order], first)
 
 
-def _counted(parts: list[tuple[np.ndarray, bool]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of (keys, train) parts and their training counts."""
-    keys, n = [], []
-    for k, train in parts:
-        k, c = np.unique(k, return_counts=True)
-        keys.append(k), n.append(c if train else np.zeros_like(c))
-    return _summed(np.concatenate(keys), np.concatenate(n)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def counts_of(raws: list[bytes], train: np.ndarray) -> list[np.ndarray]:
+    """A shard's distinct words and their training counts, then its distinct pairs and theirs."""
+    parts: tuple[list, list] = ([], [])
+    for lo, hi in _chunks(raws):
+        for flag in (True, False):
+            some = [r for r, f in zip(raws[lo:hi], train[lo:hi].tolist(), strict=True) if f == flag]
+            for part, keys in zip(parts, (np.concatenate([word_hashes(r) for r in some]), byte_pairs(some)[0]) if some else (), strict=False):
+                keys, n = np.unique(keys, return_counts=True)
+                part.append((keys, n if flag else np.zeros_like(n)))
+    return [x for part in parts for x in _summed(*(np.concatenate([*y, np.zeros(0, kind)]) for y, kind in zip(zip(*part) if part else ((), ()), (np.uint64, np.int64), strict=True)))]
 
 
-def gather(table: pa.Table) -> pa.Table:
-    """The rows (shard, kind, key, n) of one shard: kind 0 words, kind 1 pairs."""
-    shard = table.column("shard")[0].as_py()
-    texts, train = table.column("text").to_pylist(), np.array(table.column("train").to_pylist(), bool)
-    parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-    for lo, hi in _chunks(texts):
-        for flag in (True, False):
-            some = [t for t, f in zip(texts[lo:hi], train[lo:hi], strict=True) if f == flag]
-            if some:
-                parts[0].append(_counted([(np.concatenate([word_hashes(t) for t in some]), flag)]))
-                parts[1].append(_counted([(byte_pairs(some)[0], flag)]))
-    made = [_summed(np.concatenate([k for k, _ in p]), np.concatenate([n for _, n in p])) for p in parts]
-    keys = np.concatenate([made[0][0], made[1][0]]).view(np.int64)
-    kind = np.concatenate([np.zeros(len(made[0][0]), np.int8), np.ones(len(made[1][0]), np.int8)])
-    return pa.table({"shard": pa.array(np.full(len(keys), shard, np.int32)), "kind": pa.array(kind), "key": pa.array(keys), "n": pa.array(np.concatenate([made[0][1], made[1][1]]).astype(np.int64))})
+#: For the nearest two context bytes, nearest first, 64 bits that say which bucket has them.
+SPREAD = mix64(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _dealt(counts: list[np.ndarray], buckets: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Words and pairs with their numbers in the order of their buckets, and where each bucket's begin."""
+    rows, edges = [], []
+    for keys, n, spread in ((counts[0], counts[1], counts[0]), (counts[2], counts[3], SPREAD[counts[2] >> np.uint64(48)])):
+        bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows += [keys[order], n[order]]
+        edges.append(np.searchsorted(bucket[order], np.arange(buckets + 1)))
+    return rows, edges
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -110,12 +115,26 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) - np.log(down)
 
 
-def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     a, b = zeros.astype(np.float64), ones.astype(np.float64)
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - math.log(math.pi) - log_gamma(a + b + 1)
 
 
+SMALL = 128
+#: Values for small counts, which nearly all nodes have.
+FEW = _log_kt(*np.divmod(np.arange(SMALL * SMALL), SMALL))
+
+
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    zeros, ones = np.asarray(zeros), np.asarray(ones)
+    out = FEW[np.minimum(zeros, SMALL - 1).astype(np.int64) * SMALL + np.minimum(ones, SMALL - 1).astype(np.int64)]
+    many = (zeros >= SMALL) | (ones >= SMALL)
+    if many.any():
+        out[many] = _log_kt(zeros[many], ones[many])
+    return out
+
+
 class Nodes:
     """Binary nodes of one depth and one bit place: sorted keys (context, bits so far), their counts and weighted probability."""
 
@@ -224,83 +243,135 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, root: Root) -> np.ndarray
     return out
 
 
-def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
+#: Values are sent as 32 bits: below 8 in steps of 2**-28, from there on (up to 136, which no byte reaches) of 2**-24.
+def _to_bits(value: np.ndarray) -> np.ndarray:
+    cost = -value
+    return np.where(cost < 8, np.minimum(np.rint(cost * 2.0**28), 2.0**31 - 1), 2.0**31 + np.rint((cost - 8) * 2.0**24)).astype(np.uint32)
 
 
-def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
+def _from_bits(code: np.ndarray) -> np.ndarray:
+    low = (code & np.uint32(0x7FFFFFFF)).astype(np.float64)
+    return -np.where(code < 2**31, low * 2.0**-28, 8 + low * 2.0**-24)
+
+
+def _summed_blobs(blobs: list[bytes]) -> list[np.ndarray]:
+    """Words and pairs of several blobs together, their counts summed."""
+    parts = [unsqueeze(b) for b in blobs]
+    return [x for k in (0, 2) for x in _summed(np.concatenate([p[k] for p in parts]), np.concatenate([p[k + 1].astype(np.int64) for p in parts]))]
+
+
+def _squeezed(counts: list[np.ndarray]) -> bytes:
+    return squeeze(*(x if x.dtype == np.uint64 else x.astype(np.uint32) if not len(x) or x.max() < 2**32 else x for x in counts))
+
+
+def _binaries(**columns: list) -> pa.Table:
+    return pa.table({name: pa.array(x, pa.binary() if name not in ("bucket", "part", "shard") else pa.int64()) for name, x in columns.items()})
+
+
+def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES, fan: int = FAN) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of every row of ``docs``.
 
     Training are the rows where ``train`` holds (null: not). A null or empty text is the end alone. Without training rows
-    every bit has probability 1/2. Repeated rows count each time and get equal scores. Other columns are not read.
-    ``score`` is the log10 probability of the text's bytes (A-Z in lower case) and its end; ``base_score`` that of its
+    every bit has probability 1/2. Repeated rows count each time and get equal scores. Columns other than doc_id, text
+    and those of ``train`` are not read. ``score`` is the log10 probability of the text's bytes (A-Z in lower case) and
+    its end; ``bits_per_byte`` its code length over its bytes and the end; ``base_score`` the log10 probability of its
     words and the end under add-one counts.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(size / shard_bytes))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    held = cut(rows.drop("doc_id").groupBy("shard").applyInArrow(gather, "shard int, kind tinyint, key bigint, n bigint"))
-    reclaim(spark)
-    model = cut(held.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.count("*").alias("in_shards")))
+    packed = pack(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")), shard_bytes)
+    buckets = bucket_count(packed, BUCKET_BYTES)
+    parts = -(-packed.count() // fan)
+
+    def gathered(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                rest, sizes, data = unpack(row)
+                made, edges = _dealt(counts_of(raws_of(sizes, data), np.array(rest.column("train").to_pylist(), bool)), buckets)
+                full = [b for b in range(buckets) if any(e[b] < e[b + 1] for e in edges)]
+                blobs = [_squeezed([x[edges[k // 2][b] : edges[k // 2][b + 1]] for k, x in enumerate(made)]) for b in full]
+                yield from _binaries(bucket=full, shard=[row["shard"]] * len(full), blob=blobs).to_batches()
+
+    def held(table: pa.Table) -> pa.Table:
+        """What a part of the shards sent to one bucket, in one row, and its sum."""
+        blobs = table.column("blob").to_pylist()
+        sent = np.array([len(b) for b in blobs], "<i8").tobytes() + table.column("shard").to_numpy().astype("<i8").tobytes()
+        return _binaries(bucket=table.column("bucket")[:1].to_pylist(), part=table.column("part")[:1].to_pylist(), sent=[sent], blobs=[b"".join(blobs)], model=[_squeezed(_summed_blobs(blobs))])
+
+    sent = packed.mapInArrow(gathered, "bucket bigint, shard bigint, blob binary").withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(max(parts, 1))))
+    rows = cut(sent.groupBy("bucket", "part").applyInArrow(held, "bucket bigint, part bigint, sent binary, blobs binary, model binary"))
+    del sent
     reclaim(spark)
-    total, distinct = model.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    pairs = model.where("kind = 1").select("key", "n")
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 1_000_000 + 1)
-    pairs = pairs.withColumn("g", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), F.lit(groups)).cast("int"))
 
-    def upper(table: pa.Table) -> pa.Table:
-        keys, n = _sorted(table)
-        key, n0, n1, weighted = root_parts(keys[n > 0], n[n > 0])
-        return pa.table({"node": pa.array(key.astype(np.int32)), "n0": pa.array(n0), "n1": pa.array(n1), "below": pa.array(weighted)})
+    def joined(table: pa.Table) -> pa.Table:
+        return _binaries(bucket=table.column("bucket")[:1].to_pylist(), part=table.column("part")[:1].to_pylist(), model=[_squeezed(_summed_blobs(table.column("model").to_pylist()))])
+
+    models, several = rows.select("bucket", "part", "model"), parts > 1
+    while parts > 1:
+        parts = -(-parts // fan)
+        models = cut(models.withColumn("part", F.pmod("part", F.lit(parts))).groupBy("bucket", "part").applyInArrow(joined, "bucket bigint, part bigint, model binary"))
 
-    summed = pairs.groupBy("g").applyInArrow(upper, "node int, n0 bigint, n1 bigint, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toPandas()  # at most 256 * 255 rows
+    def upper(batches):
+        for batch in batches:
+            for blob in batch.column("model").to_pylist():
+                _, words, keys, n = unsqueeze(blob)
+                key, n0, n1, weighted = root_parts(keys[n > 0], n[n > 0].astype(np.int64))
+                told = np.append(key.astype(np.int64), [-1])  # -1: the words' number and how many are known
+                yield pa.RecordBatch.from_arrays([pa.array(told.astype(np.int32)), pa.array(np.append(n0, words.sum(dtype=np.int64))), pa.array(np.append(n1, (words > 0).sum())), pa.array(np.append(weighted, 0.0))], names=["node", "n0", "n1", "below"])
+
+    summed = models.mapInArrow(upper, "node int, n0 bigint, n1 bigint, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).toPandas()  # at most 256 * 255 + 1 rows
     nodes = summed.to_numpy(np.float64) if len(summed) else np.zeros((0, 4))
+    is_word = nodes[:, 0] < 0
+    total, distinct = (int(nodes[is_word, k].sum()) for k in (1, 2))
+    nodes = nodes[~is_word]
     root = spark.sparkContext.broadcast(Root(nodes[:, 0].astype(np.int64), nodes[:, 1], nodes[:, 2], nodes[:, 3]))
 
-    def lower(table: pa.Table) -> pa.Table:
-        keys, n = _sorted(table)
-        return pa.table({"kind": pa.array(np.ones(len(keys), np.int8)), "key": pa.array(keys.view(np.int64)), "value": pa.array(log_probabilities(keys, n, root.value))})
-
-    known = pairs.groupBy("g").applyInArrow(lower, "kind tinyint, key bigint, value double")
-    words = model.where("kind = 0 AND in_shards > 1").select("kind", "key", F.col("n").cast("double").alias("value"))  # others have their shard's own count
-    values = cut(known.unionByName(words))
-    reclaim(spark)
-    told = held.select("shard", "kind", "key").join(values.hint("merge"), ["kind", "key"])
+    def valued(batches):
+        for batch in batches:
+            for bucket, model, sent, blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "model", "sent", "blobs")), strict=True):
+                words, known, keys, n = unsqueeze(model)
+                code = _to_bits(log_probabilities(keys, n.astype(np.int64), root.value))
+                lengths, shards = np.frombuffer(sent, "<i8").reshape(2, -1)
+                ends = np.cumsum(lengths)
+                for shard, lo, hi in zip(shards.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
+                    own = unsqueeze(blobs[lo:hi])
+                    reply = squeeze(known[np.searchsorted(words, own[0])], code[np.searchsorted(keys, own[2])])
+                    yield from _binaries(bucket=[bucket], shard=[shard], blob=[reply]).to_batches()
+
+    with_model = rows.drop("model").join(models.select("bucket", "model").hint("merge"), "bucket") if several else rows
+    told = with_model.mapInArrow(valued, "bucket bigint, shard bigint, blob binary")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _score_shard(left, right, int(total), int(distinct))
-
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(scored, schema)
-
-
-def _score_shard(docs: pa.Table, told: pa.Table, total: int, distinct: int) -> pa.Table:
-    texts, train = docs.column("text").to_pylist(), np.array(docs.column("train").to_pylist(), bool)
-    kind, key, value = (told.column(c).to_numpy() for c in ("kind", "key", "value"))
-    word_map, word_value = LongMap(key[kind == 0].view(np.uint64)), np.append(value[kind == 0], -1.0)
-    pair_map, pair_value = LongMap(key[kind == 1].view(np.uint64)), value[kind == 1]
-    hashed = [word_hashes(t) for t in texts]
-    own_keys, own_n = _counted([(h, bool(f)) for h, f in zip(hashed, train, strict=True)])
-    own_map = LongMap(own_keys)
-    tokens, known, base, scores = [], [], [], np.zeros(len(texts))
-    for h in hashed:
-        c = word_value[word_map.find(h)]
-        c = np.where(c < 0, own_n[own_map.find(h)], c)
-        tokens.append(len(h))
-        known.append(int((c > 0).sum()))
-        base.append(float(np.log10((c + 1) / (total + distinct + 1)).sum()))
-    for lo, hi in _chunks(texts):
-        keys, sizes = byte_pairs(texts[lo:hi])
-        scores[lo:hi] = np.add.reduceat(pair_value[pair_map.find(keys)], np.cumsum(sizes) - sizes)
+        return pa.concat_tables([_score_shard(row, right, buckets, total, distinct) for row in left.to_pylist()])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return packed.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(scored, f"doc_id {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double")
+
+
+def _score_shard(row: dict, told: pa.Table, buckets: int, total: int, distinct: int) -> pa.Table:
+    rest, sizes, data = unpack(row)
+    raws, train = raws_of(sizes, data), np.array(rest.column("train").to_pylist(), bool)
+    (words, _, keys, _), _ = _dealt(counts_of(raws, train), buckets)
+    replies = [unsqueeze(b) for _, b in sorted(zip(told.column("bucket").to_pylist(), told.column("blob").to_pylist(), strict=True))]
+    count, value = (np.concatenate(x) for x in zip(*replies, strict=True))
+    word_map, pair_map, value = LongMap(words), LongMap(keys), _from_bits(value)
+    tokens, known, base, scores = [], [], [], np.zeros(len(raws))
+    for lo, hi in _chunks(raws):
+        hashed = [word_hashes(r) for r in raws[lo:hi]]
+        n = np.array([len(h) for h in hashed], np.int64)
+        c = count[word_map.find(np.concatenate(hashed))].astype(np.float64)
+        starts = np.cumsum(n) - n
+        tokens.append(n)
+        known.append(np.add.reduceat((c > 0).astype(np.int64), starts))
+        base.append(np.add.reduceat(np.log10((c + 1) / (total + distinct + 1)), starts))
+        pairs, n = byte_pairs(raws[lo:hi])
+        scores[lo:hi] = np.add.reduceat(value[pair_map.find(pairs)], np.cumsum(n) - n)
+    own = np.maximum(sizes, 0)
     return pa.table(
         {
-            "doc_id": docs.column("doc_id"), "train": docs.column("train"), "n_tokens": pa.array(tokens, pa.int64()), "n_known": pa.array(known, pa.int64()),
-            "train_tokens": pa.array([total] * len(texts), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(scores, pa.float64()),
+            "doc_id": rest.column("doc_id"), "train": rest.column("train"), "n_tokens": pa.array(np.concatenate(tokens)), "n_known": pa.array(np.concatenate(known)),
+            "train_tokens": pa.array([total] * len(raws), pa.int64()), "base_score": pa.array(np.concatenate(base)), "score": pa.array(scores),
+            "n_bytes": pa.array(own), "bits_per_byte": pa.array(-scores / math.log10(2) / (own + 1)),
         }
     )
 
@@ -308,4 +379,4 @@ def _score_shard(docs: pa.Table, told: pa.Table, total: int, distinct: int) -> p
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = score(docs, fold_remainder(F.col("doc_id"), 7) != 2)
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")

@@ -61,11 +61,14 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, keep boolean, n_tokens string")
 
 
-def test_scores_equal_the_recursion(spark):
+@pytest.mark.parametrize("fan", [2, 256])
+def test_scores_equal_the_recursion(spark, fan):
     rows = [(i, t, f, "x") for i, (t, f) in enumerate(zip(TEXTS, TRAIN))]
-    got = {r.doc_id: r for r in ctw.score(frame(spark, rows), F.col("keep"), shard_bytes=30).collect()}
+    got = {r.doc_id: r for r in ctw.score(frame(spark, rows).repartition(5), F.col("keep"), shard_bytes=30, fan=fan).collect()}
     for i, want in enumerate(brute(TEXTS, TRAIN)):
         assert got[i].score == pytest.approx(want, abs=1e-7)
+        n_bytes = len(TEXTS[i].encode())
+        assert got[i].n_bytes == n_bytes and got[i].bits_per_byte == pytest.approx(-want / math.log10(2) / (n_bytes + 1), abs=1e-6)
     words = [t.lower().split() + [None] for t in TEXTS]
     counts = defaultdict(int)
     for w, f in zip(words, TRAIN):
@@ -96,7 +99,7 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_probabilities_of_all_bytes_sum_to_one():
-    keys, _ = ctw.byte_pairs(["the cat sat", "the hat"])
+    keys, _ = ctw.byte_pairs([b"the cat sat", b"the hat"])
     keys, n = np.unique(keys, return_counts=True)
     root = ctw.Root(*(x.astype(np.int64) if i == 0 else x for i, x in enumerate(ctw.root_parts(keys, n))))
     context = keys[3] & ~np.uint64(255)
