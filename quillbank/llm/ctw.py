@@ -135,60 +135,73 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
+class Pairs:
+    """The distinct (context, byte) pairs of one depth: sorted keys, training counts, and which of them each key has."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        each = ((keys >> np.uint64(8 * (DEPTH + 1 - depth))) << np.uint64(8)) | (keys & np.uint64(255)) if depth < DEPTH else keys
+        order = np.argsort(each, kind="stable") if depth < DEPTH else np.arange(len(keys))
+        each = each[order]
+        new = np.concatenate([np.ones(min(len(each), 1), bool), each[1:] != each[:-1]])
+        first = np.flatnonzero(new)
+        self.key, self.symbol, self.sample = each[first], each[first] & np.uint64(255), order[first]  # sample: a key of each pair
+        self.n = np.add.reduceat(n[order], first) if len(first) else n[:0]
+        self.of_key = np.empty(len(keys), np.int64)
+        self.of_key[order] = np.cumsum(new) - 1
+
+
 class Nodes:
     """Binary nodes of one depth and one bit place: sorted keys (context, bits so far), their counts and weighted probability."""
 
-    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, bit: int):
-        key = (context << np.uint64(8)) | (symbol >> np.uint64(8 - bit))
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
-        self.key = key[first]
-        self.n1 = np.add.reduceat(n * one, first) if len(first) else n[:0]
-        self.n0 = np.add.reduceat(n, first) - self.n1 if len(first) else n[:0]
+    def __init__(self, pairs: Pairs, bit: int):
+        self.pairs = pairs
+        key = self._key(pairs.key, bit)
+        new = np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]])
+        self.first = np.flatnonzero(new)
+        self.of_pair = np.cumsum(new) - 1
+        self.key = key[self.first]
+        one = ((pairs.symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(np.int64)
+        self.n1 = np.add.reduceat(pairs.n * one, self.first) if len(key) else pairs.n[:0]
+        self.n0 = np.add.reduceat(pairs.n, self.first) - self.n1 if len(key) else pairs.n[:0]
         self.own = log_kt(self.n0, self.n1)
-        self.weighted, self.weight = self.own, np.ones(len(first))
+        self.weighted, self.weight = self.own, np.ones(len(self.key))
 
-    def find(self, context: np.ndarray, symbol: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
-        key = (context << np.uint64(8)) | (symbol >> np.uint64(8 - bit))
+    @staticmethod
+    def _key(pair: np.ndarray, bit: int) -> np.ndarray:
+        return (pair & ~np.uint64(255)) | ((pair & np.uint64(255)) >> np.uint64(8 - bit))
+
+    def find(self, pair: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of any pairs of this depth, and whether training has seen them."""
+        key = self._key(pair, bit)
         at = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
         return at, (self.key[at] == key if len(self.key) else np.zeros(len(key), bool))
 
     def add_children(self, child: Nodes) -> None:
-        parent = ((child.key >> np.uint64(16)) << np.uint64(8)) | (child.key & np.uint64(255))  # one context byte less
-        total = np.bincount(np.searchsorted(self.key, parent), child.weighted, len(self.key))
-        self.mix(total)
-
-    def mix(self, children: np.ndarray) -> None:
-        self.weighted = HALF + np.logaddexp(self.own, children)
+        parent = self.of_pair[self.pairs.of_key[child.pairs.sample[child.first]]]
+        self.weighted = HALF + np.logaddexp(self.own, np.bincount(parent, child.weighted, len(self.key)))
         self.weight = np.exp(HALF + self.own - self.weighted)
 
-    def predict(self, at: np.ndarray, seen: np.ndarray, one: np.ndarray, below: np.ndarray, below_seen: np.ndarray) -> np.ndarray:
-        """The probability of the bit: this node's estimate mixed with what lies below, where each of them is seen."""
-        if not len(self.key):
-            return below
-        n = np.where(one, self.n1[at], self.n0[at])
-        estimate = (n + 0.5) / (self.n0[at] + self.n1[at] + 1.0)
-        mixed = self.weight[at] * estimate + (1 - self.weight[at]) * below
-        return np.where(seen, np.where(below_seen, mixed, estimate), below)
-
-
-def subtree(keys: np.ndarray, n: np.ndarray, bit: int, top: int = 2) -> list[Nodes]:
-    """The nodes of depths ``top`` to DEPTH for sorted pair keys with training counts above 0."""
-    levels = []
-    for d in range(top, DEPTH + 1):
-        context, symbol = keys >> np.uint64(8 * (DEPTH + 1 - d)), keys & np.uint64(255)
-        pair, count = _summed((context << np.uint64(8)) | symbol, n)
-        levels.append(Nodes(pair >> np.uint64(8), pair & np.uint64(255), count, bit))
-    for upper, lower in zip(levels[-2::-1], levels[:0:-1], strict=True):
+    def estimate(self, at: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return (np.where(one, self.n1[at], self.n0[at]) + 0.5) / (self.n0[at] + self.n1[at] + 1.0)
+
+
+def pairs_of(keys: np.ndarray, n: np.ndarray, top: int = 2) -> list[Pairs]:
+    """Depths ``top`` to DEPTH for sorted pair keys with training counts above 0."""
+    return [Pairs(keys, n, d) for d in range(top, DEPTH + 1)]
+
+
+def subtree(levels: list[Pairs], bit: int) -> list[Nodes]:
+    nodes = [Nodes(x, bit) for x in levels]
+    for upper, lower in zip(nodes[-2::-1], nodes[:0:-1], strict=True):
         upper.add_children(lower)
-    return levels
+    return nodes
 
 
 def root_parts(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What depth 1 needs from these subtrees: (context byte, bits so far) nodes, their zeros, ones and children's sum."""
-    parts = []
+    parts, levels = [], pairs_of(keys, n)
     for bit in range(8):
-        nodes = subtree(keys, n, bit)[0]
+        nodes = subtree(levels, bit)[0]
         context, prefix = nodes.key >> np.uint64(16), (nodes.key & np.uint64(255)) | np.uint64(1 << bit)
         parts.append(((context << np.uint64(8)) | prefix, nodes.n0, nodes.n1, nodes.weighted))
     key, n0, n1, weighted = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -226,20 +239,30 @@ class Root:
 
 def log_probabilities(keys: np.ndarray, n: np.ndarray, root: Root) -> np.ndarray:
     """log10 of the byte's probability for each sorted pair key; whole depth-2 subtrees must be among the keys."""
-    train = n > 0
-    out = np.zeros(len(keys))
-    symbol = keys & np.uint64(255)
-    nearest = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
+    out, known, new = np.zeros(len(keys)), np.flatnonzero(n > 0), np.flatnonzero(n == 0)
+    levels = pairs_of(keys[known], n[known])
+    asked = [((keys[new] >> np.uint64(8 * (DEPTH + 1 - d))) << np.uint64(8)) | (keys[new] & np.uint64(255)) if d < DEPTH else keys[new] for d in range(2, DEPTH + 1)]
     for bit in range(8):
-        levels = subtree(keys[train], n[train], bit)
-        one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-        below, below_seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
-        for d, nodes in zip(range(DEPTH, 1, -1), levels[::-1], strict=True):
-            at, seen = nodes.find(keys >> np.uint64(8 * (DEPTH + 1 - d)), symbol, bit)
-            below = nodes.predict(at, seen, one, below, below_seen)
-            below_seen |= seen
-        prefix = ((symbol >> np.uint64(8 - bit)) | np.uint64(1 << bit)).astype(np.int64)
-        out += np.log10(root.predict(nearest, prefix, one, below, below_seen))
+        nodes = subtree(levels, bit)
+        for some, places in ((known, None), (new, asked)):
+            symbol, nearest = keys[some] & np.uint64(255), (keys[some] >> np.uint64(8 * DEPTH)).astype(np.int64)
+            one = ((symbol >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+            below, below_seen = np.full(len(some), 0.5), np.zeros(len(some), bool)
+            for k in range(len(nodes) - 1, -1, -1):
+                each = nodes[k]
+                if not len(each.key):
+                    continue
+                if places is None:  # training has seen these at every depth
+                    at = each.of_pair[each.pairs.of_key]
+                    weight = each.weight[at]  # 1 at the deepest nodes
+                    below = weight * each.estimate(at, one) + (1 - weight) * below
+                    continue
+                at, seen = each.find(places[k], bit)
+                weight = np.where(below_seen, each.weight[at], 1.0)
+                below = np.where(seen, weight * each.estimate(at, one) + (1 - weight) * below, below)
+                below_seen |= seen
+            prefix = ((symbol >> np.uint64(8 - bit)) | np.uint64(1 << bit)).astype(np.int64)
+            out[some] += np.log10(root.predict(nearest, prefix, one, below, below_seen if places is not None else np.ones(len(some), bool)))
     return out
 
 
