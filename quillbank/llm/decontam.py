@@ -1,31 +1,33 @@
 """Benchmark decontamination with an FM-index per training shard.
 
 The benchmark is the stated query set: its windows of WINDOW words (a shorter item is one window) go to the executors,
-in blocks of bounded size. Each shard of documents, a run of rows with at most SHARD_WORDS words, becomes one integer
-text over the block's vocabulary. A word outside that vocabulary can be in no occurrence, so only runs of known words that
-are long enough are indexed, each closed by its own separator. The index is the Burrows-Wheeler transform of that text in
-a wavelet matrix; all windows are searched backwards together, occurrences are located by walking to sampled suffix
+in blocks of bounded size, ROUND_BLOCKS of them for one pass over the documents; what a round finds stays on the row. Each
+shard of documents, a run of rows with at most SHARD_WORDS words, becomes one integer text over the block's vocabulary. A
+word outside that vocabulary can be in no occurrence, so only runs of known words that are long enough are indexed, each
+closed by its own separator. The index is the Burrows-Wheeler transform of that text in a wavelet matrix; all windows are searched backwards together, occurrences are located by walking to sampled suffix
 positions (every SAMPLE-th and each run's start, so that no walk meets a separator), and overlapping ones merge to spans.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillbank.llm.shared import cut, read, ship
+from quillbank.llm.shared import read, ship
 
 WINDOW = 8
 SHARD_WORDS = 1_500_000
 SAMPLE = 8
-#: Text of the benchmark that goes to the executors at once.
-BLOCK_BYTES = 8_000_000
+#: Text of the benchmark in one block, which a worker holds at a time, and blocks that go to the executors together.
+BLOCK_BYTES, ROUND_BLOCKS = 4_000_000, 16
 
 #: Bytes of words stay, A-Z in lower case; all others become blanks. Bytes from 0x80 are parts of letters beyond ASCII.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -49,7 +51,7 @@ class Windows:
             for i in range(max(len(codes) - window, 0) + 1 if codes else 0):
                 rows.setdefault(tuple(codes[i : i + window]), set()).add(place[item])
         self.lengths = np.array([len(r) for r in rows], np.int64)
-        self.codes = np.zeros((len(rows), window), np.int64)  # aligned to the right, for the search from the end
+        self.codes = np.zeros((len(rows), window), np.int32)  # aligned to the right, for the search from the end
         for k, r in enumerate(rows):
             self.codes[k, window - len(r) :] = r
         self.item_starts = np.cumsum([0] + [len(x) for x in rows.values()])
@@ -129,7 +131,7 @@ class FMIndex:
         low, high = np.zeros(len(windows.codes), np.int64), np.full(len(windows.codes), len(self.bwt), np.int64)
         for step in range(width):
             live = np.flatnonzero((windows.lengths > step) & (low < high))
-            symbol = windows.codes[live, width - 1 - step]
+            symbol = windows.codes[live, width - 1 - step].astype(np.int64)
             first = self.before[symbol - 1]
             low[live] = first + self.ranks.rank(symbol, low[live])
             high[live] = first + self.ranks.rank(symbol, high[live])
@@ -211,120 +213,114 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> list[Windows]:
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> tuple[int, Iterator[Windows]]:
+    """How many blocks of about ``block_bytes`` of text the benchmark makes, one if it is empty, and each one's windows."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / block_bytes))
     rows = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", F.coalesce("text", F.lit(""))), F.lit(n)) == k)
-        yield Windows([(r[0], r[1]) for r in part.collect()], window)
+    parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n))
+    return n, (Windows([(r[0], r[1]) for r in part.collect()], window) for part in parts)
 
 
-FOUND = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<begin:bigint,end:bigint>>"
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for b, e in sorted(spans):
+        if out and b <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((b, e))
+    return out
 
 
-def _search(docs: DataFrame, windows: Windows, clean: bool) -> DataFrame:
-    """The columns of ``docs`` (text only with ``clean``, then without the spans) and those of FOUND."""
+#: Columns that carry what earlier rounds found, on the row itself.
+ITEMS, SPANS, N_WORDS, N_HIT = "_decontam_items", "_decontam_spans", "_decontam_n_words", "_decontam_n_hit"
+SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _round(docs: DataFrame, blocks: Iterator[Windows], last: bool, clean: bool) -> DataFrame:
+    """``docs`` after a search for all windows of some blocks, ITEMS and SPANS united with those of earlier rounds.
+
+    The last round adds n_words, n_hit, items and spans, prefixed as ITEMS, and drops text, or with ``clean`` cuts the spans.
+    """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(windows)
-    others = [c for c in docs.columns if c != "text"]
+    held = [spark.sparkContext.broadcast(pickle.dumps(w)) for w in blocks]  # the driver has one at a time
+    others = [c for c in docs.columns if c not in ("text", ITEMS, SPANS)]
+    first, with_text = ITEMS not in docs.columns, clean or not last
 
-    def results(rows: list[pa.RecordBatch], texts: list, words: list) -> pa.RecordBatch:
-        spans, items = search_shard(words, held.value)
+    def results(rows: list[pa.RecordBatch], texts: list, words: list, load) -> pa.RecordBatch:
         table = pa.Table.from_batches(rows).combine_chunks()
-        columns = {c: table.column(c).combine_chunks() if table.num_rows else table.column(c) for c in others}
-        if clean:
-            columns["text"] = pa.array([without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
-        columns["n_words"] = pa.array([len(w) for w in words], pa.int64())
-        columns["n_hit"] = pa.array([sum(e - b for b, e in s) for s in spans], pa.int64())
-        columns["items"] = pa.array(items, pa.list_(pa.string()))
-        columns["spans"] = pa.array([[{"begin": b, "end": e} for b, e in s] for s in spans], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-        return pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns.values()], names=list(columns))
+        if first:
+            items, spans = [set() for _ in words], [[] for _ in words]
+        else:
+            items = [set(x) for x in table.column(ITEMS).to_pylist()]
+            spans = [[(x["begin"], x["end"]) for x in s] for s in table.column(SPANS).to_pylist()]
+        for k in range(len(held)):
+            found, ids = search_shard(words, load(k))
+            for d in range(len(words)):
+                if found[d]:
+                    spans[d] = _united(spans[d] + found[d])
+                    items[d].update(ids[d])
+        columns = {c: table.column(c) for c in others}
+        if with_text:
+            columns["text"] = pa.array([without_spans(t, s) if s and last else t for t, s in zip(texts, spans, strict=True)], pa.string())
+        if last:
+            columns[N_WORDS] = pa.array([len(w) for w in words], pa.int64())
+            columns[N_HIT] = pa.array([sum(e - b for b, e in s) for s in spans], pa.int64())
+        columns[ITEMS] = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+        columns[SPANS] = pa.array([[{"begin": b, "end": e} for b, e in s] for s in spans], SPAN)
+        return pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns.values()], names=list(columns))
 
     def run(batches):
+        only = pickle.loads(held[0].value) if len(held) == 1 else None
+        load = lambda k: only or pickle.loads(held[k].value)  # noqa: E731  of several blocks a worker has one at a time
         rows, texts, words, total = [], [], [], 0
         for batch in batches:
-            column, lo = batch.column("text").to_pylist(), 0
+            column, lo, beside = batch.column("text").to_pylist(), 0, batch.select([c for c in batch.schema.names if c != "text"])
             for i, text in enumerate(column):
                 found = words_of(text)
                 words.append(found)
-                texts.append(text if clean else None)
+                texts.append(text if with_text else None)
                 total += len(found) + 1
                 if total >= SHARD_WORDS or i + 1 == len(column):
-                    rows.append(batch.select(others).slice(lo, i + 1 - lo) if others else None)
+                    rows.append(beside.slice(lo, i + 1 - lo))
                     lo = i + 1
                 if total >= SHARD_WORDS:
-                    yield results(rows, texts, words)
+                    yield results(rows, texts, words, load)
                     rows, texts, words, total = [], [], [], 0
         if words:
-            yield results(rows, texts, words)
-
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != "text") + ("text string, " if clean else "")
-    return docs.mapInArrow(run, kept + FOUND)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids as sorted strings) and spans (merged, of word places) for each document.
-
-    Null and empty texts have no words and no hits; null items or item ids and items without words match nothing; an
-    empty benchmark gives no hits. Every row gives one row, repeated ones and those without a doc_id too. Extra columns
-    are not read.
-    """
-    docs, blocks = docs.select("doc_id", "text"), list(_blocks(benchmark, window, block_bytes))
-    if len(blocks) == 1:
-        return _search(docs, blocks[0], False)
-    return _merged(_keyed(docs), blocks).drop(ROW)
+            yield results(rows, texts, words, load)
 
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in others) + "text string, " * with_text + f"{N_WORDS} bigint, {N_HIT} bigint, " * last
+    return docs.mapInArrow(run, f"{kept}{ITEMS} array<string>, {SPANS} array<struct<begin:bigint,end:bigint>>")
 
-#: Tells rows apart where the findings of several blocks are merged.
-ROW = "_decontam_row"
 
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, round_blocks: int, clean: bool) -> DataFrame:
+    """``docs`` after all rounds; a round takes ``round_blocks`` blocks, and one is the rule."""
+    n, blocks = _blocks(benchmark, window, block_bytes)
+    for done in range(0, n, round_blocks):
+        docs = _round(docs, islice(blocks, round_blocks), done + round_blocks >= n, clean)
+    return docs
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ROW, written so that every later read sees the same keys."""
-    return cut(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_blocks: int = ROUND_BLOCKS) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids as sorted strings) and spans (merged, of word places) for each document.
 
-def _merged(keyed: DataFrame, blocks: list[Windows]) -> DataFrame:
-    """All columns of ``keyed`` but text, n_words, n_hit, items and spans: what the blocks find, one row for each ROW."""
-    kept = [c for c in keyed.columns if c != "text"]
-    found = [_search(keyed, w, False) for w in blocks]
-    rows = found[0]
-    for x in found[1:]:
-        rows = rows.unionByName(x)
-    merged = rows.groupBy(*kept).agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-    fold = """aggregate(spans, CAST(array() AS array<struct<begin:bigint,end:bigint>>), (a, x) ->
-        CASE WHEN size(a) > 0 AND element_at(a, -1).end >= x.begin
-        THEN concat(slice(a, 1, size(a) - 1), array(named_struct('begin', element_at(a, -1).begin, 'end', greatest(element_at(a, -1).end, x.end))))
-        ELSE concat(a, array(x)) END)"""
-    merged = merged.withColumn("spans", F.expr(fold))
-    return merged.select(*kept, "n_words", F.expr("aggregate(spans, 0L, (a, x) -> a + x.end - x.begin)").alias("n_hit"), "items", "spans")
+    Null and empty texts have no words and no hits; null items or item ids and items without words match nothing; items
+    are told apart by item_id, whatever their rows; an empty benchmark gives no hits. Every row gives one row, repeated
+    ones and those without a doc_id too, at every size of the benchmark. Extra columns are not read.
+    """
+    found = _searched(docs.select("doc_id", "text"), benchmark, window, block_bytes, round_blocks, False)
+    return found.select("doc_id", F.col(N_WORDS).alias("n_words"), F.col(N_HIT).alias("n_hit"), F.col(ITEMS).alias("items"), F.col(SPANS).alias("spans"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, round_blocks: int = ROUND_BLOCKS) -> DataFrame:
     """``docs`` without the contaminated documents (``min_items`` items or more) and, in the others, without hit words.
 
     All columns of ``docs`` stay; texts without a hit come back unchanged. See ``scan`` for odd inputs.
     """
-    blocks = list(_blocks(benchmark, window, block_bytes))
-    if len(blocks) == 1:
-        clash = [c for c in docs.columns if c in ("n_words", "n_hit", "items", "spans")]
-        found = _search(docs.withColumnsRenamed({c: f"_own_{c}" for c in clash}), blocks[0], True)
-        found = found.where(F.size("items") < min_items).drop("n_words", "n_hit", "items", "spans")
-        return found.withColumnsRenamed({f"_own_{c}": c for c in clash}).select(*docs.columns)
-    keyed = _keyed(docs)
-    marked = cut(_merged(keyed.select(ROW, "text"), blocks).select(ROW, F.col("items").alias("_items"), F.col("spans").alias("_spans")))
-    joined = keyed.join(marked, ROW).where(F.size("_items") < min_items).drop("_items")
-    columns = docs.columns
-
-    def run(batches):
-        for batch in batches:
-            spans = batch.column("_spans").to_pylist()
-            texts = [without_spans(t, [(x["begin"], x["end"]) for x in s]) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in columns], names=columns)
-
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, docs.schema)
+    return _searched(docs, benchmark, window, block_bytes, round_blocks, True).where(F.size(ITEMS) < min_items).select(*docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

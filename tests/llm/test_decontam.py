@@ -80,3 +80,19 @@ def test_every_row_stays_whatever_the_blocks(spark):
         assert found == sorted([(None, 1, 0, []), (None, 10, 9, ["7"]), (None, 0, 0, []), (1, 10, 9, ["7"]), (1, 10, 9, ["7"]), (1, 9, 8, ["8"]), (2, 17, 17, ["7", "8"])], key=str)
         kept = sorted((tuple(r) for r in D.decontaminate(docs, bench, block_bytes=blocks).collect()), key=str)
         assert kept == sorted([(None, "clean"), (None, "x "), (None, None), (1, " y"), (1, " y"), (1, " z")], key=str)
+
+
+@pytest.mark.parametrize("round_blocks", [1, 2, 16])
+def test_one_result_at_every_number_of_blocks(spark, round_blocks):
+    docs, items = case(7)
+    docs, items = docs + docs[:5] + [(None, docs[0][1]), (docs[1][0], docs[2][1])], items + items[:3] + [(items[0][0], items[5][1])]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len((t or "").encode()) + 64 for _, t in items)
+    results = []
+    for blocks in (1, 2, 5):
+        assert D._blocks(bench, 8, -(-size // blocks))[0] == blocks
+        found = D.scan(frame, bench, block_bytes=-(-size // blocks), round_blocks=round_blocks).collect()
+        clean = D.decontaminate(frame, bench, block_bytes=-(-size // blocks), round_blocks=round_blocks).collect()
+        results.append((sorted(map(str, found)), sorted(map(str, clean))))
+        assert len(found) == len(docs)
+    assert results[0] == results[1] == results[2]
