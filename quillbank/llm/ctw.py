@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quillbank.llm.packing import bucket_count, pack, raws_of, squeeze, unpack, unsqueeze
 from quillbank.llm.shared import LongMap, cut, fold_remainder, mix64, read, reclaim, ship
 
-DEPTH = 7  # with the byte itself, what a 64-bit key holds
-SHARD_BYTES = 16_000_000
+DEPTH = 6  # a 64-bit key with the byte itself holds up to 7
+SHARD_BYTES = 10_000_000
 CHUNK_BYTES = 2_000_000
 #: Text for each bucket of pairs, and shards (then sums of shards) whose counts are summed together.
 BUCKET_BYTES, FAN = 4_000_000, 256
@@ -50,7 +50,7 @@ def byte_pairs(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     each = keys.view(np.uint8).reshape(-1, 8)  # little-endian: the byte comes first, the nearest context byte last
     each[:, 0] = data
     for d in range(1, DEPTH + 1):
-        each[d:, 8 - d] = data[:-d]
+        each[d:, DEPTH + 1 - d] = data[:-d]
     real = np.ones(len(data), bool)
     begins = np.cumsum(sizes) - sizes
     for d in range(DEPTH):
@@ -98,7 +98,7 @@ SPREAD = mix64(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C
 def _dealt(counts: list[np.ndarray], buckets: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Words and pairs with their numbers in the order of their buckets, and where each bucket's begin."""
     rows, edges = [], []
-    for keys, n, spread in ((counts[0], counts[1], counts[0]), (counts[2], counts[3], SPREAD[counts[2] >> np.uint64(48)])):
+    for keys, n, spread in ((counts[0], counts[1], counts[0]), (counts[2], counts[3], SPREAD[counts[2] >> np.uint64(8 * (DEPTH - 1))])):
         bucket = ((spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rows += [keys[order], n[order]]
