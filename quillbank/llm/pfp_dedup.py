@@ -36,11 +36,11 @@ from quillbank.llm.packing import SHARD_BYTES, bucket_count, pack, raws_of, sque
 from quillbank.llm.shared import cut, mix64, read, reclaim, ship
 
 LENGTH, TRIGGER = 50, 24
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Phrases of one trigger beyond which its windows are exchanged one by one.
 HOT = 100_000
 #: Text for each bucket of an exchange, and windows whose suffixes are sorted together (or those of one trigger).
-BUCKET_BYTES, SORTED = 8_000_000, 1_000_000
+BUCKET_BYTES, SORTED = 8_000_000, 500_000
 #: Kinds of blobs that a shard gets: keys of shared triggers, and the first documents of its phrases.
 KEYS, FIRSTS = 0, 1
 
