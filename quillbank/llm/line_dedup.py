@@ -1,9 +1,9 @@
 """Line dedup across documents, in DataFrame expressions alone.
 
-Two narrow passes over the text: the first counts, for each hash of a normalised line, the rows that hold it; the second
-places the hashes that may be over the threshold at their line positions, and only those are counted by distinct doc_id.
-Only hashes and positions are shuffled on the line's key, both pre-aggregated or joined, so a line that a third of the
-documents hold is no hot spot. The text is shuffled once, by a hash of doc_id and text, to be put together again from the
+One narrow pass over the text writes the hashes of each row's normalised lines. From there the rows that hold a hash are
+counted; the hashes that may be over the threshold are placed at their line positions, and only those are counted by
+distinct doc_id. Only hashes and positions are shuffled, pre-aggregated, joined, or spread by line and document, so a line
+that a third of the documents hold is no hot spot. The text is shuffled once, by a hash of doc_id and text, to be put together again from the
 slices between dropped positions.
 """
 
@@ -26,25 +26,23 @@ def line_hashes() -> F.Column:
     return F.transform(F.split("text", "\n"), lambda line: both(key(line)))
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
-    """a, b: the hashes of the lines that at least ``min_docs`` rows of ``docs`` hold."""
-    each = docs.select(F.explode(F.array_distinct(line_hashes())).alias("h")).where("h IS NOT NULL")
-    return each.groupBy("h.a", "h.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
-
-
 def line_dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """All columns of ``docs``, with ``text`` without the repeated lines, and ``n_lines`` and ``n_dropped``.
 
     Documents are counted by distinct doc_id, as in the SQL: rows of one doc_id count once, rows without one do not count.
-    Frequent lines are dropped from every row, repeated ones and those without a doc_id too. A null text is one empty line and comes back as the empty text; empty lines are never
-    dropped. Columns of ``docs`` named n_lines or n_dropped are replaced.
+    Frequent lines are dropped from every row, repeated ones and those without a doc_id too. A null text is one empty
+    line and comes back as the empty text; empty lines are never dropped. Columns of ``docs`` named n_lines or n_dropped
+    are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped", "_bad", *ROW).withColumn("text", F.coalesce("text", F.lit("")))
-    candidates = cut(repeated_lines(docs, min_docs))
     keyed = docs.withColumns({ROW[0]: F.xxhash64("doc_id", "text"), ROW[1]: F.xxhash64(F.lit(1), "doc_id", "text")})  # equal rows share a key: their positions are the same
-    placed = keyed.select("doc_id", *ROW, F.posexplode(line_hashes()).alias("pos", "h")).where("h IS NOT NULL").select("doc_id", *ROW, "pos", "h.a", "h.b")
+    hashed = cut(keyed.select("doc_id", *ROW, line_hashes().alias("h")))
+    each = hashed.select(F.explode(F.array_distinct("h")).alias("h")).where("h IS NOT NULL").groupBy("h.a", "h.b").agg(F.count("*").alias("n"))
+    candidates = cut(each.where(F.col("n") >= min_docs).select("a", "b"))
+    placed = hashed.select("doc_id", *ROW, F.posexplode("h").alias("pos", "h")).where("h IS NOT NULL").select("doc_id", *ROW, "pos", "h.a", "h.b")
     placed = cut(placed.join(candidates, ["a", "b"]))
-    frequent = placed.groupBy("a", "b").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
+    ids = placed.select("a", "b", "doc_id").where("doc_id IS NOT NULL").distinct()  # spreads a line's documents; then each line's number is summed
+    frequent = ids.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     bad = cut(placed.join(frequent, ["a", "b"], "left_semi").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("_bad")))
     joined = keyed.join(bad.hint("merge"), ROW, "left")  # one plan at every size
     kept = """CASE WHEN _bad IS NULL THEN text ELSE element_at(transform(array(split(text, '\\n')), lines ->
