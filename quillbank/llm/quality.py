@@ -50,29 +50,39 @@ def repeated_words(words: str) -> Column:
     """)
 
 
-def features(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts that the rules use. A null text has no words and no lines with words."""
+#: Letters and marks that no rule counts; texts are mostly made of them.
+COMMON = "abcdefghijklmnopqrstuvwxyz .,\n"
+
+
+def features(docs: DataFrame, stratum: str = "lang", carry: bool = False) -> DataFrame:
+    """doc_id, stratum and the counts that the rules use, with ``carry`` also the whole row as a struct ``_row``.
+
+    A null text has no words and no lines with words.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         "doc_id",
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         text.alias("text"),
         F.expr(r"filter(split(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '')").alias("words"),
+        F.translate(text, COMMON, "").alias("rare"),
+        F.expr(f"filter(split(coalesce(text, ''), '\\n'), x -> translate(x, '{_sql(SPACES)}', '') <> '')").alias("word_lines"),
+        *([F.struct(*docs.columns).alias("_row")] if carry else []),
     )
-    lines = F.expr(f"filter(split(text, '\\n'), x -> translate(x, '{_sql(SPACES)}', '') <> '')")
-    rows = rows.withColumn("word_lines", lines)
+    rare = F.col("rare")
     return rows.select(
         "doc_id",
         "stratum",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        _count_of(F.col("text"), SYMBOLS).alias("n_symbols"),
+        _count_of(rare, SYMBOLS).alias("n_symbols"),
         (F.size("word_lines") - F.size(F.array_distinct("word_lines"))).cast("long").alias("n_dup_lines"),
         repeated_words("words").cast("long").alias("n_repeat_words"),
         F.size("word_lines").cast("long").alias("n_word_lines"),
-        _count_of(F.col("text"), UPPER).alias("n_capitals"),
-        _count_of(F.col("text"), "0123456789").alias("n_digits"),
-        _count_of(F.col("text"), "!").alias("n_bangs"),
+        _count_of(rare, UPPER).alias("n_capitals"),
+        _count_of(rare, "0123456789").alias("n_digits"),
+        _count_of(rare, "!").alias("n_bangs"),
+        *(["_row"] if carry else []),
     )
 
 
@@ -119,6 +129,14 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: flo
     return passed.groupBy("stratum", "rule").agg(F.min("j").alias("cutoff"))
 
 
+def _judged(feats: DataFrame, labels: DataFrame, alpha: float, delta: float, min_words: int, max_repeat_percent: int) -> DataFrame:
+    chosen = cutoffs(feats, labels, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    judged = feats.join(chosen, "stratum", "left")
+    hits = F.filter(F.array(*[F.when(bin_of(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    return judged.withColumn("base_failed", base).withColumn("rejected_by", hits).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """One row per row of ``docs``: its counts, base_failed, the rules that reject it and kept.
 
@@ -126,12 +144,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     columns of ``docs`` are not read. Repeated rows give repeated results; a null doc_id is judged like any other, but
     takes no part in the choice of cutoffs. Without labels no cutoff is certified and the base rule alone decides.
     """
-    feats = cut(features(docs, stratum))
-    chosen = cutoffs(feats, labels, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    judged = feats.join(chosen, "stratum", "left")
-    hits = F.filter(F.array(*[F.when(bin_of(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return judged.withColumn("base_failed", base).withColumn("rejected_by", hits).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    return _judged(cut(features(docs, stratum)), labels, alpha, delta, min_words, max_repeat_percent)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever these are called.
+
+    Each row is judged by its own text, also where several rows have one doc_id or none.
+    """
+    feats = cut(features(docs, stratum, carry=True))
+    return _judged(feats, labels, alpha, delta, min_words, max_repeat_percent).where("kept").select("_row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
