@@ -5,9 +5,9 @@ so each hash evaluation gives two signature values. BANDS bands of ROWS values b
 0.8 miss each other with probability (1 - 0.8^6)^48, below 5e-7. Equal sets are one class from the start, so copies never
 meet in a bucket. From there on:
 
-* Rounds of stars: every bucket whose members are not yet in one component picks a member, and the others of other
-  components are held against it on their full sets. Verified links join components. A bucket costs its size, not its
-  square.
+* Rounds of stars: every bucket whose members are not yet in one component picks some members as centres, and the others
+  of other components are held against them on their full sets. Verified links join components. A bucket costs its size,
+  not its square.
 * What is still apart in a shared bucket is settled exactly by prefix filtering: sets whose rarest shingles do not meet
   cannot be similar. Only pairs of different components that share such a shingle are verified, so no link is lost.
 
@@ -27,7 +27,8 @@ from quillbank.llm.shared import cut, mix64, read, ship
 
 PERMUTATIONS, ROWS = 144, 6
 BANDS = 2 * PERMUTATIONS // ROWS
-STAR_ROUNDS = 6
+#: Centres that a bucket picks in each round of stars: most groups are whole after one, the rest takes several at once.
+STARS = (1, 5)
 #: Shingles that are sketched together, so that they stay in a core's cache.
 BLOCK = 100_000
 
@@ -79,9 +80,22 @@ def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return sums, keys
 
 
+#: 128 bits of a row's doc_id and text, never null: equal rows share a key, other rows have their own.
+ROW = ["_row_a", "_row_b"]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({ROW[0]: F.xxhash64("doc_id", "text"), ROW[1]: F.xxhash64(F.lit(1), "doc_id", "text")})
+
+
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, a, b (a set's sums) and keys, an array of bucket keys."""
+    """The columns of ``docs`` but text, n_shingles, a, b (a set's sums) and keys, an array of bucket keys."""
     ship(docs.sparkSession)
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
@@ -90,10 +104,11 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
                 sums, keys = sketch(sets)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(sums[:, 0].copy().view(np.int64)), pa.array(sums[:, 1].copy().view(np.int64)), listed], names=["doc_id", "n_shingles", "a", "b", "keys"])
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), _long(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(sizes), _long(sums[:, 0]), _long(sums[:, 1]), listed], names=[*others, "n_shingles", "a", "b", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, a bigint, b bigint, keys array<bigint>")
+    kept = "".join(f"`{c}` bigint, " for c in others)
+    return docs.mapInArrow(run, kept + "n_shingles bigint, a bigint, b bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -105,8 +120,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 part = batch.slice(lo, 1000)
                 sets = [shingle_set(t.as_py(), width) for t in part.column("text")]
                 ends = np.cumsum([0] + [len(s) for s in sets])
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "shingles"])
+                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _long(flat))], names=["node", "shingles"])
 
     return docs.mapInArrow(run, "node bigint, shingles array<bigint>")
 
@@ -149,12 +164,12 @@ def _any(df: DataFrame) -> bool:
     return bool(df.take(1))
 
 
-def _apart(members: DataFrame, labels: DataFrame, round_: int) -> DataFrame:
-    """Members (key, node, label) of the buckets that hold more than one component, with a centre and its label."""
+def _apart(members: DataFrame, labels: DataFrame, stars: int) -> DataFrame:
+    """Members (key, node, label) of the buckets that hold more than one component, with ``stars`` centres and their labels."""
     told = members.join(labels.hint("merge"), "node")
-    centre = F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")))
-    split = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), centre.alias("c")).where("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("centre_label"))
-    return told.join(split.hint("merge"), "key")
+    centre = lambda k: F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("node"), F.col("label").alias("label")))
+    split = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *[centre(k).alias(f"c{k}") for k in range(stars)]).where("lo <> hi")
+    return told.join(split.select("key", F.array(*[f"c{k}" for k in range(stars)]).alias("centres")).hint("merge"), "key")
 
 
 def _prefix_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -181,51 +196,66 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     return lead.join(other.hint("merge"), "s").where(fits).select("x", "y", "u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are not read).
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, ROW, n_shingles and component_id of each row of ``docs`` (doc_id, text, ROW); null where a set is empty.
 
-    Texts without words, null or empty, have no shingles and are linked with nothing. Equal texts are linked; rows that
-    repeat a doc_id with the same text fall into one component, whose least id they carry. doc_id is cast to a long; a row
-    without one takes part by its text but gets a null kept. kept holds for the least doc_id of a component.
+    Rows with equal sets are one class from the start, and classes are told apart by their sets, not by a doc_id, so rows
+    that share an id but not a text do not link.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = cut(_sketched(docs, width))
-    classes = known.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("node"))
-    classes = cut(classes)
-    firsts = known.join(classes.select("node").hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id", "a", "b"])
-    placed = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    holder = F.min(F.struct(*ROW))  # a row that has the set
+    classes = known.where("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first"), holder.alias("holder"), F.any_value("keys").alias("keys"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    placed = classes.select(F.explode("keys").alias("key"), "node")
     shared = placed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
     members = cut(placed.join(shared.hint("merge"), "key"))
     nodes = cut(members.select("node").distinct())
-    texts = docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = cut(_sets(texts, width).dropDuplicates(["node"]))
+    holders = classes.join(nodes.hint("merge"), "node").select("node", "holder.*")
+    texts = docs.join(holders.hint("merge"), ROW).select("node", "text")
+    sets = cut(_sets(texts, width).dropDuplicates(["node"]))  # a row that is repeated gives its set again
     labels = nodes.select("node", F.col("node").alias("label"))
-    for round_ in range(STAR_ROUNDS):
-        apart = _apart(members, labels, round_).where("label <> centre_label")
-        pairs = apart.select(F.col("node").alias("x"), F.col("centre").alias("y"), F.col("label").alias("u"), F.col("centre_label").alias("v")).distinct()
+    for stars in STARS:
+        apart = _apart(members, labels, stars).select(F.col("node").alias("x"), F.col("label").alias("u"), F.explode("centres").alias("c"))
+        pairs = apart.select("x", F.col("c.node").alias("y"), "u", F.col("c.label").alias("v")).where("u <> v").distinct()
         links = cut(_verified(pairs, sets, percent).select("u", "v").distinct())
         if not _any(links):
             break
         labels = _relabel(labels, links)
-    rest = cut(_apart(members, labels, 0).select("node").distinct())
+    rest = cut(_apart(members, labels, 1).select("node").distinct())
     if _any(rest):
         pairs = cut(_prefix_pairs(rest, sets, labels, percent))
         links = cut(_verified(pairs, sets, percent).select("u", "v").distinct())
         if _any(links):
             labels = _relabel(labels, links)
-    named = classes.join(labels.hint("merge"), "node", "left").select("n_shingles", "a", "b", F.coalesce("label", "node").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "a", "b").join(named.hint("merge"), ["n_shingles", "a", "b"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = classes.select("n_shingles", "a", "b", "node", "first").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = named.join(least.hint("merge"), "label").select("n_shingles", "a", "b", "component_id")
+    return known.select("doc_id", *ROW, "n_shingles", "a", "b").join(named.hint("merge"), ["n_shingles", "a", "b"], "left").select("doc_id", *ROW, "n_shingles", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are not read).
+
+    Texts without words, null or empty, have no shingles and are linked with nothing. Equal texts are linked. Rows that
+    repeat a doc_id with the same text fall into one component; rows that repeat it with other texts are documents of
+    their own. doc_id is cast to a long; a row without one takes part by its text but gets a null kept. component_id is
+    the least doc_id of the component; kept holds for the rows that carry it.
+    """
+    found = _grouped(_keyed(docs.select(F.col("doc_id").cast("long"), "text")), width, percent)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` with the least doc_id of each group of near duplicates, with all their columns.
 
-    Rows without a doc_id stay.
+    Rows are removed by doc_id and text together, so another text of the same id stays. Rows without a doc_id stay, and
+    rows that repeat both the id and the text that stay.
     """
-    gone = near_duplicates(docs, width, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(cut(gone).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("long")))
+    found = _grouped(keyed.select("doc_id", "text", *ROW), width, percent)
+    gone = cut(found.where("n_shingles > 0 AND doc_id <> component_id").select(*ROW).distinct())
+    return keyed.join(gone.hint("merge"), ROW, "left_anti").withColumn("doc_id", F.col("_own_id")).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

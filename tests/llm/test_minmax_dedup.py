@@ -45,3 +45,12 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
     got = {r.node: r.root for r in M.components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
+
+
+def test_one_id_on_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (9, b, 3), (5, b, 4), (None, a, 5), (7, None, 6), (7, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(docs).collect())
+    assert got == [(-1, 26, 1, None), (1, 26, 1, True), (5, 26, 1, False), (5, 26, 5, True), (5, 26, 5, True), (7, 0, 7, True), (7, 0, 7, True), (9, 26, 5, False)]
+    assert sorted(r.node for r in M.one_of_each(docs).collect()) == [0, 2, 4, 5, 6, 7]
