@@ -30,3 +30,27 @@ def test_stages_in_order_and_their_effect(spark, tmp_path):
 
 def test_ten_operators_are_registered():
     assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_stages_on_repeated_rows_ids_and_other_columns(spark, tmp_path):
+    body = lambda i: " ".join(f"w{(i * 7919 + j * 104729) % 99991}" for j in range(80))
+    rows = [(1, body(1)), (1, body(1)), (1, body(2)), (1, "too short"), (2, body(2)), (None, body(3)), (None, "short"), (None, None), (4, f"frequent\n{body(4)}"), (4, f"frequent\n{body(4)}")]
+    rows += [(i, f"frequent\n{body(i)}") for i in range(20, 29)]
+    rows = [(i, t, "en", None, 0, f"x{k}", k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, keys long")
+    spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, body(1)), (5, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    good = stages["quality rules"](spark, docs, str(tmp_path))
+    assert sorted(r["keys"] for r in good.collect()) == [0, 1, 2, 4, 5, *range(8, 19)] and good.columns == docs.columns
+    lines = stages["line dedup"](spark, good, str(tmp_path))
+    text = {r["keys"]: r.text for r in lines.collect()}
+    assert len(text) == 16 and text[8] == text[9] == body(4) and text[10] == body(20) and text[2] == body(2)
+    near = stages["MinHash near-dedup"](spark, lines, str(tmp_path))
+    assert sorted(r["keys"] for r in near.collect()) == [0, 1, 2, 5, *range(8, 19)]  # (2, body 2) goes for (1, body 2); a row that repeats id and text stays with it
+    clean = stages["benchmark decontamination"](spark, near, str(tmp_path))
+    assert clean.count() == 15 and clean.columns == docs.columns
+    coded = stages["byte-level BPE"](spark, clean, str(tmp_path))
+    assert coded.count() == 15 and {"n_words", "keys"} < set(coded.columns)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
