@@ -10,9 +10,8 @@ from quillbank.llm.shared import cut, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; rows without a doc_id cannot be looked up again and stay."""
-    rejected = quality.quality_rules(docs, read(spark, sf_dir, "labels")).where("NOT kept").select("doc_id")
-    return docs.join(cut(rejected.distinct()).hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality rules reject go; each row is judged by its own text, with or without a doc_id."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels")).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
