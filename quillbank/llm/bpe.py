@@ -13,6 +13,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,12 @@ class ByteBPE:
         return self.blob[index].tobytes()
 
 
+@lru_cache(maxsize=2)
+def _model(lines: bytes, pattern: str) -> ByteBPE:
+    """One model for a worker process, whatever the number of its tasks."""
+    return ByteBPE.load(lines, pattern)
+
+
 def _slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about ``max_bytes`` of text, so that a batch of long texts is not held in pieces at once."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -187,7 +194,7 @@ def map_texts(docs: DataFrame, vocabulary: bytes, pattern: str, per_text, schema
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        model = ByteBPE.load(lines.value, pattern)
+        model = _model(lines.value, pattern)
         for batch in batches:
             for part in _slices(batch, "text"):
                 made = per_text(model, part.column("text").to_pylist())
@@ -229,7 +236,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     others = [c for c in encoded.columns if c not in ("ids", "text")]
 
     def run(batches):
-        model = ByteBPE.load(lines.value, pattern)
+        model = _model(lines.value, pattern)
         for batch in batches:
             texts = [None if x is None else model.decode(np.array(x, "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(texts, pa.string())], names=others + ["text"])
