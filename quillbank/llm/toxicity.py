@@ -10,7 +10,9 @@ quoted. A logistic regression over a text's match counts, fitted on the same sam
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,6 @@ SAMPLE = 20_000
 #: Different preceding words that an entry needs in toxic rows, and the share of toxic ones among all.
 CONTEXTS, PRECISION = 5, 0.9
 STEM_LENGTHS = (4, 5, 6, 7)
-ENTRIES = 5_000
 #: Entries that hold without training rows too. Common English insults.
 SEEDS = ("idiot", "imbecile", "moron", "scumbag", "dumbass", "asshole", "bastard", "bitch", "retard", "loser", "pathetic", "worthless", "stupid", "disgusting")
 #: Marks that open or close a quotation, words that report one, and words that address someone.
@@ -49,10 +50,12 @@ class FuzzyLexicon:
     def __init__(self, entries: list[tuple[str, bool, int]]):
         self.children: list[dict[str, int]] = [{}]
         self.word_radius, self.stem_radius, self.most = [-1], [-1], [-1]  # by node; most: in the node's subtree
+        self.node_of: dict[tuple[str, bool], int] = {}
         for text, stem, limit in entries:
             path = [0]
             for c in text:
                 path.append(self._child(path[-1], c))
+            self.node_of[text, stem] = path[-1]
             (self.stem_radius if stem else self.word_radius)[path[-1]] = max(limit, (self.stem_radius if stem else self.word_radius)[path[-1]])
             for node in path:
                 self.most[node] = max(self.most[node], limit)
@@ -71,6 +74,7 @@ class FuzzyLexicon:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.ends: list[int | None] = []
+        self.over = self._state(set(), None)
         self.start = self._state({(0, 0)}, None)
 
     def _state(self, places: set[tuple[int, int]], met: int | None) -> int:
@@ -109,9 +113,37 @@ class FuzzyLexicon:
         if len(self.sets) > self.STATES:
             self._reset()
         state, moves = self.start, self.moves
-        for c in word[:64]:  # entries are far shorter; what follows cannot undo a stem nor make up for a word
-            state = moves.get((state, c), -1) if (state, c) in moves else self._move(state, c)
-        return self.ends[state] if len(word) <= 64 else min((e for n, e in self.sets[state] if n == "met" and e is not None), default=None)
+        for c in word:
+            state = moves[state, c] if (state, c) in moves else self._move(state, c)
+            if state == self.over:  # no entry can be met any more, and no stem was
+                return None
+        return self.ends[state]
+
+    def distances(self, word: str) -> dict[tuple[int, bool], int]:
+        """The least distance to each entry that matches, by the entry's node and whether it is a stem."""
+        found: dict[tuple[int, bool], int] = {}
+        places = {0: 0}
+        for k in range(len(word) + 1):
+            todo, closed = sorted(places.items(), key=lambda x: x[1]), {}
+            while todo:  # dropped letters: a child costs one edit more, so the queue stays in order
+                node, edits = todo.pop(0)
+                if edits > self.most[node] or closed.get(node, edits + 1) <= edits:
+                    continue
+                closed[node] = edits
+                todo += [(child, edits + 1) for child in self.children[node].values()]
+            for node, edits in closed.items():
+                if edits <= self.stem_radius[node]:
+                    found[node, True] = min(edits, found.get((node, True), edits))
+            if k == len(word):
+                break
+            places = {}
+            for node, edits in closed.items():
+                for c, child in self.children[node].items():
+                    cost = edits + (c != word[k])
+                    places[child] = min(cost, places.get(child, cost))
+                places[node] = min(edits + 1, places.get(node, edits + 1))
+        found |= {(node, False): edits for node, edits in closed.items() if edits <= self.word_radius[node]}
+        return found
 
 
 def core(token: str) -> str:
@@ -188,7 +220,7 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, int]]:
     good = (F.col("t") >= CONTEXTS) & (F.col("t") >= PRECISION * (F.col("t") + F.col("n")))
     stems = by_word.select(F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEM_LENGTHS])).alias("stem"), "t", "n").where("stem IS NOT NULL")
     stems = stems.groupBy("stem").agg(F.count(F.when(F.col("t") > 0, 1)).alias("words"), F.sum("t").alias("t"), F.sum("n").alias("n")).where(good & (F.col("words") >= 3))
-    top = lambda df, c: [r[c] for r in df.orderBy(F.desc("t"), c).limit(ENTRIES).collect()]
+    top = lambda df, c: [r[c] for r in df.orderBy(F.desc("t"), c).collect()]  # noqa: E731  what the sample's words bound
     chosen, kept_stems = [], set()
     for stem in sorted(top(stems, "stem"), key=len):
         if not any(stem[:k] in kept_stems for k in STEM_LENGTHS):
@@ -206,21 +238,19 @@ def _limits(by_word: DataFrame, chosen: list[tuple[str, bool]]) -> list[tuple[st
     ship(by_word.sparkSession)
 
     def run(batches):
-        lexicons = [(text, stem, [FuzzyLexicon([(text, stem, d)]) for d in range(1, radius(len(text)) + 1)]) for text, stem in chosen if radius(len(text))]
-        counts: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
-        # One automaton over all entries first: few words come near any of them.
         near = FuzzyLexicon([(text, stem, radius(len(text))) for text, stem in chosen])
+        entry_of = {(node, stem): (text, stem) for (text, stem), node in near.node_of.items() if radius(len(text))}
+        counts: dict[tuple[str, bool, int], list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
             for word, t, n in zip(*(batch.column(c).to_pylist() for c in ("word", "t", "n")), strict=True):
-                if near.match(word):
-                    for k, (_, _, each) in enumerate(lexicons):
-                        for d, lexicon in enumerate(each, 1):
-                            if lexicon.match(word) is not None:
-                                counts[k, d][0] += t
-                                counts[k, d][1] += n
-                                break
+                if near.match(word):  # few words come near any entry without being one
+                    for place, edits in near.distances(word).items():
+                        if place in entry_of:
+                            told = counts[*entry_of[place], max(1, edits)]
+                            told[0] += t
+                            told[1] += n
         keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lexicons[k][0] for k, _ in keys], pa.string()), pa.array([lexicons[k][1] for k, _ in keys], pa.bool_()), pa.array([d for _, d in keys], pa.int32()), pa.array([counts[x][0] for x in keys], pa.int64()), pa.array([counts[x][1] for x in keys], pa.int64())], names=["text", "stem", "d", "t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([k[2] for k in keys], pa.int32()), pa.array([counts[x][0] for x in keys], pa.int64()), pa.array([counts[x][1] for x in keys], pa.int64())], names=["text", "stem", "d", "t", "n"])
 
     rows = by_word.mapInArrow(run, "text string, stem boolean, d int, t bigint, n bigint").groupBy("text", "stem", "d").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).collect()  # at most two rows an entry
     counts = {(r["text"], r["stem"], r["d"]): (r["t"], r["n"]) for r in rows}
@@ -236,14 +266,20 @@ def _limits(by_word: DataFrame, chosen: list[tuple[str, bool]]) -> list[tuple[st
     return out
 
 
+@lru_cache(maxsize=2)
+def _matcher(pickled: bytes) -> Matcher:
+    """One matcher for a worker process, whatever the number of its tasks."""
+    return Matcher(pickle.loads(pickled))
+
+
 def _featured(docs: DataFrame, entries: list[tuple[str, bool, int]], weights: np.ndarray | None) -> DataFrame:
     """The columns of ``docs`` but text, with x, the features, or with ``weights`` the score."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(entries)
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(entries))
     others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        matcher = Matcher(held.value)
+        matcher = _matcher(held.value)
         for batch in batches:
             x = np.array([matcher.features(t.as_py()) for t in batch.column("text")]).reshape(-1, FEATURES)
             made = pa.array(x.tolist(), pa.list_(pa.float64())) if weights is None else pa.array(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
