@@ -4,14 +4,17 @@ Each language has a raw-content dictionary cut from a bounded sample of labelled
 whole with every dictionary; the language of the smallest code (the result, and the bytes that name the language among
 the training rows) is predicted, and rejected where the next smallest is nearly as small.
 
-The sample: of each language's distinct training texts the SAMPLE of least text hash, PIECE characters from the middle of
-each. Both bounds are parameters; everything else reads all rows.
+The sample: every training text falls into pieces of PIECE characters, and of the distinct pieces of each language those
+SAMPLE of least hash are taken, or fewer where there are so many languages that BUDGET characters in all would not do
+(one piece at least). These bounds are parameters; everything else reads all rows and whole texts.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from quillbank.llm.shared import fold_remainder, read, ship
 
 SAMPLE, PIECE = 256, 500
-#: Languages that a model may have; more are an error, as each costs a compression of every text.
-LANGUAGES = 1000
+#: Characters of all dictionaries together, which go to every executor.
+BUDGET = 64_000_000
 LEVEL = 3
 #: Share of the best size by which the second best must be larger for a prediction not to be rejected.
 MARGIN = 0.01
@@ -43,20 +46,20 @@ def normal(text: str) -> bytes:
 def dictionaries(docs: DataFrame, train: Column, sample: int = SAMPLE, piece: int = PIECE) -> dict[str, tuple[bytes, int]]:
     """A dictionary and the number of training rows for each language (``lang`` not null) of the training rows."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substr("text", F.greatest(F.lit(1), F.floor((F.length("text") - piece) / 2).cast("int")), F.lit(piece)).alias("piece"))
-    # About three times the sample falls below the bound; copies count once, so a text with many rows is one row here.
-    size = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n"), F.count("*").alias("rows")).limit(LANGUAGES + 1).collect()
-    if len(size) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    count = F.floor((F.length("text") - 1) / piece).cast("int")  # pieces but one
+    size = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"), F.count("*").alias("rows"), F.sum(count + 1).alias("pieces")).collect()
     if not size:
         return {}
     rows_of = {r["lang"]: r["rows"] for r in size}
-    share = F.create_map(*[F.lit(x) for r in size for x in (r["lang"], 3.0 * sample / r["n"])])[F.col("lang")]
-    low = hashed.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share)
+    each = max(1, min(sample, BUDGET // (piece * len(size))))
+    # About three times the sample falls below the bound; equal texts give equal pieces, so copies count once.
+    share = F.create_map(*[F.lit(x) for r in size for x in (r["lang"], 3.0 * each * r["rows"] / (r["n"] * r["pieces"]))])[F.col("lang")]
+    low = rows.select("lang", "text", F.xxhash64("text").alias("t"), share.alias("share"), F.explode(F.sequence(F.lit(0), count)).alias("i")).withColumn("h", F.xxhash64("t", "i"))
+    low = low.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("lang", "h", F.substr("text", F.col("i") * piece + 1, F.lit(piece)).alias("piece"))
     found = defaultdict(list)
     for r in low.groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect():
         found[r["lang"]].append((r["h"], r["piece"]))
-    return {lang: (b"\n".join(normal(p) for _, p in sorted(found[lang])[:sample]), rows_of[lang]) for lang in sorted(found)}
+    return {lang: (b"\n".join(normal(p) for _, p in sorted(found[lang])[:each]), rows_of[lang]) for lang in sorted(found)}
 
 
 class Classifier:
@@ -81,6 +84,12 @@ class Classifier:
         return self.languages[best], score, bool(second - sizes[best] < MARGIN * sizes[best])
 
 
+@lru_cache(maxsize=2)
+def _model(pickled: bytes) -> Classifier:
+    """One model for a worker process, whatever the number of its tasks."""
+    return Classifier(pickle.loads(pickled))
+
+
 def identify(docs: DataFrame, train: Column, sample: int = SAMPLE, piece: int = PIECE) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and rejected for every row of ``docs`` (doc_id, text, lang).
 
@@ -89,10 +98,10 @@ def identify(docs: DataFrame, train: Column, sample: int = SAMPLE, piece: int =
     however long; extra columns are not read; repeated rows give repeated results.
     """
     ship(docs.sparkSession)
-    raw = docs.sparkSession.sparkContext.broadcast(dictionaries(docs, train, sample, piece))
+    raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(dictionaries(docs, train, sample, piece)))
 
     def run(batches):
-        model = Classifier(raw.value)
+        model = _model(raw.value)
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column("text")]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())

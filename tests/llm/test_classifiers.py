@@ -47,6 +47,7 @@ def test_automaton_is_edit_distance():
             told = [min(distance(text, word[:k]) for k in range(len(word) + 1)) if stem else distance(text, word) for text, stem, _ in entries]
             want = min((d for d, (_, _, limit) in zip(told, entries) if d <= limit), default=None)
             assert lexicon.match(word) == want
+            assert lexicon.distances(word) == {(lexicon.node_of[text, stem], stem): d for d, (text, stem, limit) in zip(told, entries) if d <= limit}
 
 
 def test_quotation_is_no_abuse():
@@ -74,3 +75,72 @@ def test_toxicity(spark):
     assert all((got[i] >= 0.3) == (i % 5 == 0) for i in range(400)) and got[1000] < 0.3 and got[1003] >= 0.3
     none = toxicity.score(spark.createDataFrame(rows[:3], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)).collect()
     assert len(none) == 3 and all(x.score < 0.3 for x in none)
+
+
+def test_entries_and_words_of_any_length():
+    text = "schimpfwort" * 7  # 77 characters
+    lexicon = toxicity.FuzzyLexicon([(text, False, 2), ("kotzen", True, 1)])
+    assert [lexicon.match(w) for w in (text, text[:-1], text + "xy", text[:-3], "x" * 100_000, "kozen" + "y" * 100_000)] == [0, 1, 2, None, None, 1]
+
+
+def test_odd_tables_of_toxicity(spark):
+    known = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), known, F.lit(True)).collect() == []
+    rows = [(1, "calm words", "x"), (1, "calm words", "x"), (2, "you idiot " * 20_000, "y")]
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, score string"), known, F.lit(True)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2] and len({r.score for r in got}) == 2
+
+
+def test_scores_by_edit_distance(spark):
+    """The features behind a score, from a plain edit distance to every entry instead of the automaton."""
+    r = random.Random(11)
+    entries = [("zornig", False, 1), ("zornelk", False, 1), ("blödmann", False, 2), ("kotz", True, 0), ("trottel", True, 1)]
+    m, near = toxicity.Matcher(entries), "bcdfgmnprstz"
+
+    def found(word):
+        told = [min(distance(text, word[:k]) for k in range(len(word) + 1)) if stem else distance(text, word) for text, stem, _ in entries]
+        return min((d for d, (_, _, limit) in zip(told, entries) if d <= limit), default=None)
+
+    for _ in range(150):
+        words = sentence(r, "aa", 12).split() + [r.choice(entries)[0] + r.choice(["", "en", "x"]) for _ in range(3)] + [t.replace(t[2], r.choice(near), 1) for t, _, _ in entries]
+        r.shuffle(words)
+        told = [found(w) for w in words]
+        address = [any(x in toxicity.ADDRESS for x in words[max(0, i - 4) : i] + words[i + 1 : i + 5]) for i in range(len(words))]
+        exact, close = sum(d == 0 for d in told), sum(d is not None and d > 0 for d in told)
+        plain = exact + toxicity.NEAR * close
+        want = [min(1.0, plain), toxicity.np.log1p(plain), 100 * plain / max(len(words), 20), 0.0, toxicity.np.log1p(sum(a for a, d in zip(address, told) if d is not None))]
+        assert m.features(" ".join(words)) == pytest.approx(want)
+
+
+def test_languages_by_compression_in_plain_python(spark):
+    import zstandard
+
+    r = random.Random(5)
+    rows = [(i, sentence(r, lang := r.choice(list(SYLLABLES)), r.randrange(1, 400)), lang) for i in range(120)]
+    rows += [(200, rows[0][1], rows[0][2]), (200, rows[0][1], rows[0][2]), (201, sentence(r, "bb", 60_000), None), (202, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    raw = langid.dictionaries(docs, F.col("doc_id") < 100, sample=20, piece=80)
+    pieces = {lang: {langid.normal(t[k : k + 80]) for i, t, x in rows if i < 100 and x == lang for k in range(0, len(t), 80)} for lang in SYLLABLES}
+    assert set(raw) == set(SYLLABLES)
+    for lang, (content, n) in raw.items():
+        held = content.split(b"\n")
+        assert n == sum(x == lang for i, _, x in rows if i < 100) and len(held) == 20 and set(held) <= pieces[lang]
+
+    def size(lang, text):
+        held = zstandard.ZstdCompressionDict(raw[lang][0], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        made = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress(langid.normal(text))
+        total = sum(n for _, n in raw.values())
+        return len(made) + toxicity.np.log2(total / raw[lang][1]) / 8
+
+    got = {x.doc_id: x for x in langid.identify(docs, F.col("doc_id") < 100, sample=20, piece=80).collect()}
+    for i, t, _ in rows:
+        sizes = {lang: size(lang, t) for lang in sorted(raw)}
+        assert got[i].lang_pred == min(sizes, key=sizes.get), i
+    assert got[201].lang_pred == "bb"
+
+
+def test_many_languages_share_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BUDGET", 40 * 30 * 3)
+    rows = [(i, "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(400)), f"l{i % 30}") for i in range(300)]
+    raw = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), piece=40)
+    assert len(raw) == 30 and all(1 <= len(c.split(b"\n")) <= 3 for c, _ in raw.values())
