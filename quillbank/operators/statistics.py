@@ -6,6 +6,8 @@ class is 0.5, the Jaccard of two empty sets is null.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,13 @@ def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with the 1-based rank of ``value`` within the keys; ties share their mean rank."""
+    """``df`` with the 1-based rank of ``value`` within the keys; ties share their mean rank.
+
+    Without keys the order of all values is made by range partitions: a value's ranks are the mean of its rows' places.
+    """
+    if not keys:
+        placed = dense_index(df.select(value), value, name="_rank").groupBy(value).agg(((F.min("_rank") + F.max("_rank")) / 2 + 1).alias(name))
+        return df.join(placed.withColumnRenamed(value, "_v"), F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
     by = Window.partitionBy(*keys)
     ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
     return df.withColumn(name, F.rank().over(by.orderBy(value)) + (ties - 1) / 2)
@@ -45,8 +53,8 @@ def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFr
     b = df.select(*keys, F.col(item).alias("_j"), F.col(x).alias("_x2"), F.col(y).alias("_y2"))
     dx, dy = F.signum(F.col("_x1") - F.col("_x2")), F.signum(F.col("_y1") - F.col("_y2"))
     pairs = (a.join(b, keys) if keys else a.crossJoin(b)).where("_i < _j").select(*keys, dx.alias("dx"), dy.alias("dy"))
-    sums = pairs.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dy")).alias("s"), F.sum(F.abs("dx")).alias("px"), F.sum(F.abs("dy")).alias("py"))
-    return sums.select(*keys, ratio(F.col("s"), F.sqrt(F.col("px") * F.col("py"))).alias("tau"))
+    sums = pairs.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dy")).alias("_s"), F.sum(F.abs("dx")).alias("_px"), F.sum(F.abs("dy")).alias("_py"))
+    return sums.select(*keys, ratio(F.col("_s"), F.sqrt(F.col("_px") * F.col("_py"))).alias("tau"))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, label: str, order: str) -> DataFrame:
@@ -98,3 +106,38 @@ def spearman_brown(r: Column) -> Column:
 
 def disattenuated(rho: Column, r1: Column, r2: Column) -> Column:
     return rho / F.sqrt(F.greatest(F.lit(1e-6), r1 * r2))
+
+
+#: A unit's side in random split b: the parity of (unit * SIDE[0] + b * SIDE[1]) mod SIDE[2].
+SIDE = (7919, 104729, 1009)
+
+
+def random_halves(cells: DataFrame, splits: int) -> DataFrame:
+    """g, b, domain, x and y: what either half of the units cites of each domain, for ``splits`` random halvings.
+
+    ``cells`` has g, unit (an integer), domain and n. Each partition adds up its own cells for all splits at once, so
+    rows are not multiplied by the number of splits; domains are a universe of bounded size.
+    """
+    kind = cells.schema["g"].dataType.simpleString()
+
+    def run(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            unit, n = batch.column("unit").to_numpy(), batch.column("n").to_numpy()
+            each, place = np.unique(unit, return_inverse=True)
+            members: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(batch.column("g").to_pylist(), batch.column("domain").to_pylist(), strict=True)):
+                members.setdefault(key, []).append(i)
+            side = ((each[:, None] * SIDE[0] + np.arange(splits)[None] * SIDE[1]) % SIDE[2] % 2).astype(bool)
+            for key, rows in members.items():
+                first = np.zeros(splits, np.int64)
+                for lo in range(0, len(rows), 512):
+                    some = rows[lo : lo + 512]
+                    first += n[some] @ ~side[place[some]]
+                total, x = held.setdefault(key, [np.int64(0), np.zeros(splits, np.int64)])
+                held[key] = [total + n[rows].sum(), x + first]
+        for (g, domain), (total, x) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * splits), pa.array(np.arange(splits)), pa.array([domain] * splits, pa.int64()), pa.array(x), pa.array(total - x)], names=["g", "b", "domain", "x", "y"])
+
+    parts = cells.select("g", F.col("unit").cast("bigint").alias("unit"), F.col("domain").cast("bigint").alias("domain"), F.col("n").cast("bigint").alias("n"))
+    return parts.mapInArrow(run, f"g {kind}, b bigint, domain bigint, x bigint, y bigint").groupBy("g", "b", "domain").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))

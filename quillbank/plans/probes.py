@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillbank.operators import probe, statistics as S
@@ -129,16 +130,19 @@ def r14(spark, d):
     return rho.join(S.kendall(both, ["engine"], "domain", "x", "y").select("engine", F.round("tau", 6).alias("tau")), "engine")
 
 
-@query("a14_support_overlap", f"""WITH {LOG}, a AS (SELECT domain, count(*) AS n FROM l WHERE engine = 'click' AND domain IS NOT NULL GROUP BY domain), b AS (SELECT domain, count(*) AS n FROM l WHERE engine = 'view' AND domain IS NOT NULL AND q % 3 = 0 GROUP BY domain)
+@query("a14_support_overlap", f"""WITH {LOG}, a AS (SELECT domain, count(*) AS n FROM l WHERE engine = 'click' AND domain IS NOT NULL GROUP BY domain), b AS (SELECT domain, count(*) AS n FROM l WHERE engine = 'view' AND domain IS NOT NULL GROUP BY domain),
+s AS (SELECT 0 AS g, a.n AS x, b.n AS y FROM a JOIN b USING (domain)), r AS (SELECT {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('s', 'g')} GROUP BY g)
 SELECT count(a.n) AS n_a, count(b.n) AS n_b, count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) AS shared, round(count(*) FILTER (a.n IS NOT NULL AND b.n IS NOT NULL) / count(*), 6) AS jaccard,
-round(coalesce(sum(a.n) FILTER (b.n IS NOT NULL), 0) / sum(a.n), 6) AS mass_a, round(coalesce(sum(b.n) FILTER (a.n IS NOT NULL), 0) / sum(b.n), 6) AS mass_b FROM a FULL JOIN b USING (domain)""")
+round(coalesce(sum(a.n) FILTER (b.n IS NOT NULL), 0) / sum(a.n), 6) AS mass_a, round(coalesce(sum(b.n) FILTER (a.n IS NOT NULL), 0) / sum(b.n), 6) AS mass_b, (SELECT rho FROM r) AS rho FROM a FULL JOIN b USING (domain)""")
 def a14(spark, d):
+    """Both engines' whole supports: sizes, what they share, its share of either's citations and its rank agreement."""
     rows = log(spark, d).where("domain IS NOT NULL")
     a = rows.where("engine = 'click'").groupBy("domain").agg(F.count("*").alias("na"))
-    b = rows.where("engine = 'view' AND q % 3 = 0").groupBy("domain").agg(F.count("*").alias("nb"))
+    b = rows.where("engine = 'view'").groupBy("domain").agg(F.count("*").alias("nb"))
     both = F.col("na").isNotNull() & F.col("nb").isNotNull()
     part = lambda c: F.round(F.coalesce(F.sum(F.when(both, F.col(c))), F.lit(0)) / F.sum(c), 6)
-    return a.join(b, "domain", "full").agg(F.count("na").alias("n_a"), F.count("nb").alias("n_b"), F.count(F.when(both, 1)).alias("shared"), F.round(F.count(F.when(both, 1)) / F.count(F.lit(1)), 6).alias("jaccard"), part("na").alias("mass_a"), part("nb").alias("mass_b"))
+    sizes = a.join(b, "domain", "full").agg(F.count("na").alias("n_a"), F.count("nb").alias("n_b"), F.count(F.when(both, 1)).alias("shared"), F.round(F.count(F.when(both, 1)) / F.count(F.lit(1)), 6).alias("jaccard"), part("na").alias("mass_a"), part("nb").alias("mass_b"))
+    return sizes.crossJoin(S.spearman(a.join(b, "domain"), [], "na", "nb").select(F.round("r", 6).alias("rho")))
 
 
 @query("a15_source_mix", f"""WITH {LOG}, r AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS round FROM l)
@@ -171,23 +175,37 @@ def r6(spark, d):
     return sets.select("q", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard")).where("jaccard IS NOT NULL")
 
 
-STEPS = [10, 25, 50, 75, 100]
+STEPS, ORDERS = [10, 25, 50, 75, 100], 25
 
 
-@query("r16_efficiency_curve", f"""WITH {UNIVERSE}, o AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS pos FROM (SELECT DISTINCT q FROM l)), s AS (SELECT unnest({STEPS}) AS n),
-full_ AS (SELECT domain, count(*) AS y FROM l JOIN u USING (domain) GROUP BY domain), part_ AS (SELECT n, domain, count(*) AS c FROM l JOIN u USING (domain) JOIN o USING (q) JOIN s ON pos < n GROUP BY n, domain),
-b AS (SELECT s.n, u.domain, coalesce(c, 0) AS x, y FROM s CROSS JOIN u LEFT JOIN part_ p ON p.n = s.n AND p.domain = u.domain JOIN full_ f ON f.domain = u.domain WHERE s.n <= (SELECT count(*) FROM o))
-SELECT n::BIGINT AS n, {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('b', 'n')} GROUP BY n""")
+@query("r16_efficiency_curve", f"""WITH {UNIVERSE}, r1 AS (SELECT * FROM l WHERE ts < TIMESTAMP '2024-01-16'), p AS (SELECT q, count(DISTINCT domain) AS k FROM l GROUP BY q), m AS (SELECT count(*) AS m FROM p),
+o AS (SELECT -1::BIGINT AS s, q, row_number() OVER (ORDER BY k DESC, q) - 1 AS pos FROM p UNION ALL SELECT s.x, q, row_number() OVER (PARTITION BY s.x ORDER BY (q * 7919 + s.x * 104729) % 100003, q) - 1 FROM p, range(0, {ORDERS}) s(x)),
+steps AS (SELECT n FROM (SELECT unnest({STEPS}) AS n), m WHERE n <= m), truth AS (SELECT u.domain, count(l.domain) AS y FROM u LEFT JOIN l ON l.domain = u.domain AND ts >= TIMESTAMP '2024-01-16' GROUP BY u.domain),
+c AS (SELECT q, domain, count(*) AS c FROM r1 JOIN u USING (domain) GROUP BY q, domain), part AS (SELECT s, n, domain, sum(c) AS c FROM c JOIN o USING (q) JOIN steps ON pos < n GROUP BY s, n, domain),
+b AS (SELECT g.s, steps.n, truth.domain, coalesce(c, 0) AS x, y FROM (SELECT DISTINCT s FROM o) g CROSS JOIN steps CROSS JOIN truth LEFT JOIN part p ON p.s = g.s AND p.n = steps.n AND p.domain = truth.domain),
+rho AS (SELECT s, n, {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('b', 's, n')} GROUP BY s, n),
+k AS (SELECT a.s, a.n, sum(sign(a.x - z.x) * sign(a.y - z.y)) AS s_, sum(abs(sign(a.x - z.x))) AS px, sum(abs(sign(a.y - z.y))) AS py FROM b a JOIN b z ON a.s = z.s AND a.n = z.n AND a.domain < z.domain GROUP BY a.s, a.n),
+e AS (SELECT s, n, rho, round(coalesce(s_ / nullif(sqrt(px * py::DOUBLE), 0), 0), 6) AS tau FROM rho JOIN k USING (s, n))
+SELECT n::BIGINT AS n, any_value(rho) FILTER (s = -1) AS rho, any_value(tau) FILTER (s = -1) AS tau, round(avg(rho) FILTER (s >= 0), 6) AS random_rho, round(avg(tau) FILTER (s >= 0), 6) AS random_tau FROM e GROUP BY n""")
 def r16(spark, d):
-    """Ranking of domains from the first n queries against the ranking from all of them."""
+    """Domain ranking of the first n queries in round 1 against round 2's from all: the most informative first, and the mean of random orders."""
     from quillbank.session import dense_index
 
-    rows = log(spark, d)
+    rows = in_rounds(spark, d)
     domains = F.broadcast(probe.universe(rows).select("domain"))
-    placed = dense_index(rows.select("q").distinct(), "q", name="pos")
-    steps = spark.createDataFrame([(n,) for n in STEPS], "n bigint").where(F.col("n") <= placed.count())
-    cited = rows.join(domains, "domain").groupBy("q", "domain").agg(F.count("*").alias("c"))
-    part = cited.join(placed, "q").join(F.broadcast(steps), F.col("pos") < F.col("n")).groupBy("n", "domain").agg(F.sum("c").alias("c"))
-    all_ = cited.groupBy("domain").agg(F.sum("c").alias("y"))
-    both = all_.crossJoin(F.broadcast(steps)).join(part, ["n", "domain"], "left").select("n", "domain", F.coalesce("c", F.lit(0)).alias("x"), "y")
-    return S.spearman(both, ["n"], "x", "y").select("n", F.round("r", 6).alias("rho"))
+    queries = rows.groupBy("q").agg(F.count_distinct("domain").alias("k"))
+    first = dense_index(queries, F.desc("k"), "q", name="pos").select(F.lit(-1).cast("bigint").alias("s"), "q", "pos")
+    steps = [n for n in STEPS if n <= first.count()]
+    drawn = queries.select("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(ORDERS - 1).cast("bigint"))).alias("s")).withColumn("h", (F.col("q") * 7919 + F.col("s") * 104729) % 100003)
+    some = drawn.withColumn("pos", F.row_number().over(Window.partitionBy("s").orderBy("h", "q")) - 1).where(F.col("pos") < max(steps, default=0)).select("s", "q", "pos")
+    order = first.where(F.col("pos") < max(steps, default=0)).unionByName(some)  # as many queries as the largest step, for each order
+    truth = rows.where("round = 2").join(domains, "domain").groupBy("domain").agg(F.count("*").alias("y"))
+    truth = probe.universe(rows).select("domain").join(truth, "domain", "left").select("domain", F.coalesce("y", F.lit(0)).alias("y"))
+    cited = rows.where("round = 1").join(domains, "domain").groupBy("q", "domain").agg(F.count("*").alias("c"))
+    at = F.explode(F.filter(F.array(*[F.lit(n) for n in steps]).cast("array<bigint>"), lambda n: n > F.col("pos"))).alias("n")
+    part = cited.join(F.broadcast(order), "q").select("s", "domain", "c", at).groupBy("s", "n", "domain").agg(F.sum("c").alias("x"))
+    spine = truth.select("domain", "y", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(ORDERS - 1).cast("bigint"))).alias("s")).select("*", F.explode(F.array(*[F.lit(n) for n in steps]).cast("array<bigint>")).alias("n"))
+    both = spine.join(part, ["s", "n", "domain"], "left").select("s", "n", "domain", F.coalesce("x", F.lit(0)).alias("x"), "y")
+    told = S.spearman(both, ["s", "n"], "x", "y").join(S.kendall(both, ["s", "n"], "domain", "x", "y"), ["s", "n"]).select("s", "n", F.round("r", 6).alias("rho"), F.round("tau", 6).alias("tau"))
+    own, others = (lambda c: F.max(F.when(F.col("s") == -1, F.col(c)))), (lambda c: F.round(F.avg(F.when(F.col("s") >= 0, F.col(c))), 6))
+    return told.groupBy("n").agg(own("rho").alias("rho"), own("tau").alias("tau"), others("rho").alias("random_rho"), others("tau").alias("random_tau"))

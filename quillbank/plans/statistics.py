@@ -11,6 +11,7 @@ from quillbank.operators import statistics as S
 from quillbank.plans.probes import CORRELATION, ranked_sql
 from quillbank.plans.registry import query, table
 from quillbank.plans.text import CONTENT
+from quillbank.session import dense_index
 
 SUPPLIER = "s AS (SELECT s_suppkey AS i, s_acctbal AS x, round(s_acctbal / 500) AS y, s_nationkey AS g FROM supplier)"
 
@@ -75,40 +76,49 @@ def r8(spark, d):
 
 
 DRAW_SQL = """n AS (SELECT b.x AS b, i.x AS i, ({seed} + (b.x * {n} + i.x + 1) * 1831565813) & 4294967295 AS s FROM range(0, {boots}) b(x), range(0, {n}) i(x)), a AS (SELECT b, i, ((xor(s, s >> 15)::HUGEINT * (s | 1)::HUGEINT) % 4294967296)::BIGINT AS t FROM n),
-m AS (SELECT b, xor((t + ((xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT) % 4294967296)::BIGINT) & 4294967295, t) AS m FROM a), draw AS (SELECT b, floor(xor(m, m >> 14) / 4294967296.0 * {n})::BIGINT AS i FROM m)"""
+m AS (SELECT b, i, xor((t + ((xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT) % 4294967296)::BIGINT) & 4294967295, t) AS m FROM a), draw AS (SELECT b, i AS slot, xor(m, m >> 14) / 4294967296.0 AS u FROM m)"""
 
 
 def draws(spark, boots: int, n: int, seed: int):
-    """b and i: ``n`` places drawn with replacement for each of ``boots`` replicates, each from its own counter."""
+    """b, slot and u: ``n`` uniform numbers for each of ``boots`` replicates, each from its own place in one sequence."""
     spine = spark.range(boots * n, numPartitions=max(1, boots * n // 500_000)).withColumnRenamed("id", "c")
-    return spine.select(F.floor(F.col("c") / n).alias("b"), F.floor(N.uniform(F.lit(seed), F.col("c") + 1) * n).cast("bigint").alias("i"))
+    return spine.select(F.floor(F.col("c") / n).alias("b"), (F.col("c") % n).alias("slot"), N.uniform(F.lit(seed), F.col("c") + 1).alias("u"))
 
 
-BOOTS = 200
+#: Resamples of an interval, of a paired difference and of a correlation.
+BOOTS, PAIRED, CORRELATED = 2000, 5000, 2000
 
 
-@query("r9_bootstrap_ci", f"WITH v AS (SELECT n_nationkey AS i, total AS x FROM (SELECT n_nationkey, sum(c_acctbal) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)), {DRAW_SQL.format(seed=7, n=25, boots=BOOTS)}, r AS (SELECT b, avg(x) AS m FROM draw JOIN v USING (i) GROUP BY b) SELECT round((SELECT avg(x) FROM v), 4) AS est, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM r")
+@query("r9_bootstrap_ci", f"WITH v AS (SELECT n_nationkey AS i, total AS x FROM (SELECT n_nationkey, sum(c_acctbal) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)), {DRAW_SQL.format(seed=7, n=25, boots=BOOTS)}, r AS (SELECT b, avg(x) AS m FROM draw JOIN v ON i = floor(u * 25) GROUP BY b) SELECT round((SELECT avg(x) FROM v), 4) AS est, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM r")
 def r9(spark, d):
     """Percentile interval of a mean over the nations' balances."""
     customers = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("i")).agg(F.sum("c_acctbal").alias("x"))
-    means = draws(spark, BOOTS, 25, 7).join(F.broadcast(customers), "i").groupBy("b").agg(F.avg("x").alias("m"))
+    drawn = draws(spark, BOOTS, 25, 7).select("b", F.floor(F.col("u") * 25).cast("bigint").alias("i"))
+    means = drawn.join(F.broadcast(customers), "i").groupBy("b").agg(F.avg("x").alias("m"))
     return customers.agg(F.round(F.avg("x"), 4).alias("est")).crossJoin(means.agg(F.round(F.percentile("m", 0.025), 4).alias("lo"), F.round(F.percentile("m", 0.975), 4).alias("hi")))
 
 
-@query("r10_paired_bootstrap", f"""WITH v AS (SELECT c_nationkey AS i, sum(c_acctbal) AS x, sum(c_custkey % 97 * 10.0) AS y FROM customer GROUP BY 1), {DRAW_SQL.format(seed=11, n=25, boots=BOOTS)}, r AS (SELECT b, avg(x) - avg(y) AS m FROM draw JOIN v USING (i) GROUP BY b),
-p AS (SELECT avg((m <= 0)::INT) AS f FROM r) SELECT round((SELECT avg(x) - avg(y) FROM v), 4) AS est, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi, round(greatest(2 * least(any_value(f), 1 - any_value(f)), 1.0 / {BOOTS}), 6) AS p FROM r, p""")
+@query("r10_paired_bootstrap", f"""WITH v AS (SELECT c_nationkey AS i, sum(c_acctbal) AS x, sum(c_custkey % 97 * 10.0) AS y FROM customer GROUP BY 1), {DRAW_SQL.format(seed=11, n=25, boots=PAIRED)}, r AS (SELECT b, avg(x) - avg(y) AS m FROM draw JOIN v ON i = floor(u * 25) GROUP BY b),
+p AS (SELECT avg((m <= 0)::INT) AS f FROM r) SELECT round((SELECT avg(x) - avg(y) FROM v), 4) AS est, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi, round(greatest(2 * least(any_value(f), 1 - any_value(f)), 1.0 / {PAIRED}), 6) AS p FROM r, p""")
 def r10(spark, d):
     customers = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("i")).agg(F.sum("c_acctbal").alias("x"), F.sum(F.col("c_custkey") % 97 * 10.0).alias("y"))
-    gaps = draws(spark, BOOTS, 25, 11).join(F.broadcast(customers), "i").groupBy("b").agg((F.avg("x") - F.avg("y")).alias("m"))
+    drawn = draws(spark, PAIRED, 25, 11).select("b", F.floor(F.col("u") * 25).cast("bigint").alias("i"))
+    gaps = drawn.join(F.broadcast(customers), "i").groupBy("b").agg((F.avg("x") - F.avg("y")).alias("m"))
     below = F.avg(F.when(F.col("m") <= 0, 1.0).otherwise(0.0))
-    interval = gaps.agg(F.round(F.percentile("m", 0.025), 4).alias("lo"), F.round(F.percentile("m", 0.975), 4).alias("hi"), F.round(F.greatest(2 * F.least(below, 1 - below), F.lit(1.0 / BOOTS)), 6).alias("p"))
+    interval = gaps.agg(F.round(F.percentile("m", 0.025), 4).alias("lo"), F.round(F.percentile("m", 0.975), 4).alias("hi"), F.round(F.greatest(2 * F.least(below, 1 - below), F.lit(1.0 / PAIRED)), 6).alias("p"))
     return customers.agg(F.round(F.avg("x") - F.avg("y"), 4).alias("est")).crossJoin(interval)
 
 
-@query("r11_bootstrap_correlation", f"WITH v AS (SELECT c_nationkey AS i, sum(c_acctbal) AS x, avg(c_acctbal) AS y FROM customer GROUP BY 1), {DRAW_SQL.format(seed=13, n=25, boots=BOOTS)}, r AS (SELECT b, coalesce(covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0), 0) AS m FROM draw JOIN v USING (i) GROUP BY b) SELECT round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.5), 5) AS mid, round(quantile_cont(m, 0.975), 5) AS hi FROM r")
+@query("r11_bootstrap_correlation", f"""WITH v AS (SELECT n_regionkey AS g, n_nationkey, sum(c_acctbal) AS x, avg(c_acctbal) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n_nationkey) - 1 AS place FROM v),
+{DRAW_SQL.format(seed=13, n=25, boots=CORRELATED)}, r AS (SELECT b, g, coalesce(covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0), 0) AS m FROM draw JOIN p ON g = slot // 5 AND place = floor(u * 5) GROUP BY b, g),
+e AS (SELECT b, avg(m) AS m FROM r GROUP BY b) SELECT round(quantile_cont(m, 0.025), 5) AS lo, round(quantile_cont(m, 0.5), 5) AS mid, round(quantile_cont(m, 0.975), 5) AS hi FROM e""")
 def r11(spark, d):
-    customers = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("i")).agg(F.sum("c_acctbal").alias("x"), F.avg("c_acctbal").alias("y"))
-    each = draws(spark, BOOTS, 25, 13).join(F.broadcast(customers), "i").groupBy("b").agg(S.pearson_of("x", "y").alias("m"))
+    """Domains are drawn within each vertical (here nations within regions) from one sequence; a replicate averages the verticals."""
+    nations = table(spark, d, "nation").select(F.col("n_regionkey").alias("g"), "n_nationkey")
+    cells = table(spark, d, "customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("g", "n_nationkey").agg(F.sum("c_acctbal").alias("x"), F.avg("c_acctbal").alias("y"))
+    placed = cells.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("n_nationkey")) - 1)
+    drawn = draws(spark, CORRELATED, 25, 13).select("b", F.floor(F.col("slot") / 5).alias("g"), F.floor(F.col("u") * 5).alias("place"))
+    each = drawn.join(F.broadcast(placed), ["g", "place"]).groupBy("b", "g").agg(S.pearson_of("x", "y").alias("m")).groupBy("b").agg(F.avg("m").alias("m"))
     return each.agg(*[F.round(F.percentile("m", p), 5).alias(n) for n, p in (("lo", 0.025), ("mid", 0.5), ("hi", 0.975))])
 
 
@@ -118,32 +128,45 @@ def r12(spark, d):
     return S.holm(tests, "p", "i").select("i", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))
 
 
-HALVES = "h AS (SELECT event_type AS g, CAST(json_extract_string(props, '$.k') AS BIGINT) AS domain, count(*) FILTER (user_id % 2 = 0) AS x, count(*) FILTER (user_id % 2 = 1) AS y FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2)"
+#: Random halvings of a reliability and of a permutation null.
+SPLITS, PERMUTATIONS = 200, 2000
+CELLS = "cells AS (SELECT {g} AS g, user_id AS unit, CAST(json_extract_string(props, '$.k') AS BIGINT) AS domain, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY ALL)"
+HALVES = "h AS (SELECT g, b.x AS b, domain, coalesce(sum(n) FILTER ((unit * 7919 + b.x * 104729) % 1009 % 2 = 0), 0) AS x, coalesce(sum(n) FILTER ((unit * 7919 + b.x * 104729) % 1009 % 2 = 1), 0) AS y FROM cells, range(0, {splits}) b(x) GROUP BY 1, 2, 3)"
 
 
-@query("r13_split_half", f"WITH {HALVES}, r AS (SELECT g, {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('h', 'g')} GROUP BY g) SELECT g, rho, round(greatest(0, least(1, 2 * rho / (1 + rho))), 6) AS reliability FROM r")
-def r13(spark, d):
-    """Rank agreement of two halves of the queries, stepped up to full length and clamped to [0, 1]."""
-    events = table(spark, d, "events").select(F.col("event_type").alias("g"), F.get_json_object("props", "$.k").cast("bigint").alias("domain"), "user_id").where("domain IS NOT NULL")
-    half = lambda k: F.count(F.when(F.col("user_id") % 2 == k, 1))
-    rho = S.spearman(events.groupBy("g", "domain").agg(half(0).alias("x"), half(1).alias("y")), ["g"], "x", "y").select("g", F.round("r", 6).alias("rho"))
-    return rho.withColumn("reliability", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), S.spearman_brown(F.col("rho")))), 6))
-
+def cited(spark, d, g):
+    """g, unit, domain, n: citations of each domain by each query (user)."""
+    rows = table(spark, d, "events").select(g.alias("g"), F.col("user_id").alias("unit"), F.get_json_object("props", "$.k").cast("bigint").alias("domain")).where("domain IS NOT NULL")
+    return rows.groupBy("g", "unit", "domain").agg(F.count("*").alias("n"))
 
-PERMUTATIONS = 100
-PERMUTED = """u AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS domain FROM events WHERE event_type = 'view' AND json_extract_string(props, '$.k') IS NOT NULL),
-h AS (SELECT b.x AS b, domain, count(*) FILTER ((user_id * 7919 + b.x * 104729) % 1009 % 2 = 0) AS x, count(*) FILTER ((user_id * 7919 + b.x * 104729) % 1009 % 2 = 1) AS y FROM u, range(0, 100) b(x) GROUP BY 1, 2)"""
 
-
-@query("r15_permutation_null", f"WITH {PERMUTED}, r AS (SELECT b, {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('h', 'b')} GROUP BY b) SELECT round(avg(rho), 5) AS mean, round(avg((rho <= 0.5)::INT), 6) AS percentile FROM r")
+@query("r13_split_half", f"""WITH {CELLS.format(g="event_type")}, {HALVES.format(splits=SPLITS)}, r AS (SELECT g, b, {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('h', 'g, b')} GROUP BY g, b),
+s AS (SELECT *, coalesce(2 * rho / nullif(1 + rho, 0), 0) AS sb FROM r) SELECT g, round(any_value(rho) FILTER (b = 0), 6) AS rho, round(greatest(-1, least(1, any_value(sb) FILTER (b = 0))), 6) AS reliability, round(avg(sb), 6) AS mean_reliability FROM s GROUP BY g""")
+def r13(spark, d):
+    """Rank agreement of two halves of the queries, stepped up to full length: one split, clamped, and the mean of 200."""
+    halves = S.random_halves(cited(spark, d, F.col("event_type")), SPLITS)
+    rho = S.spearman(halves, ["g", "b"], "x", "y").select("g", "b", F.round("r", 6).alias("rho")).withColumn("sb", S.spearman_brown(F.col("rho")))
+    one = lambda c: F.max(F.when(F.col("b") == 0, c))
+    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sb")))
+    return rho.groupBy("g").agg(F.round(one(F.col("rho")), 6).alias("rho"), F.round(one(clamped), 6).alias("reliability"), F.round(F.avg("sb"), 6).alias("mean_reliability"))
+
+
+@query("r15_permutation_null", f"""WITH {CELLS.format(g="0::BIGINT")}, {HALVES.format(splits=PERMUTATIONS)}, r AS (SELECT b, {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('h', 'b')} GROUP BY b),
+q AS (SELECT user_id AS unit, row_number() OVER (ORDER BY sum(round(value * 100)::BIGINT) / count(*) DESC, user_id) - 1 AS p, count(*) OVER () AS n FROM events GROUP BY user_id),
+o AS (SELECT 0 AS g, domain, coalesce(sum(c.n) FILTER (p < q.n // 2), 0) AS x, coalesce(sum(c.n) FILTER (p >= q.n // 2), 0) AS y FROM cells c JOIN q USING (unit) GROUP BY domain),
+e AS (SELECT {CORRELATION('rx', 'ry')} AS rho FROM {ranked_sql('o', 'g')} GROUP BY g)
+SELECT (SELECT rho FROM e) AS observed, round(avg(rho), 5) AS mean, round(quantile_cont(rho, 0.025), 5) AS lo, round(quantile_cont(rho, 0.975), 5) AS hi, round(avg((rho <= (SELECT rho FROM e))::INT), 6) AS percentile FROM r""")
 def r15(spark, d):
-    """The correlation of many random halves, against which an observed one is placed."""
-    rows = table(spark, d, "events").where("event_type = 'view'").select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("domain")).where("domain IS NOT NULL")
-    cells = rows.groupBy("user_id", "domain").agg(F.count("*").alias("n")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))
-    side = (F.col("user_id") * 7919 + F.col("b") * 104729) % 1009 % 2
-    both = cells.groupBy("b", "domain").agg(F.sum(F.when(side == 0, F.col("n")).otherwise(0)).alias("x"), F.sum(F.when(side == 1, F.col("n")).otherwise(0)).alias("y"))
-    rho = S.spearman(both, ["b"], "x", "y").select(F.round("r", 6).alias("rho"))
-    return rho.agg(F.round(F.avg("rho"), 5).alias("mean"), F.round(F.avg(F.when(F.col("rho") <= 0.5, 1.0).otherwise(0.0)), 6).alias("percentile"))
+    """An observed split, queries of high against low mean value, placed among the correlations of random halves."""
+    cells = cited(spark, d, F.lit(0).cast("bigint"))
+    users = table(spark, d, "events").groupBy(F.col("user_id").alias("unit")).agg((F.sum(F.round(F.col("value") * 100).cast("bigint")) / F.count("*")).alias("m"))
+    order = dense_index(users, F.desc("m"), "unit", name="p")
+    half = order.count() // 2
+    side = lambda low: F.sum(F.when((F.col("p") < half) == low, F.col("n")).otherwise(0))
+    observed = S.spearman(cells.join(order, "unit").groupBy("g", "domain").agg(side(True).alias("x"), side(False).alias("y")), ["g"], "x", "y").select(F.round("r", 6).alias("observed"))
+    null = S.spearman(S.random_halves(cells, PERMUTATIONS), ["b"], "x", "y").select(F.round("r", 6).alias("rho"))
+    placed = null.crossJoin(F.broadcast(observed))  # one row
+    return placed.agg(F.max("observed").alias("observed"), F.round(F.avg("rho"), 5).alias("mean"), F.round(F.percentile("rho", 0.025), 5).alias("lo"), F.round(F.percentile("rho", 0.975), 5).alias("hi"), F.round(F.avg(F.when(F.col("rho") <= F.col("observed"), 1.0).otherwise(0.0)), 6).alias("percentile"))
 
 
 @query("r17_matched_threshold", "WITH a AS (SELECT avg((c_acctbal < 1000)::INT) AS drop_rate FROM customer), q AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier), p AS (SELECT drop_rate * (n - 1) AS pos, x, i FROM a, q) SELECT round(sum(CASE WHEN i = floor(pos) AND floor(pos) = ceil(pos) THEN x WHEN i = floor(pos) THEN x * (ceil(pos) - pos) WHEN i = ceil(pos) THEN x * (pos - floor(pos)) ELSE 0 END), 4) AS threshold FROM p")
@@ -228,12 +251,17 @@ def a24(spark, d):
     return rows.crossJoin(cut).agg(F.round(F.avg(F.when(x >= F.col("cut"), F.when(gone, 1.0).otherwise(0.0))), 6).alias("dropped_top"), F.round(F.avg(F.when(gone, x)), 4).alias("mean_dropped"), F.round(F.avg(F.when(~gone, x)), 4).alias("mean_kept"))
 
 
-@query("a25_dispersion", "WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS m, quantile_cont(c_acctbal, 0.75) AS b FROM customer) SELECT round((b - a) / m, 6) AS iqr_ratio, (SELECT round(count(*) FILTER (c_acctbal >= b AND c_custkey % 4 > 0)::DOUBLE / count(*) FILTER (c_acctbal >= b OR c_custkey % 4 > 0), 6) FROM customer) AS overlap FROM q")
+@query("a25_dispersion", """WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS m, quantile_cont(c_acctbal, 0.75) AS b FROM customer), p AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS p, count(*) OVER () AS n FROM customer)
+SELECT round((b - a) / m, 6) AS iqr_ratio, (SELECT round(count(*) FILTER (c_acctbal >= b AND c_custkey % 4 > 0)::DOUBLE / count(*) FILTER (c_acctbal >= b OR c_custkey % 4 > 0), 6) FROM customer) AS overlap, (SELECT round(avg(x) FILTER (p >= n - n // 4) / avg(x) FILTER (p < n // 4), 4) FROM p) AS spread FROM q""")
 def a25(spark, d):
+    """Interquartile range over the median, overlap of two top sets, and the top quarter's mean over the bottom quarter's."""
     rows = table(spark, d, "customer")
     q = F.broadcast(rows.agg(*[F.percentile("c_acctbal", p).alias(n) for n, p in (("a", 0.25), ("m", 0.5), ("b", 0.75))]))
     top, other = F.col("c_acctbal") >= F.col("b"), F.col("c_custkey") % 4 > 0
-    return rows.crossJoin(q).agg(F.round((F.max("b") - F.max("a")) / F.max("m"), 6).alias("iqr_ratio"), F.round(F.count(F.when(top & other, 1)) / F.count(F.when(top | other, 1)), 6).alias("overlap"))
+    placed = dense_index(rows.select("c_acctbal", "c_custkey"), "c_acctbal", "c_custkey", name="p")
+    n, x = placed.count(), F.col("c_acctbal")
+    spread = placed.agg(F.round(F.avg(F.when(F.col("p") >= n - n // 4, x)) / F.avg(F.when(F.col("p") < n // 4, x)), 4).alias("spread"))
+    return rows.crossJoin(q).agg(F.round((F.max("b") - F.max("a")) / F.max("m"), 6).alias("iqr_ratio"), F.round(F.count(F.when(top & other, 1)) / F.count(F.when(top | other, 1)), 6).alias("overlap")).crossJoin(spread)
 
 
 BEST = f"""r AS (SELECT item_id, {CONTENT} AS b FROM benchmark), q AS (SELECT conv_id, turn, {CONTENT} AS a FROM conversations WHERE role = 'user'),
