@@ -143,3 +143,77 @@ def test_item_response_takes_the_steps_of_the_reference():
     for got, want in zip(kernels.fit_2pl(succ, trials), kernels.fit_2pl(succ, trials, 3000), strict=True):
         assert np.array_equal(got, want)
     assert any(not np.array_equal(x, y) for x, y in zip(kernels.fit_2pl(succ, trials), kernels.fit_2pl(succ, trials, 1500), strict=True))
+
+
+def test_kmeans_is_lloyd_from_the_same_starts(spark):
+    x = unit(300, 6, 11)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(4)
+    for cosine in (True, False):
+        (centroids, gain), (more, other) = M.fit_kmeans(frame, [(5, 3), (8, 3)], cosine, restarts=2)
+        best = None
+        for r in range(2):
+            model = M.Lloyd(M.first_centroids(x, 5, cosine, 3 + 101 * r), cosine, 3 + 101 * r)
+            for _ in range(60):
+                at, _ = model.nearest(x)
+                sums = np.zeros_like(model.centroids)
+                np.add.at(sums, at, x)
+                model.update(sums, np.bincount(at, minlength=5), x)
+                if model.done:
+                    break
+            total = model.nearest(x)[1].sum()
+            best = max(best, total) if best is not None else total
+        assert gain == pytest.approx(best) and len(centroids) == 5 and len(more) == 8 and other > gain
+        told = {q.id: q.cid for q in M.assigned(frame, centroids, cosine).collect()}
+        assert [told[i] for i in range(300)] == M.Lloyd(centroids, cosine, 0).nearest(x)[0].tolist()
+
+
+def test_a_centroid_without_rows_is_seeded_again():
+    model = M.Lloyd(np.array([[1.0, 0.0], [0.0, 1.0]]), True, 1)
+    model.update(np.array([[2.0, 0.0], [0.0, 0.0]]), np.array([2, 0]), np.array([[0.6, 0.8]]))
+    assert model.centroids.tolist() == [[1.0, 0.0], [0.6, 0.8]]
+
+
+def test_calibration_tells_far_classes_and_not_equal_ones(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=4) + (3.0 * (i % 2) if shift else 0.0)).tolist(), i % 2) for shift in (0,) for i in range(600)]
+    far = [(i, (r.normal(size=4) + 3.0 * (i % 2)).tolist(), i % 2) for i in range(600)]
+    kind = "id bigint, x array<double>, y int"
+    auc, mauve, _ = M.calibration(spark.createDataFrame(rows, kind))
+    auc_far, mauve_far, model = M.calibration(spark.createDataFrame(far, kind))
+    assert abs(auc - 0.5) < 0.12 and mauve > 0.6 and auc_far > 0.99 and mauve_far < 0.1
+    assert model(np.array([[3.0] * 4]))[0] > 0.9 > 0.1 > model(np.array([[0.0] * 4]))[0]
+
+
+def test_folds_take_seventy_percent_of_either_class():
+    y = np.array([1.0] * 10 + [0.0] * 20)
+    train = M.folds(y, 5)
+    assert train[:10].sum() == 7 and train[10:].sum() == 14
+
+
+def test_random_halves_equal_a_plain_count(spark):
+    r = np.random.default_rng(4)
+    cells = [("a" if u % 3 else "b", int(u), int(k), int(n)) for u, k, n in zip(r.integers(0, 50, 400), r.integers(0, 6, 400), r.integers(1, 5, 400))]
+    got = {(q.g, q.b, q.domain): (q.x, q.y) for q in S.random_halves(spark.createDataFrame(cells, "g string, unit long, domain long, n long").repartition(3), 7).collect()}
+    want = {}
+    for g, u, k, n in cells:
+        for b in range(7):
+            side = (u * 7919 + b * 104729) % 1009 % 2
+            x, y = want.get((g, b, k), (0, 0))
+            want[g, b, k] = (x + n * (side == 0), y + n * (side == 1))
+    assert got == want
+
+
+def test_keyless_ranks_share_ties(spark):
+    rows = spark.createDataFrame([(v,) for v in (3.0, 1.0, 3.0, 2.0, 3.0)], "x double")
+    assert sorted((q.x, q.r) for q in S.average_ranks(rows, [], "x", "r").collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 4.0), (3.0, 4.0), (3.0, 4.0)]
+
+
+def test_head_search_gates_and_takes_each_text_once(spark):
+    from quillbank.plans.text import head_search
+
+    corpus = [(1, "red ring now"), (2, "what red ring is best"), (3, "the red rings and blue ring"), (4, "blue ring " * 30), (5, "is blue ring worth it")]
+    frames_ = spark.createDataFrame([("blue ring",), ("red ring",), ("ring",), ("none here",)], "head string"), spark.createDataFrame(corpus, "id bigint, q string")
+    assert sorted((r["head"], r["id"]) for r in head_search(*frames_, 10).collect()) == [("blue ring", 3), ("red ring", 2), ("ring", 5)]
+    assert head_search(*frames_, 1).count() == 1
+    with pytest.raises(ValueError):
+        head_search(*frames_, 10, least=4)
