@@ -17,6 +17,12 @@ from quillbank.functions import numbers as N
 MODEL_CELLS = 8_000_000
 
 
+def checked(clusters: DataFrame) -> DataFrame:
+    """``clusters`` marked for a broadcast where their centroids have at most MODEL_CELLS numbers, else as they are."""
+    cells = clusters.select(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
+    return F.broadcast(clusters) if cells <= MODEL_CELLS else clusters
+
+
 def centroids(vectors: DataFrame, label: str = "cid", value: str = "v") -> DataFrame:
     """cid, centroid (unit mean), weight = ln(1 + members), members."""
     each = vectors.select(label, F.posexplode(value).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"))

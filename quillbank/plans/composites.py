@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,8 +13,10 @@ from quillbank.operators import kernels as M
 from quillbank.operators import nearest as K
 from quillbank.operators import statistics as S
 from quillbank.plans.registry import query, table
-from quillbank.plans.text import COLLAPSED, FIRST_TURN
+from quillbank.plans.selection import HELD_SQL, a6, a7, bank, drawn_sql, fanout, fanout_sql, holdout
+from quillbank.plans.text import COLLAPSED, FIRST_TURN, LIST
 from quillbank.plans.vectors import NEAREST, VECTORS, vectors
+from quillbank.session import dense_index
 from quillbank.sources import files
 from quillbank.streaming import visibility
 
@@ -24,14 +28,10 @@ def p1(spark, d):
     return bank.withColumn("logvol", F.round(F.log1p("volume"), 6)).withColumn("intent", F.when(F.col("seed").isin("Brand#1", "Brand#2"), "N").otherwise("I"))
 
 
-@query("p2_holdout_split", f"WITH {VECTORS}, r AS (SELECT id, row_number() OVER (ORDER BY (id * 7919) % 10007, id) - 1 AS p, count(*) OVER () AS n FROM e) SELECT id, CASE WHEN p < floor(0.2 * n) THEN 'holdout' ELSE 'train' END AS split FROM r")
+@query("p2_holdout_split", f"SELECT vec_id AS id, CASE WHEN vec_id IN {HELD_SQL} THEN 'holdout' ELSE 'train' END AS split FROM embeddings")
 def p2(spark, d):
-    """A fifth of the bank is held out, by an order that depends on the id alone."""
-    from quillbank.session import dense_index
-
-    ids = dense_index(vectors(spark, d).select("id"), F.col("id") * 7919 % 10007, "id", name="p")
-    n = ids.count()
-    return ids.select("id", F.when(F.col("p") < int(0.2 * n), "holdout").otherwise("train").alias("split"))
+    """A fifth of the bank is held out, the first in the order of a seeded draw for each id."""
+    return holdout(vectors(spark, d)).select("id", F.when(F.col("held"), "holdout").otherwise("train").alias("split"))
 
 
 @query("p3_reference_pool", f"""SELECT DISTINCT t AS q FROM (SELECT {COLLAPSED} AS t FROM {FIRST_TURN}) WHERE length(t) BETWEEN 12 AND 220 AND regexp_full_match(t, '[\\x00-\\x7E]*') AND len(string_split(t, ' ')) >= 3""")
@@ -49,35 +49,40 @@ def p4(spark, d):
     return k.join(told, "cid").select("cid", "members", F.round("weight", 6).alias("weight"), "first_member", "nearest_members")
 
 
-PERSONAS, SCENARIOS = ["beginner", "expert", "parent", "buyer"], ["research", "comparison", "problem", "purchase"]
+PERSONAS, SCENARIOS, FUNNELS = ["beginner", "expert", "parent", "buyer"], ["research", "comparison", "problem", "purchase"], ["awareness", "consideration", "decision"]
+#: Candidates that are aimed at, questions that a job asks for, and the seed of the jobs' draws.
+TARGET, PER_JOB, JOB_SEED = 1000, 5, 20260711
+_JOBS = f"WITH {VECTORS}, c AS (SELECT cid, row_number() OVER (ORDER BY cid) - 1 AS pos, count(*) OVER () AS m FROM (SELECT DISTINCT cid FROM e)), n AS (SELECT *, greatest(3, ceil(greatest(6, ceil({TARGET} / m)) / {PER_JOB}))::BIGINT AS jobs FROM c), j AS (SELECT cid, job, pos * jobs + job AS k FROM n, range(0, 1000) r(job) WHERE job < jobs)"
+_DRAW = lambda place: drawn_sql(JOB_SEED, f"SELECT 3 * x + {place} AS i FROM range(0, 4000) r(x)")
 
 
-@query("p5_generation_jobs", f"""WITH {VECTORS}, c AS (SELECT cid, count(*) AS members FROM e GROUP BY cid), j AS (SELECT cid, unnest(range(0, 20)) AS job FROM c) SELECT cid, job, ['beginner', 'expert', 'parent', 'buyer'][1 + (cid * 31 + job * 17) % 4] AS persona, ['research', 'comparison', 'problem', 'purchase'][1 + (cid * 13 + job * 7) % 4] AS scenario, 5::BIGINT AS n FROM j""")
+@query("p5_generation_jobs", f"""{_JOBS} SELECT cid, job, {LIST(PERSONAS)}[1 + floor(a.u * 4)::INT] AS persona, {LIST(SCENARIOS)}[1 + floor(b.u * 4)::INT] AS scenario, {LIST(FUNNELS)}[1 + least(2, floor(c.u * 3))::INT] AS funnel, {PER_JOB}::BIGINT AS n
+FROM j JOIN {_DRAW(1)} a ON a.i = 3 * k + 1 JOIN {_DRAW(2)} b ON b.i = 3 * k + 2 JOIN {_DRAW(3)} c ON c.i = 3 * k + 3""")
 def p5(spark, d):
-    """The prompts' parameters for each cluster: a number of jobs that aims at a thousand candidates."""
-    clusters = vectors(spark, d).select("cid").distinct()
-    jobs = clusters.withColumn("job", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(19).cast("bigint"))))
-    pick = lambda xs, a, b: F.element_at(F.array(*map(F.lit, xs)), (1 + (F.col("cid") * a + F.col("job") * b) % len(xs)).cast("int"))
-    return jobs.select("cid", "job", pick(PERSONAS, 31, 17).alias("persona"), pick(SCENARIOS, 13, 7).alias("scenario"), F.lit(5).cast("bigint").alias("n"))
+    """The prompts' parameters: jobs for each cluster as their number asks, each with three draws from one seeded sequence."""
+    clusters = dense_index(vectors(spark, d).select("cid").distinct(), "cid", name="at")
+    per = max(6, math.ceil(TARGET / max(1, clusters.count())))
+    number = max(3, math.ceil(per / PER_JOB))
+    jobs = clusters.select("cid", "at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint"))).alias("job"))
+    draw = lambda place: N.uniform(F.lit(JOB_SEED), 3 * (F.col("at") * number + F.col("job")) + place)
+    pick = lambda xs, place: F.element_at(F.array(*map(F.lit, xs)), (1 + F.least(F.lit(len(xs) - 1), F.floor(draw(place) * len(xs)))).cast("int"))
+    return jobs.select("cid", "job", pick(PERSONAS, 1).alias("persona"), pick(SCENARIOS, 2).alias("scenario"), pick(FUNNELS, 3).alias("funnel"), F.lit(PER_JOB).cast("bigint").alias("n"))
 
 
-@query("p6_fanout_filter", f"""WITH {NEAREST}, f AS (SELECT id, own, unnest([id + 1, id + 2, id + 3]) AS sub FROM (SELECT DISTINCT id, own FROM s)), b AS (SELECT f.id, max(t.sim) AS best FROM f JOIN s t ON t.id = f.sub AND t.cid = f.own GROUP BY f.id)
-SELECT i.id, round(coalesce(best, -1), 6) AS cycle_sim, coalesce(best, -1) >= 0.3 AS keep FROM (SELECT DISTINCT id FROM s) i LEFT JOIN b USING (id)""")
+@query("p6_fanout_filter", f"WITH {NEAREST}, {fanout_sql('f')} SELECT id, round(best, 6) AS cycle_sim, keep FROM f")
 def p6(spark, d):
-    """A candidate is kept if the best of its sub-queries (the next three vectors) comes near its cluster; none: -1."""
-    v = vectors(spark, d)
-    k = F.broadcast(K.centroids(v).select("cid", "centroid"))
-    subs = v.select("id", "cid", F.explode(F.array(*[F.col("id") + i for i in (1, 2, 3)])).alias("sub"))
-    near = subs.join(v.select(F.col("id").alias("sub"), F.col("v").alias("w")), "sub").join(k, "cid")
-    best = near.groupBy("id").agg(F.max(F.round(N.cosine(F.col("w"), F.col("centroid")), 12)).alias("best"))
-    return v.select("id").join(best, "id", "left").select("id", F.round(F.coalesce("best", F.lit(-1.0)), 6).alias("cycle_sim"), (F.coalesce("best", F.lit(-1.0)) >= 0.3).alias("keep"))
+    """A candidate is kept if the best of its sub-queries, none to six, comes near its cluster; none: -1."""
+    return fanout(vectors(spark, d)).select("id", F.round("best", 6).alias("cycle_sim"), "keep")
 
 
 @query("p7_realism_calibration")
 def p7(spark, d):
-    from quillbank.plans.kernels import m7
+    """r(q) of every candidate text (those not labelled as good) against the pool of good ones, with the calibration's figures."""
+    from quillbank.plans.kernels import scored, styled
 
-    return m7(spark, d)
+    rows = styled(spark, d)
+    auc, mauve, model = M.calibration(rows)
+    return scored(rows.where("y = 0"), model).select("id", F.round("r", 9).alias("r"), F.lit(auc).alias("auc"), F.lit(mauve).alias("mauve"))
 
 
 @query("p9_probe_calls", "SELECT event_type AS engine, count(DISTINCT user_id) AS queries, count(*) AS calls, count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS failed FROM events GROUP BY event_type")
@@ -89,37 +94,128 @@ def p9(spark, d):
 
 @query("p10_quality_bundle")
 def p10(spark, d):
-    """Coverage, recall and diversity of one bank."""
-    from quillbank.plans.vectors import a6, a7
+    """Coverage, recall, diversity, MAUVE and AUC of the greedy bank; its queries' texts are held against the users' first turns."""
+    v = vectors(spark, d)
+    chosen = F.broadcast(bank(spark, d, 50).select("id"))
+    own = v.join(chosen, "id").select("id", "v", F.lit(0).cast("bigint").alias("bank"))
+    texts = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text")).join(chosen, "id").withColumn("y", F.lit(0))
+    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text")).select(F.col("conv_id").alias("id"), "text", F.lit(1).alias("y"))
+    auc, mauve, _ = M.calibration(texts.unionByName(turns).where("text IS NOT NULL").select("id", F.array(*T.style_features(F.col("text"))).alias("x"), "y"))
+    return a6(spark, d).crossJoin(a7(spark, d)).crossJoin(M.vendi(own, "bank").select("n", "vendi")).select("*", F.lit(mauve).alias("mauve"), F.lit(auc).alias("auc"))
+
 
-    bank = vectors(spark, d).where("id % 97 = 0").select("id", "v", F.lit(0).cast("bigint").alias("bank"))
-    return a6(spark, d).crossJoin(a7(spark, d)).crossJoin(M.vendi(bank, "bank").select("n", "vendi"))
+_KIT = "k AS (SELECT 'A' || lpad(CAST(row_number() OVER (ORDER BY (doc_id * 7919) % 10007, doc_id) AS VARCHAR), 6, '0') AS item, doc_id, CASE WHEN quality = 1 THEN 'H' ELSE 'M' END AS answer, toxic FROM labels)"
 
 
-@query("p16_blinded_kit", "SELECT 'A' || lpad(CAST(row_number() OVER (ORDER BY (doc_id * 7919) % 10007, doc_id) AS VARCHAR), 6, '0') AS item, doc_id, CASE WHEN quality = 1 THEN 'H' ELSE 'M' END AS answer FROM labels")
+def kit(spark, d):
+    """item, doc_id, answer (the key) and toxic, in an order that tells nothing of the class."""
+    placed = dense_index(table(spark, d, "labels"), F.col("doc_id") * 7919 % 10007, "doc_id", name="p")
+    return placed.select(F.concat(F.lit("A"), F.lpad((F.col("p") + 1).cast("string"), 6, "0")).alias("item"), "doc_id", F.when(F.col("quality") == 1, "H").otherwise("M").alias("answer"), "toxic")
+
+
+@query("p16_blinded_kit", f"WITH {_KIT} SELECT item, doc_id, answer FROM k")
 def p16(spark, d):
     """Items in an order that tells nothing of their class, with their key."""
-    from quillbank.session import dense_index
+    return kit(spark, d).select("item", "doc_id", "answer")
 
-    placed = dense_index(table(spark, d, "labels"), F.col("doc_id") * 7919 % 10007, "doc_id", name="p")
-    return placed.select(F.concat(F.lit("A"), F.lpad((F.col("p") + 1).cast("string"), 6, "0")).alias("item"), "doc_id", F.when(F.col("quality") == 1, "H").otherwise("M").alias("answer"))
 
+@query("p16_kit_analysis", f"""WITH {_KIT}, a AS (SELECT item, k.answer AS truth, toxic, r.x AS annotator, CASE WHEN (doc_id + r.x) % 9 = 0 THEN '?' WHEN (doc_id * 31 + r.x * 7) % (2 + r.x) = 0 THEN CASE WHEN k.answer = 'H' THEN 'm' ELSE 'h ' END ELSE lower(k.answer) END AS said FROM k, range(1, 4) r(x)),
+v AS (SELECT *, upper(trim(said)) AS s FROM a WHERE upper(trim(said)) IN ('H', 'M')) SELECT 'annotator' AS part, annotator::VARCHAR AS name, count(*) AS n, round(avg((s = truth)::INT), 6) AS share FROM v GROUP BY annotator
+UNION ALL SELECT 'source', CASE WHEN truth = 'H' THEN 'real' WHEN toxic = 1 THEN 'toxic' ELSE 'other' END, count(*), round(avg((s = 'H')::INT), 6) FROM v GROUP BY 2""")
+def p16_analysis(spark, d):
+    """Annotators' filled-in sheets, written and read as quoted CSV, against the key: each one's accuracy, and how often each source was taken for a person.
 
-@query("p17_taxonomy_coverage", "WITH t AS (SELECT DISTINCT conv_id % 40 AS topic FROM conversations WHERE role = 'user' AND turn <= 1) SELECT count(*) AS topics, round(count(*) / 40.0::DOUBLE, 6) AS coverage FROM t")
-def p17(spark, d):
-    topics = table(spark, d, "conversations").where("role = 'user' AND turn <= 1").select((F.col("conv_id") % 40).alias("topic")).distinct()
-    return topics.agg(F.count("*").alias("topics"), F.round(F.count("*") / F.lit(40.0), 6).alias("coverage"))
+    Answers that are neither H nor M, in any case and with blanks around, do not count.
+    """
+    key = kit(spark, d)
+    sheets = key.select("item", "doc_id", "answer", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("annotator"))
+    wrong = (F.col("doc_id") * 31 + F.col("annotator") * 7) % (2 + F.col("annotator")) == 0
+    said = F.when((F.col("doc_id") + F.col("annotator")) % 9 == 0, "?").when(wrong, F.when(F.col("answer") == "H", "m").otherwise("h ")).otherwise(F.lower("answer"))
+    path = files.scratch_path(spark)
+    files.write_csv(sheets.select("item", "annotator", said.alias("said")), path)
+    filled = files.read_csv(spark, path, "item string, annotator int, said string").withColumn("s", F.upper(F.trim("said"))).where(F.col("s").isin("H", "M"))
+    told = filled.join(key, "item")
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6).alias("share")
+    source = F.when(F.col("answer") == "H", "real").when(F.col("toxic") == 1, "toxic").otherwise("other")
+    by_annotator = told.groupBy(F.col("annotator").cast("string").alias("name")).agg(F.count("*").alias("n"), share(F.col("s") == F.col("answer"))).withColumn("part", F.lit("annotator"))
+    by_source = told.groupBy(source.alias("name")).agg(F.count("*").alias("n"), share(F.col("s") == "H")).withColumn("part", F.lit("source"))
+    return by_annotator.unionByName(by_source).select("part", "name", "n", "share")
 
 
-JUDGED = "j AS (SELECT doc_id, quality, (doc_id * 31 + quality * 40) % 101 AS score FROM labels)"
+#: Topics of the taxonomy, and queries that one answer covers.
+TOPICS, ANSWERED = 40, 25
+_ASKED = f"q AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS p, length(text) % {TOPICS + 1} AS t1, length(text) * 7 % {TOPICS + 3} AS t2 FROM {FIRST_TURN}), b AS (SELECT *, p // {ANSWERED} AS batch FROM q)"
 
 
-@query("p18_judge_report", f"WITH {JUDGED}, p AS (SELECT *, row_number() OVER (ORDER BY score, doc_id) AS place FROM j) SELECT count(*) AS judged, round((sum(place) FILTER (quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / (sum(quality) * (count(*) - sum(quality))), 6) AS auc, round(avg(score) FILTER (quality = 1), 6) AS mean_real, round(avg(score) FILTER (quality = 0), 6) AS mean_other FROM p")
+@query("p17_taxonomy_coverage", f"""WITH {_ASKED}, ok AS (SELECT * FROM b WHERE batch % 5 <> 3), a AS (SELECT conv_id, list_slice(list_filter([t1, t2], lambda x: x >= 1 AND x <= {TOPICS}), 1, 2) AS topics FROM ok),
+h AS (SELECT DISTINCT unnest(topics) AS topic FROM a), w AS (SELECT x AS topic, 1 + x % 9 AS weight FROM range(1, {TOPICS} + 1) r(x))
+SELECT (SELECT count(*) FROM a) AS judged, (SELECT count(*) FROM h) AS families, round((SELECT sum(weight) FROM w JOIN h USING (topic)) / (SELECT sum(weight) FROM w), 6) AS weighted, round((SELECT avg((len(topics) = 0)::INT) FROM a), 6) AS off_taxonomy""")
+def p17(spark, d):
+    """Weight of the topics that a bank's queries were assigned to, at most two each, by answers for 25 queries at a time.
+
+    An answer whose list has another number of entries than its batch has queries is discarded with its whole batch.
+    """
+    turns = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    placed = dense_index(turns.select("conv_id", (F.length("text") % (TOPICS + 1)).alias("t1"), (F.length("text") * 7 % (TOPICS + 3)).alias("t2")), "conv_id", name="p")
+    batch = F.floor(F.col("p") / ANSWERED)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("p", "t1", "t2"))), lambda x: F.array(x["t1"], x["t2"]))
+    asked = placed.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), listed.alias("told"))  # at most ANSWERED rows each
+    worded = F.when(F.col("batch") % 5 == 3, F.to_json(F.slice("told", F.lit(2), F.lit(ANSWERED)))).otherwise(F.concat(F.lit("The topics are "), F.to_json("told"), F.lit(".")))
+    read = F.from_json(T.fenced_json(F.col("raw")), "array<array<int>>")
+    answers = asked.select("n", worded.alias("raw")).select("n", read.alias("topics")).where(F.size("topics") == F.col("n"))
+    legal = answers.select(F.explode("topics").alias("t")).select(F.slice(F.filter("t", lambda x: (x >= 1) & (x <= TOPICS)), 1, 2).alias("t"))
+    weights = spark.range(1, TOPICS + 1).select(F.col("id").cast("int").alias("topic"), (1 + F.col("id") % 9).alias("weight"))
+    hit = legal.select(F.explode("t").alias("topic")).distinct().withColumn("hit", F.lit(1))
+    share = weights.join(hit, "topic", "left").agg(F.count("hit").alias("families"), F.round(F.sum(F.when(F.col("hit") == 1, F.col("weight")).otherwise(0)) / F.sum("weight"), 6).alias("weighted"))
+    return legal.agg(F.count("*").alias("judged"), F.round(F.avg(F.when(F.size("t") == 0, 1.0).otherwise(0.0)), 6).alias("off_taxonomy")).crossJoin(share)
+
+
+#: Texts that one judging answer covers.
+JUDGED = 25
+_JUDGED = f"""j AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'real' WHEN toxic = 1 THEN 'toxic' ELSE 'other' END AS src, length(text) % 101 AS score, row_number() OVER (ORDER BY (doc_id * 7919) % 10007, doc_id) - 1 AS p FROM labels JOIN documents USING (doc_id)),
+ok AS (SELECT * FROM j WHERE (p // {JUDGED}) % 7 <> 2)"""
+
+
+def judged(spark, d):
+    """doc_id, src and score, read from answers for 25 texts at a time; an answer of another length than its batch does not count."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.length("text").alias("size")), "doc_id")
+    src = F.when(F.col("quality") == 1, "real").when(F.col("toxic") == 1, "toxic").otherwise("other")
+    placed = dense_index(rows.select("doc_id", src.alias("src"), (F.col("size") % 101).alias("score")), F.col("doc_id") * 7919 % 10007, "doc_id", name="p")
+    ordered = F.sort_array(F.collect_list(F.struct("p", "doc_id", "src", "score")))
+    asked = placed.groupBy(F.floor(F.col("p") / JUDGED).alias("batch")).agg(ordered.alias("texts"))  # at most JUDGED rows each
+    numbers = F.transform("texts", lambda x: x["score"])
+    worded = F.when(F.col("batch") % 7 == 2, F.to_json(F.slice(numbers, F.lit(2), F.lit(JUDGED)))).otherwise(F.concat(F.lit("```json\n"), F.to_json(numbers), F.lit("\n```")))
+    read = asked.select("texts", F.from_json(T.fenced_json(worded), "array<double>").alias("scores")).where(F.size("scores") == F.size("texts"))
+    each = read.select(F.explode(F.arrays_zip("texts", "scores")).alias("x"))
+    return each.select("x.texts.doc_id", "x.texts.src", F.col("x.scores").alias("score"))
+
+
+@query("p18_judge_report", f"""WITH {_JUDGED}, s AS (SELECT DISTINCT src FROM ok WHERE src <> 'real'), u AS (SELECT s.src, doc_id, score, (ok.src = 'real')::INT AS y FROM ok JOIN s ON ok.src = 'real' OR ok.src = s.src), p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score, doc_id) AS place FROM u),
+a AS (SELECT src, round((sum(place) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM p GROUP BY src) SELECT src, count(*) AS n, round(avg(score), 6) AS mean_score, any_value(auc) AS auc FROM ok LEFT JOIN a USING (src) GROUP BY src""")
 def p18(spark, d):
-    """A judge's percentages for both classes: how many, their AUC and means."""
-    judged = table(spark, d, "labels").select("doc_id", "quality", ((F.col("doc_id") * 31 + F.col("quality") * 40) % 101).alias("score"))
-    means = judged.agg(F.count("*").alias("judged"), F.round(F.avg(F.when(F.col("quality") == 1, F.col("score"))), 6).alias("mean_real"), F.round(F.avg(F.when(F.col("quality") == 0, F.col("score"))), 6).alias("mean_other"))
-    return means.crossJoin(S.auc(judged, [], "score", "quality", "doc_id").select(F.round("auc", 6).alias("auc")))
+    """Each source's judged texts: how many, their mean score, and the AUC of the real ones against them."""
+    rows = judged(spark, d)
+    others = rows.where("src <> 'real'").select(F.col("src").alias("against")).distinct()
+    real = rows.where("src = 'real'").crossJoin(F.broadcast(others)).withColumn("y", F.lit(1))  # a few sources
+    both = real.select("against", "doc_id", "score", "y").unionByName(rows.where("src <> 'real'").select(F.col("src").alias("against"), "doc_id", "score", F.lit(0).alias("y")))
+    auc = S.auc(both, ["against"], "score", "y", "doc_id").select(F.col("against").alias("src"), F.round("auc", 6).alias("auc"))
+    return rows.groupBy("src").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")).join(auc, "src", "left")
+
+
+@query("p18_pair_tally", f"""WITH {_JUDGED}, r AS (SELECT doc_id, score, row_number() OVER (ORDER BY doc_id) AS i FROM j WHERE src = 'real'), o AS (SELECT src, doc_id, score, row_number() OVER (PARTITION BY src ORDER BY doc_id) AS i FROM j WHERE src <> 'real'),
+p AS (SELECT o.src, (r.doc_id + o.doc_id) % 2 = 0 AS first, r.score AS a, o.score AS b FROM r JOIN o USING (i)) SELECT src AS baseline, count(*) AS n, sum((a > b)::INT)::BIGINT AS wins FROM p WHERE a <> b GROUP BY src""")
+def p18_pairs(spark, d):
+    """Real texts in pairs with those of each other source, sides by a draw, and how often the answer's letter names the real one."""
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", (F.length("text") % 101).alias("score")), "doc_id")
+    src = F.when(F.col("quality") == 1, "real").when(F.col("toxic") == 1, "toxic").otherwise("other")
+    rows = rows.select("doc_id", src.alias("src"), "score")
+    real = dense_index(rows.where("src = 'real'").select(F.col("doc_id").alias("real_id"), F.col("score").alias("a")), "real_id", name="i")
+    sides = [dense_index(rows.where(F.col("src") == name), "doc_id", name="i") for name in ("toxic", "other")]
+    pairs = sides[0].unionByName(sides[1]).join(real, "i").withColumn("first", (F.col("real_id") + F.col("doc_id")) % 2 == 0)
+    better = F.when(F.col("a") > F.col("score"), F.col("first")).when(F.col("a") < F.col("score"), ~F.col("first"))
+    raw = F.when(better, " a.").when(~better, "B, as it rambles").otherwise("neither")
+    told = pairs.select("src", "first", T.letter_verdict(raw).alias("letter")).where("letter IS NOT NULL")
+    return told.groupBy(F.col("src").alias("baseline")).agg(F.count("*").alias("n"), F.sum(F.when((F.col("letter") == "A") == F.col("first"), 1).otherwise(0)).cast("bigint").alias("wins"))
 
 
 @query("io1_cached_answers", "SELECT conv_id * 100 + turn AS key, text AS answer, 'cache' AS origin FROM conversations WHERE role = 'assistant' AND conv_id % 3 > 0 UNION ALL SELECT conv_id * 100 + turn, upper(role), 'fetch' FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0")
@@ -130,12 +226,23 @@ def io1(spark, d):
     return files.cached_fetch(rows, cache, "key", lambda missing: missing.select("key", F.lit("ASSISTANT").alias("answer"), F.lit("fetch").alias("origin")))
 
 
-@query("io2_cached_embeddings", "SELECT vec_id AS id, vec_id % 4 > 0 AS cached, len(embedding) AS n FROM embeddings")
+#: Texts that one call of the encoder takes.
+ENCODED = 96
+
+
+@query("io2_cached_embeddings", "SELECT vec_id AS id, vec_id % 4 > 0 AS cached, round(CASE WHEN vec_id % 4 > 0 THEN embedding[1] ELSE (vec_id * 37 % 101) / 101.0 END, 6)::DOUBLE AS first, CASE WHEN vec_id % 4 > 0 THEN 0 ELSE 1 END::BIGINT AS in_batch FROM embeddings")
 def io2(spark, d):
+    """Vectors from the cache; the encoder (a stand-in that reads the id) is asked for the missing ones alone, 96 at a time."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    cache = rows.where("id % 4 > 0").select("id", F.lit(True).alias("cached"), F.size("embedding").cast("bigint").alias("n"))
-    fetch = lambda missing: missing.join(rows, "id").select("id", F.lit(False).alias("cached"), F.size("embedding").cast("bigint").alias("n"))
-    return files.cached_fetch(rows, cache, "id", fetch)
+    cache = rows.where("id % 4 > 0").select("id", F.lit(True).alias("cached"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.lit(0).cast("bigint").alias("in_batch"))
+
+    def encode(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), ENCODED):
+                part = pdf.iloc[lo : lo + ENCODED]
+                yield part.assign(cached=False, first=(part.id * 37 % 101 / 101.0).round(6), in_batch=int(len(part) <= ENCODED))
+
+    return files.cached_fetch(rows, cache, "id", lambda missing: missing.mapInPandas(encode, "id bigint, cached boolean, first double, in_batch bigint"))
 
 
 @query("io3_distinct_citations", "SELECT engine, q, len(list_distinct(ks)) AS domains, len(ks) AS citations FROM (SELECT event_type AS engine, user_id AS q, list(json_extract_string(props, '$.k')) FILTER (json_extract_string(props, '$.k') IS NOT NULL) AS ks FROM events GROUP BY 1, 2)")
@@ -151,12 +258,18 @@ def io4(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat_ws(" ", both).alias("urls"))
 
 
-@query("io8_paged_json", "SELECT conv_id, turn, role FROM conversations")
+#: Rows of a page, and accepted rows at which the scan stops.
+PAGE, WANTED = 100, 150
+
+
+@query("io8_paged_json", f"""WITH o AS (SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) - 1 AS p FROM conversations), a AS (SELECT *, p // {PAGE} AS page, row_number() OVER (ORDER BY p) AS k FROM o WHERE role = 'user')
+SELECT page::BIGINT AS page, conv_id, turn FROM a WHERE k <= {WANTED}""")
 def io8(spark, d):
-    """Rows as landed pages of JSON, read back with a stated schema."""
+    """Pages of a hundred rows as they were landed, by offset, read in order until enough accepted rows are there."""
+    rows = dense_index(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", "turn", name="p")
     path = files.scratch_path(spark)
-    files.write_json(table(spark, d, "conversations").select("conv_id", "turn", "role"), path)
-    return files.read_json(spark, path, "conv_id bigint, turn bigint, role string")
+    rows.withColumn("page", F.floor(F.col("p") / PAGE)).repartition("page").write.partitionBy("page").json(path)
+    return files.paged_scan(spark, path, "p bigint, conv_id bigint, turn bigint, role string", "role = 'user'", WANTED).select("page", "conv_id", "turn")
 
 
 @query("io11_json_round_trip", "SELECT doc_id, text, lang FROM documents")
@@ -196,15 +309,17 @@ def io17(spark, d):
     return files.macro_rows(table(spark, d, "customer").agg(F.count("*").alias("customers"), F.max("c_custkey").alias("last_key")), "bank")
 
 
-@query("io20_bounded_map", "SELECT c_custkey, c_custkey * 2 AS doubled, c_custkey % 50 = 0 AS failed FROM customer")
+@query("io20_bounded_map", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS at, c_custkey, CASE WHEN c_custkey % 50 <> 0 THEN c_custkey * 2 END AS doubled, CASE WHEN c_custkey % 50 = 0 THEN 'ValueError: no answer for ' || c_custkey END AS error FROM customer")
 def io20(spark, d):
-    """A worker over partitions; a row that fails keeps its place and says so."""
+    """A worker over partitions, whose number bounds what runs at once; results keep their input's place, a failure its error."""
 
-    def work(batches):
-        for pdf in batches:
-            yield pdf.assign(doubled=pdf.c_custkey * 2, failed=pdf.c_custkey % 50 == 0)
+    def worker(key: int) -> int:
+        if key % 50 == 0:
+            raise ValueError(f"no answer for {key}")
+        return key * 2
 
-    return table(spark, d, "customer").select("c_custkey").mapInPandas(work, "c_custkey bigint, doubled bigint, failed boolean")
+    placed = dense_index(table(spark, d, "customer").select("c_custkey"), "c_custkey", name="at")
+    return files.bounded_map(placed.select("at", "c_custkey"), "c_custkey", worker, "doubled bigint").select("at", "c_custkey", "doubled", "error")
 
 
 @query("s1_streamed_visibility", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS engine, count(*) AS answers, count(json_extract_string(props, '$.k')) AS citations, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS domain_sum FROM events GROUP BY 1, 2")

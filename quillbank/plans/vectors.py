@@ -58,7 +58,7 @@ def v6(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.round(N.uniform(F.lit(20260706), F.col("p_partkey")), 9).alias("u"))
 
 
-@query("v8_fnv_hash")
+@query("v8_fnv_hash", "SELECT p_name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(p_name) + 1), lambda i: unicode(p_name[i])::BIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS h FROM part GROUP BY p_name")
 def v8(spark, d):
     return table(spark, d, "part").select("p_name").distinct().select("p_name", N.fnv1a(F.col("p_name")).alias("h"))
 
@@ -99,8 +99,8 @@ def j11(spark, d):
 def m13(spark, d):
     """Share of vectors that a similarity threshold rejects at their own cluster and at any other."""
     v = vectors(spark, d)
-    k = K.centroids(v).select(F.col("cid").alias("other"), "centroid")
-    sims = v.crossJoin(F.broadcast(k)).select((F.col("cid") == F.col("other")).alias("own"), F.round(N.cosine(F.col("v"), F.col("centroid")), 12).alias("sim"))
+    k = K.checked(K.centroids(v).select(F.col("cid").alias("other"), "centroid"))
+    sims = v.crossJoin(k).select((F.col("cid") == F.col("other")).alias("own"), F.round(N.cosine(F.col("v"), F.col("centroid")), 12).alias("sim"))
     share = lambda own: F.round(F.avg(F.when(F.col("own") == own, F.when(F.col("sim") < 0.3, 1.0).otherwise(0.0))), 6)
     return sims.agg(share(True).alias("own_rejected"), share(False).alias("wrong_rejected"))
 
@@ -108,7 +108,7 @@ def m13(spark, d):
 @query("j2_own_similarity", f"WITH {CENTROIDS} SELECT id, e.cid, round({DOT('v', 'centroid')}, 6) AS sim FROM e JOIN k USING (cid)")
 def j2(spark, d):
     v = vectors(spark, d)
-    return v.join(F.broadcast(K.centroids(v)), "cid").select("id", "cid", F.round(N.dot(F.col("v"), F.col("centroid")), 6).alias("sim"))
+    return v.join(K.checked(K.centroids(v)), "cid").select("id", "cid", F.round(N.dot(F.col("v"), F.col("centroid")), 6).alias("sim"))
 
 
 @query("j1_item_assembly", f"WITH {CENTROIDS} SELECT e.id, e.cid, round(weight, 6) AS weight, p_name AS q FROM e JOIN k USING (cid) JOIN part ON p_partkey = e.id")
@@ -126,44 +126,19 @@ def a5(spark, d):
 @query("a20_cohesion", f"WITH {CENTROIDS} SELECT cid, round(avg({DOT('v', 'centroid')}), 6) AS cohesion FROM e JOIN k USING (cid) GROUP BY cid")
 def a20(spark, d):
     v = vectors(spark, d)
-    return v.join(F.broadcast(K.centroids(v)), "cid").groupBy("cid").agg(F.round(F.avg(N.dot(F.col("v"), F.col("centroid"))), 6).alias("cohesion"))
+    return v.join(K.checked(K.centroids(v)), "cid").groupBy("cid").agg(F.round(F.avg(N.dot(F.col("v"), F.col("centroid"))), 6).alias("cohesion"))
 
 
-@query("a6_coverage", f"WITH {NEAREST}, c AS (SELECT DISTINCT cid FROM a WHERE id % 97 = 0) SELECT round(sum(weight) FILTER (cid IN (SELECT cid FROM c)) / sum(weight), 6) AS coverage FROM k")
-def a6(spark, d):
-    """Weighted coverage of a bank of queries, the vectors whose id is a multiple of 97."""
-    v = vectors(spark, d)
-    k = K.centroids(v)
-    return K.coverage(K.nearest(v.where("id % 97 = 0").select("id", "v"), k), k).select(F.round("coverage", 6).alias("coverage"))
-
-
-@query("a7_intent_recall", f"WITH {NEAREST}, c AS (SELECT DISTINCT cid FROM a WHERE id % 97 = 0) SELECT round(sum(1 + id % 7) FILTER (cid IN (SELECT cid FROM c)) / sum(1 + id % 7), 6) AS recall FROM a WHERE id % 5 = 0")
-def a7(spark, d):
-    """Share of the held-out keywords' volume whose nearest cluster the bank covers."""
-    v = vectors(spark, d)
-    k = K.centroids(v)
-    told = K.nearest(v.select("id", "v"), k)
-    bank = told.where("id % 97 = 0").select("cid").distinct().withColumn("hit", F.lit(1))
-    held = told.where("id % 5 = 0").withColumn("w", 1 + F.col("id") % 7).join(bank, "cid", "left")
-    return held.agg(F.round(F.sum(F.when(F.col("hit") == 1, F.col("w")).otherwise(0)) / F.sum("w"), 6).alias("recall"))
-
-
-@query("w13_objective", f"""WITH {CENTROIDS}, c AS (SELECT id, v, 0.01 * (id % 13) AS r FROM e WHERE id % 29 = 0), m AS (SELECT k.cid, any_value(weight) AS w, max(greatest(0, {DOT('v', 'centroid')})) AS best FROM k, c GROUP BY k.cid)
-SELECT round((SELECT sum(w * best) FROM m) + 0.35 * (SELECT sum(r) FROM c), 6) AS objective""")
-def w13(spark, d):
-    """Facility-location value of a set: best similarity of each cluster, weighted, and the members' own scores."""
-    v = vectors(spark, d)
-    chosen = v.where("id % 29 = 0").select("id", "v", (0.01 * (F.col("id") % 13)).alias("r"))
-    pairs = chosen.crossJoin(F.broadcast(K.centroids(v)))
-    best = pairs.groupBy("cid", "weight").agg(F.max(F.greatest(F.lit(0.0), N.dot(F.col("v"), F.col("centroid")))).alias("best"))
-    return best.agg(F.sum(F.col("weight") * F.col("best")).alias("f")).crossJoin(chosen.agg(F.sum("r").alias("r"))).select(F.round(F.col("f") + 0.35 * F.col("r"), 6).alias("objective"))
-
-
-@query("a10_histogram", """WITH s AS (SELECT max(value) AS hi FROM events), b AS (SELECT least(15, floor(value / hi * 16))::BIGINT AS bin, count(*) AS n FROM events, s GROUP BY 1)
-SELECT g.bin::BIGINT AS bin, round((g.bin + 0.5) * hi / 16, 6) AS mid, coalesce(n, 0) AS n FROM range(0, 16) g(bin) CROSS JOIN s LEFT JOIN b ON b.bin = g.bin""")
+@query("a10_histogram", """WITH s AS (SELECT min(value) AS lo, max(value) AS hi FROM events), f AS (SELECT 'from_zero' AS form, 16 AS bins, 0.0::DOUBLE AS a, hi AS b FROM s UNION ALL SELECT 'from_least', 30, lo, hi FROM s),
+c AS (SELECT form, least(bins - 1, floor((value - a) / (b - a) * bins))::BIGINT AS bin, count(*) AS n FROM events, f GROUP BY 1, 2)
+SELECT f.form, g.bin::BIGINT AS bin, round(a + (g.bin + 0.5) * (b - a) / bins, 6) AS mid, coalesce(n, 0) AS n FROM f JOIN range(0, 30) g(bin) ON g.bin < bins LEFT JOIN c ON c.form = f.form AND c.bin = g.bin""")
 def a10(spark, d):
+    """Equal-width bins, the last one closed, with their middles: 16 on [0, max] and 30 on [min, max]."""
     events = table(spark, d, "events")
-    top = F.broadcast(events.agg(F.max("value").alias("hi")))
-    counts = events.crossJoin(top).groupBy(F.least(F.lit(15), F.floor(F.col("value") / F.col("hi") * 16)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
-    spine = spark.range(16).select(F.col("id").alias("bin")).crossJoin(top)
-    return spine.join(counts, "bin", "left").select("bin", F.round((F.col("bin") + 0.5) * F.col("hi") / 16, 6).alias("mid"), F.coalesce("n", F.lit(0)).alias("n"))
+    ends = events.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    form = lambda name, bins, a: F.struct(F.lit(name).alias("form"), F.lit(bins).alias("bins"), a.alias("a"), F.col("hi").alias("b"))
+    forms = ends.select(F.explode(F.array(form("from_zero", 16, F.lit(0.0)), form("from_least", 30, F.col("lo")))).alias("f")).select("f.*")
+    at = F.least(F.col("bins") - 1, F.floor((F.col("value") - F.col("a")) / (F.col("b") - F.col("a")) * F.col("bins"))).cast("bigint")
+    counts = events.select("value").crossJoin(F.broadcast(forms)).groupBy("form", at.alias("bin")).agg(F.count("*").alias("n"))  # two rows
+    spine = forms.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("i")).withColumn("bin", F.col("i").cast("bigint"))
+    return spine.join(counts, ["form", "bin"], "left").select("form", "bin", F.round(F.col("a") + (F.col("bin") + 0.5) * (F.col("b") - F.col("a")) / F.col("bins"), 6).alias("mid"), F.coalesce("n", F.lit(0)).alias("n"))

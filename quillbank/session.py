@@ -27,6 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not spark.sparkContext.getCheckpointDir():
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="files-")
+    """A new folder under ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        root = "file://" + tempfile.mkdtemp(prefix="files-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -42,6 +47,44 @@ def cached_fetch(wanted: DataFrame, cache: DataFrame, key: str, fetch: Callable[
     return hits.unionByName(fetch(keys.join(cache.select(key), key, "left_anti")).select(*cache.columns))
 
 
+def paged_scan(spark: SparkSession, path: str, schema: str, accept: str, target: int) -> DataFrame:
+    """The accepted rows of landed pages (folders page=0, page=1 ...; ``p`` numbers all rows), as many as ``target``.
+
+    Pages are taken in order for as long as those before have too few accepted rows, up to the first that is missing or
+    empty, as a reader that asks for page after page would. What is decided from is one count for each page.
+    """
+    rows = spark.read.schema(schema + ", page bigint").json(path)
+    counts = {r["page"]: (r["n"], r["k"]) for r in rows.groupBy("page").agg(F.count("*").alias("n"), F.count(F.when(F.expr(accept), 1)).alias("k")).collect()}
+    page, found = 0, 0
+    while found < target and counts.get(page, (0, 0))[0]:
+        found += counts[page][1]
+        page += 1
+    return rows.where(F.col("page") < page).where(accept).orderBy("p").limit(target)
+
+
+def bounded_map(df: DataFrame, column: str, worker: Callable, result: str) -> DataFrame:
+    """``df`` with the worker's ``result`` (name and type) for ``column`` and ``error``, what a failed row raised.
+
+    A task works row after row, so as many run at once as there are task slots; repartition to bound it further.
+    """
+    name = result.split()[0]
+
+    def run(batches):
+        for pdf in batches:
+            done, errors = [], []
+            for x in pdf[column].tolist():
+                try:
+                    done.append(worker(x))
+                    errors.append(None)
+                except Exception as e:  # the row says so and the others go on
+                    done.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(**{name: done, "error": errors}).astype({name: "object"})
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, f"{kept}, {result}, error string")
+
+
 def latex_rows(df: DataFrame) -> DataFrame:
     """A line of a LaTeX table for each row, its columns in order."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in df.columns]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbank.sources import files
+
 
 def daily_counts(stream: DataFrame, delay: str = "2 days") -> DataFrame:
     """day, engine, answers and the sum of domains, from rows (event_id, ts, event_type, props); an event counts once."""
@@ -16,10 +16,20 @@ def daily_counts(stream: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def run_available(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events that are there now, through the stream, as a table."""
+    """All events that are there now, through the stream, as a table.
+
+    Each micro-batch appends the windows it changed to a table in the shared scratch folder, where the query's checkpoint
+    is too; a window's last row counts. A batch that is run again after a failure appends equal rows under its number.
+    """
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"daily_{uuid.uuid4().hex[:8]}"
-    running = daily_counts(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    path = files.scratch_path(spark)
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/rows")
+
+    running = daily_counts(stream).writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/checkpoint").outputMode("update").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "engine", "answers", "citations", "domain_sum")
+    changed = spark.read.parquet(f"{path}/rows")
+    last = changed.groupBy("w", "engine").agg(F.max_by(F.struct("answers", "citations", "domain_sum"), "batch").alias("x"))
+    return last.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "engine", "x.*")
