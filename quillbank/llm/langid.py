@@ -4,9 +4,9 @@ Each language has a raw-content dictionary cut from a bounded sample of labelled
 whole with every dictionary; the language of the smallest code (the result, and the bytes that name the language among
 the training rows) is predicted, and rejected where the next smallest is nearly as small.
 
-The sample: every training text falls into pieces of PIECE characters, and of the distinct pieces of each language those
-SAMPLE of least hash are taken, or fewer where there are so many languages that BUDGET characters in all would not do
-(one piece at least). These bounds are parameters; everything else reads all rows and whole texts.
+The sample: of each language's distinct training texts the SAMPLE of least hash, or fewer where there are so many languages
+that BUDGET characters in all would not do (one at least). A text falls into pieces of PIECE characters, and its hash says
+which of them is taken, so any part of a text may be. These bounds are parameters; all else reads all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillbank.llm.shared import fold_remainder, read, ship
 
-SAMPLE, PIECE = 256, 500
+SAMPLE, PIECE = 512, 500
 #: Characters of all dictionaries together, which go to every executor.
 BUDGET = 64_000_000
 LEVEL = 3
@@ -46,16 +46,16 @@ def normal(text: str) -> bytes:
 def dictionaries(docs: DataFrame, train: Column, sample: int = SAMPLE, piece: int = PIECE) -> dict[str, tuple[bytes, int]]:
     """A dictionary and the number of training rows for each language (``lang`` not null) of the training rows."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != ""))
-    count = F.floor((F.length("text") - 1) / piece).cast("int")  # pieces but one
-    size = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"), F.count("*").alias("rows"), F.sum(count + 1).alias("pieces")).collect()
+    size = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n"), F.count("*").alias("rows")).collect()
     if not size:
         return {}
     rows_of = {r["lang"]: r["rows"] for r in size}
     each = max(1, min(sample, BUDGET // (piece * len(size))))
-    # About three times the sample falls below the bound; equal texts give equal pieces, so copies count once.
-    share = F.create_map(*[F.lit(x) for r in size for x in (r["lang"], 3.0 * each * r["rows"] / (r["n"] * r["pieces"]))])[F.col("lang")]
-    low = rows.select("lang", "text", F.xxhash64("text").alias("t"), share.alias("share"), F.explode(F.sequence(F.lit(0), count)).alias("i")).withColumn("h", F.xxhash64("t", "i"))
-    low = low.where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share")).select("lang", "h", F.substr("text", F.col("i") * piece + 1, F.lit(piece)).alias("piece"))
+    # About three times the sample falls below the bound; copies count once, so a text with many rows is one row here.
+    share = F.create_map(*[F.lit(x) for r in size for x in (r["lang"], 3.0 * each / r["n"])])[F.col("lang")]
+    low = rows.select("lang", "text", F.xxhash64("text").alias("h"), share.alias("share")).where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.floor((F.length("text") - 1) / piece) + 1)
+    low = low.select("lang", "h", F.substr("text", (place * piece + 1).cast("int"), F.lit(piece)).alias("piece"))
     found = defaultdict(list)
     for r in low.groupBy("lang", "h").agg(F.min("piece").alias("piece")).collect():
         found[r["lang"]].append((r["h"], r["piece"]))
