@@ -24,6 +24,8 @@ RULES = {
     "bangs": ("n_bangs", "word_chars"),
 }
 GRID = 40
+#: Cutoffs of all strata that go to the executors at most; beyond it rows and cutoffs meet in a sort-merge join.
+STRATA_BYTES = 8_000_000
 SYMBOLS = "#*$%&|<>"
 #: A row of the tail sum is one term; further terms are covered by their geometric bound, which only raises the p-value.
 TAIL_TERMS = 4096
@@ -130,8 +132,9 @@ def cutoffs(feats: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: flo
 
 
 def _judged(feats: DataFrame, labels: DataFrame, alpha: float, delta: float, min_words: int, max_repeat_percent: int) -> DataFrame:
-    chosen = cutoffs(feats, labels, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    judged = feats.join(chosen, "stratum", "left")
+    chosen = cut(cutoffs(feats, labels, alpha, delta).groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]))
+    size = chosen.agg(F.coalesce(F.sum(F.octet_length("stratum") + 64), F.lit(0))).first()[0]
+    judged = feats.join(F.broadcast(chosen) if size <= STRATA_BYTES else chosen.hint("merge"), "stratum", "left")
     hits = F.filter(F.array(*[F.when(bin_of(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return judged.withColumn("base_failed", base).withColumn("rejected_by", hits).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

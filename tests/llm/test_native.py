@@ -84,3 +84,16 @@ def test_lines_of_repeated_rows_and_rows_without_an_id(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2).collect()
     want = [(1, "a", 2, 1), (1, "a", 2, 1), (1, "c\nd", 3, 1), (2, "b", 2, 1), (None, "z", 2, 1), (None, "z", 2, 1), (None, "", 1, 0), (3, "twice\ntwice", 2, 0), (3, "twice\ntwice", 2, 0)]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_strata_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    from quillbank.llm import quality
+
+    rows = [(i, ("w%d " % (i % 7)) * (60 if i % 3 else 5) + "#" * (i % 5), f"l{i % 3}", None) for i in range(90)] + [(None, "x", None, 1), (3, None, "l1", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words long")
+    labels = spark.createDataFrame([(i, 1) for i in range(90)], "doc_id long, quality int")
+    one = sorted(map(str, quality.quality_rules(docs, labels).collect()))
+    kept = sorted(map(str, quality.keep_good(docs, labels).collect()))
+    monkeypatch.setattr(quality, "STRATA_BYTES", -1)
+    assert sorted(map(str, quality.quality_rules(docs, labels).collect())) == one and sorted(map(str, quality.keep_good(docs, labels).collect())) == kept
+    assert quality.keep_good(docs, labels).columns == docs.columns and len(one) == 92
