@@ -153,7 +153,7 @@ def core(token: str) -> str:
 class Matcher:
     """Finds a text's matches and turns them into features."""
 
-    CACHE = 500_000
+    CACHE = 250_000
 
     def __init__(self, entries: list[tuple[str, bool, int]]):
         self.lexicon, self.cache = FuzzyLexicon(entries), {}
