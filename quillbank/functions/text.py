@@ -22,7 +22,11 @@ STOP_WORDS = "the a an of to in on at and or for with is are what which how do d
 SEARCH_REJECT = r"(write|code|python|javascript|essay|poem|story|roleplay|pretend|as an? |translate|def |function |import |[^a-z0-9_]html[^a-z0-9_]|^html[^a-z0-9_]|[^a-z0-9_]html$|^html$|resume|cover letter|rewrite|paraphrase|correct my|fix this)"
 SEARCH_REQUIRE = r"(what|which|how|why|when|where|best|vs|compare|should i|is it|are there|recommend|suggest|looking for|i need|difference|top [0-9]|good |better )"
 
-SPACE = "[ \\t-\\r]+"
+# Classes of single characters: Java's patterns look these up in a bit set, while ranges are tried one after another.
+SMALL, LARGE, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+WHITE = " \\t\\n\\x0B\\f\\r"
+SPACE = f"[{WHITE}]+"
+NO_WORD = f"[^{SMALL}{DIGITS}_]"
 
 
 def words(text: Column) -> Column:
@@ -32,7 +36,7 @@ def words(text: Column) -> Column:
 
 def has_word(text: Column, choices: list[str]) -> Column:
     """Whether lower-case ``text`` has one of the choices between ASCII word boundaries."""
-    return text.rlike("(^|[^a-z0-9_])(" + "|".join(choices) + ")([^a-z0-9_]|$)")
+    return text.rlike(f"(^|{NO_WORD})(" + "|".join(choices) + f")({NO_WORD}|$)")
 
 
 def flag(condition: Column) -> Column:
@@ -45,7 +49,7 @@ def in_list(word: Column, choices: list[str]) -> Column:
 
 def dedup_key(text: Column) -> Column:
     """Lower case, only a-z, 0-9 and blanks, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), f"[^{SMALL}{DIGITS} ]+", ""), " +", " "))
 
 
 def collapse(text: Column) -> Column:
@@ -79,10 +83,13 @@ def string_list(text: Column, low: int, high: int | None = None, most: int | Non
     return F.transform(F.slice(kept, 1, most) if most else kept, lambda s: F.trim(s))
 
 
-def style_features(text: Column) -> list[Column]:
-    """Nine features of phrasing, named f1 to f9."""
-    low = F.lower(text)
-    w = words(low)
+def style_features(text: Column, low: Column | None = None, w: Column | None = None) -> list[Column]:
+    """Nine features of phrasing, named f1 to f9.
+
+    ``low`` and ``w`` are the text in lower case and its words where a projection below has them already.
+    """
+    low = F.lower(text) if low is None else low
+    w = words(low) if w is None else w
     count = F.size(w).cast("double")
     constraints = sum((flag(F.contains(low, F.lit(c))) for c in CONSTRAINTS), F.lit(0.0))
     parts = [
@@ -91,17 +98,31 @@ def style_features(text: Column) -> list[Column]:
         flag(F.contains(text, F.lit("?"))),
         flag(has_word(low, FIRST_PERSON)),
         constraints,
-        F.regexp_count(text, F.lit("[0-9]+")).cast("double"),
-        F.regexp_count(F.concat(F.lit(" "), text), F.lit("[^A-Za-z0-9_][A-Z][a-z]{2,}")).cast("double"),
+        F.regexp_count(text, F.lit(f"[{DIGITS}]+")).cast("double"),
+        F.regexp_count(F.concat(F.lit(" "), text), F.lit(f"[^{LARGE}{SMALL}{DIGITS}_][{LARGE}][{SMALL}]{{2,}}")).cast("double"),
         F.when(count > 0, F.aggregate(w, F.lit(0.0), lambda a, x: a + F.length(x)) / count).otherwise(0.0),
         flag((F.size(w) > 0) & F.coalesce(in_list(F.get(w, F.lit(0)), QUESTION_WORDS), F.lit(False))),
     ]
     return [p.alias(f"f{i}") for i, p in enumerate(parts, 1)]
 
 
+#: Closing punctuation, and what stands for any other character beside a-z, 0-9, apostrophes and white space.
+CLOSING, OTHER = "?.!,;:", "_"
+
+
+def marked_words(text: Column) -> Column:
+    """Lower-case words in which every other character is OTHER: one pattern over the text in place of some for each word."""
+    return words(F.regexp_replace(F.lower(text), f"[^{SMALL}{DIGITS}'{CLOSING}{WHITE}]", OTHER))
+
+
+def bare(word: Column) -> Column:
+    """A marked word reduced to a-z, 0-9 and apostrophes."""
+    return F.translate(word, OTHER + CLOSING, "")
+
+
 def bare_words(text: Column) -> Column:
     """Lower-case words reduced to a-z, 0-9 and apostrophes; may hold empty strings."""
-    return F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, "[^a-z0-9']", ""))
+    return F.transform(marked_words(text), bare)
 
 
 def style_features_2(text: Column) -> list[Column]:
@@ -129,12 +150,12 @@ def skeleton(text: Column) -> Column:
     """Function words and closing punctuation; other words as X (runs collapsed), numbers as NUM; <s> and </s> around."""
 
     def parts(raw: Column) -> Column:
-        bare = F.regexp_replace(raw, "[^a-z0-9']", "")
-        shown = F.when(in_list(bare, KEPT_WORDS), bare).when(bare.rlike("^[0-9]"), "NUM").otherwise("X")
-        mark = F.regexp_extract(raw, "[?.!,;:]+$", 0)
-        return F.filter(F.array(F.when(bare != "", shown), F.when(mark != "", F.substring(mark, 1, 1))), lambda x: x.isNotNull())
+        word = bare(raw)
+        shown = F.when(in_list(word, KEPT_WORDS), word).when(F.substring(word, 1, 1).between("0", "9"), "NUM").otherwise("X")
+        mark = F.substring(raw, F.length(F.rtrim(raw, F.lit(CLOSING))) + 1, F.lit(1))
+        return F.filter(F.array(F.when(word != "", shown), F.when(mark != "", mark)), lambda x: x.isNotNull())
 
-    inner = F.flatten(F.transform(words(F.lower(text)), parts))
+    inner = F.flatten(F.transform(marked_words(text), parts))
     whole = F.concat(F.array(F.lit("<s>")), inner, F.array(F.lit("</s>")))
     # Binding by transform(array(x), ...) evaluates the list once.
     collapsed = F.transform(F.array(whole), lambda all_: F.filter(F.transform(all_, lambda x, i: F.when(~((x == "X") & (i > 0) & (F.get(all_, i - 1) == "X")), x)), lambda x: x.isNotNull()))
@@ -150,7 +171,7 @@ def grams(tokens: Column) -> Column:
 
 def content_tokens(text: Column) -> Column:
     """The distinct words of a-z and 0-9 that are no stop words."""
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), " +"), lambda w: (w != "") & ~in_list(w, STOP_WORDS)))
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), f"[^{SMALL}{DIGITS}]", " "), " +"), lambda w: (w != "") & ~in_list(w, STOP_WORDS)))
 
 
 def head_forms(text: Column) -> Column:
