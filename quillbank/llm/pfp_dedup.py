@@ -415,3 +415,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, digests: bool = False
 
 def op5(spark, sf_dir: str) -> DataFrame:
     return without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
+ORACLE = f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), n AS (SELECT doc_id, raw, octet_length(raw) AS n FROM d),
+w AS (SELECT doc_id, i, raw[i + 1 : i + {LENGTH}] AS x FROM (SELECT doc_id, raw, unnest(range(0, n - {LENGTH - 1})) AS i FROM n)),
+f AS (SELECT x, min(doc_id) AS f FROM w GROUP BY x), r AS (SELECT doc_id, i FROM w JOIN f USING (x) WHERE f < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+s AS (SELECT doc_id, min(i) AS b, max(i) + {LENGTH} AS e FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, b, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS a FROM (SELECT doc_id, b, e FROM s UNION ALL SELECT doc_id, n, n FROM n)),
+t AS (SELECT doc_id, string_agg(hex(raw[a + 1 : b]), '' ORDER BY b, a) AS kept FROM k JOIN n USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(e - b) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM n JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)"""

@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_minmax_dedup": minmax_dedup.ORACLE,
     "op2_quality_rules": quality.ORACLE,
     "op4_decontamination": decontam.ORACLE,
+    "op5_prefix_free_dedup": pfp_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
