@@ -66,7 +66,7 @@ def features(docs: DataFrame, stratum: str = "lang", carry: bool = False) -> Dat
         "doc_id",
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         text.alias("text"),
-        F.expr(r"filter(split(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '')").alias("words"),
+        F.expr(r"filter(split(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '')").alias("words"),
         F.translate(text, COMMON, "").alias("rare"),
         F.expr(f"filter(split(coalesce(text, ''), '\\n'), x -> translate(x, '{_sql(SPACES)}', '') <> '')").alias("word_lines"),
         *([F.struct(*docs.columns).alias("_row")] if carry else []),
