@@ -313,8 +313,8 @@ def w2(spark, d):
 def quota_in_order(rows, quota: int):
     """The sequential rule itself: seeds in order, a keyword that an earlier seed took does not count towards the quota.
 
-    ``rows`` has seed, kw, volume. The outcome depends on all earlier seeds, so the distinct (seed, kw) pairs are walked
-    in one group; it is meant for keyword inventories of some millions.
+    ``rows`` has seed, kw, volume. Earlier seeds take ``quota`` keywords each at most, so of the k-th seed its first
+    ``quota`` * k settle what it takes; these, a number that the seeds alone bound, are walked in one group.
     """
 
     def walk(pdf):
@@ -328,11 +328,18 @@ def quota_in_order(rows, quota: int):
                 left[seed] = left.get(seed, 0) + 1
         return pdf[keep]
 
-    one = rows.groupBy("seed", "kw").agg(F.max("volume").alias("volume")).withColumn("one", F.lit(1))
-    return one.groupBy("one").applyInPandas(lambda pdf: walk(pdf.sort_values(["seed", "volume", "kw"], ascending=[True, False, True]))[["seed", "kw", "volume"]], "seed string, kw string, volume double")
+    each = rows.groupBy("seed", "kw").agg(F.max("volume").alias("volume"))
+    order = dense_index(each.select("seed").distinct(), "seed", name="k")
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("volume"), "kw"))
+    most = order.count() * quota  # a bound for every seed, so that partitions drop rows before they are shuffled
+    some = each.withColumn("p", place).where(F.col("p") <= most).join(order, "seed").where(F.col("p") <= quota * (F.col("k") + 1))
+    return some.select("seed", "kw", "volume", F.lit(1).alias("one")).groupBy("one").applyInPandas(lambda pdf: walk(pdf.sort_values(["seed", "volume", "kw"], ascending=[True, False, True]))[["seed", "kw", "volume"]], "seed string, kw string, volume double")
 
 
-@query("w2_quota_in_order")
+@query("w2_quota_in_order", """WITH RECURSIVE o AS (SELECT p_brand AS seed, p_name AS kw, max(p_retailprice) AS volume FROM part WHERE length(p_name) <= 60 GROUP BY 1, 2), s AS (SELECT seed, row_number() OVER (ORDER BY seed) AS k FROM (SELECT DISTINCT seed FROM o)),
+g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS taken, []::VARCHAR[] AS own UNION ALL SELECT k, list_concat(any_value(taken), list(kw) FILTER (p <= 2 AND kw IS NOT NULL)), coalesce(list(kw) FILTER (p <= 2 AND kw IS NOT NULL), [])
+FROM (SELECT s.k, taken, o.kw, row_number() OVER (ORDER BY volume DESC NULLS LAST, kw) AS p FROM g JOIN s ON s.k = g.k + 1 LEFT JOIN o ON o.seed = s.seed AND NOT list_contains(taken, o.kw)) GROUP BY k)
+SELECT seed, kw, volume FROM (SELECT k, unnest(own) AS kw FROM g) JOIN s USING (k) JOIN o USING (seed, kw)""")
 def w2_in_order(spark, d):
     parts = table(spark, d, "part").where(F.length("p_name") <= 60)
     return quota_in_order(parts.select(F.col("p_brand").alias("seed"), F.col("p_name").alias("kw"), F.col("p_retailprice").alias("volume")), 2)

@@ -217,3 +217,28 @@ def test_head_search_gates_and_takes_each_text_once(spark):
     assert head_search(*frames_, 1).count() == 1
     with pytest.raises(ValueError):
         head_search(*frames_, 10, least=4)
+
+
+def test_vendi_of_known_spectra(spark):
+    rows = [(i, np.eye(6)[i].tolist(), 0) for i in range(6)] + [(10 + i, [2.0, 1.0, 0.0, 0.0, 0.0, 0.0], 1) for i in range(5)] + [(20 + i, np.eye(6)[i % 2].tolist(), 2) for i in range(8)]
+    got = {r.cid: r.vendi for r in M.vendi(spark.createDataFrame(rows, "id bigint, v array<double>, cid bigint"), "cid").collect()}
+    assert got[0] == pytest.approx(6) and got[1] == pytest.approx(1) and got[2] == pytest.approx(2)
+
+
+def test_quota_walks_seeds_in_order(spark):
+    from quillbank.plans.statistics import quota_in_order
+
+    r = np.random.default_rng(6)
+    rows = [(f"s{a}", f"k{b:02d}", float(v)) for a, b, v in zip(r.integers(0, 6, 300), r.integers(0, 25, 300), r.integers(0, 40, 300))]
+    best = {}
+    for seed, kw, v in rows:
+        best[seed, kw] = max(v, best.get((seed, kw), v))
+    taken, want = set(), set()
+    for seed in sorted({s for s, _ in best}):
+        n = 0
+        for v, kw in sorted((-v, k) for (s, k), v in best.items() if s == seed):
+            if kw not in taken and n < 3:
+                taken.add(kw)
+                want.add((seed, kw))
+                n += 1
+    assert {(q.seed, q.kw) for q in quota_in_order(spark.createDataFrame(rows, "seed string, kw string, volume double"), 3).collect()} == want
