@@ -87,7 +87,6 @@ def test_lines_of_repeated_rows_and_rows_without_an_id(spark):
 
 
 def test_strata_beyond_the_broadcast_give_the_same(spark, monkeypatch):
-    from quillbank.llm import quality
 
     rows = [(i, ("w%d " % (i % 7)) * (60 if i % 3 else 5) + "#" * (i % 5), f"l{i % 3}", None) for i in range(90)] + [(None, "x", None, 1), (3, None, "l1", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words long")
@@ -97,3 +96,28 @@ def test_strata_beyond_the_broadcast_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(quality, "STRATA_BYTES", -1)
     assert sorted(map(str, quality.quality_rules(docs, labels).collect())) == one and sorted(map(str, quality.keep_good(docs, labels).collect())) == kept
     assert quality.keep_good(docs, labels).columns == docs.columns and len(one) == 92
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_false_rejection_stays_below_alpha(spark, seed):
+    """Cutoffs chosen on labelled good rows, held against fresh rows of the same kind: what all rules reject together."""
+
+
+    r = random.Random(seed)
+
+    def row(i):
+        chars = 1000
+        part = lambda scale: min(chars, int(chars * r.expovariate(1 / scale)))
+        return (i, f"s{i % 2}", 200, chars, part(0.02), r.randrange(3), r.randrange(40), 40, part(0.05), part(0.03), part(0.01))
+
+    names = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_word_lines long, n_capitals long, n_digits long, n_bangs long"
+    known, fresh = [row(i) for i in range(6000)], [row(i) for i in range(4000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+    cuts = {(c.stratum, c.rule): c.cutoff for c in quality.cutoffs(spark.createDataFrame(known, names), labels).collect()}
+    assert len(cuts) >= 8  # most rules are on in both strata
+    column = {n.split()[0]: k for k, n in enumerate(names.split(", "))}
+    for stratum in ("s0", "s1"):
+        own = [x for x in fresh if x[1] == stratum]
+        ratio = lambda x, rule: min(quality.GRID, -(-quality.GRID * x[column[quality.RULES[rule][0]]] // x[column[quality.RULES[rule][1]]]))
+        rejected = sum(any(ratio(x, rule) > cuts.get((stratum, rule), quality.GRID) for rule in quality.RULES) for x in own)
+        assert rejected <= 0.05 * len(own)
