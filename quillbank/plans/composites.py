@@ -16,7 +16,7 @@ from quillbank.plans.registry import query, table
 from quillbank.plans.selection import HELD_SQL, a6, a7, bank, drawn_sql, fanout, fanout_sql, holdout
 from quillbank.plans.text import COLLAPSED, FIRST_TURN, LIST
 from quillbank.plans.vectors import NEAREST, VECTORS, vectors
-from quillbank.session import dense_index
+from quillbank.session import dense_index, running
 from quillbank.sources import files
 from quillbank.streaming import visibility
 
@@ -258,6 +258,62 @@ def io4(spark, d):
     return table(spark, d, "pages").select("page_id", F.concat_ws(" ", both).alias("urls"))
 
 
+@query("io5_retried_calls", """SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 400 WHEN c_custkey % 8 > 5 THEN 429 ELSE 200 END AS status, CASE WHEN c_custkey % 13 = 0 OR c_custkey % 8 > 5 THEN NULL ELSE 'answer ' || c_custkey END AS body,
+CASE WHEN c_custkey % 13 = 0 THEN 1 ELSE least(6, c_custkey % 8 + 1) END::INT AS attempts, CASE WHEN c_custkey % 13 = 0 THEN 0.0 ELSE pow(2, least(5, c_custkey % 8)) - 1 END::DOUBLE AS waited FROM customer""")
+def io5(spark, d):
+    """Calls that are tried again after growing waits while the service is busy; a bad request fails at once."""
+
+    def service(key: int, attempt: int):
+        if key % 13 == 0:
+            return 400, None
+        return (429, None) if attempt < key % 8 else (200, f"answer {key}")
+
+    return files.called(table(spark, d, "customer").select("c_custkey"), "c_custkey", service, sleep=False)
+
+
+#: Cents that may be spent, and microseconds between two calls of a limited service.
+BUDGET_CENTS, GAP = 200_000, 3_300_000
+
+
+@query("io6_budget_cap", f"WITH c AS (SELECT event_type, round(value * 100)::BIGINT AS cents, coalesce(sum(round(value * 100)::BIGINT) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM events) SELECT event_type AS tag, count(*) FILTER (spent < {BUDGET_CENTS}) AS made, count(*) FILTER (spent >= {BUDGET_CENTS}) AS refused, coalesce(sum(cents) FILTER (spent < {BUDGET_CENTS}), 0)::BIGINT AS cents FROM c GROUP BY 1")
+def io6(spark, d):
+    """Calls in order of time are made for as long as what was spent before them is below the budget."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    spent = running(table(spark, d, "events").select("event_type", "ts", "event_id", cents.alias("cents")), "cents", "ts", "event_id", name="up_to")
+    made = F.col("up_to") - F.col("cents") < BUDGET_CENTS
+    return spent.groupBy(F.col("event_type").alias("tag")).agg(F.count(F.when(made, 1)).alias("made"), F.count(F.when(~made, 1)).alias("refused"), F.sum(F.when(made, F.col("cents")).otherwise(0)).alias("cents"))
+
+
+@query("io7_rate_limit", f"WITH o AS (SELECT event_id, epoch_us(ts) AS came, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events) SELECT event_id, (i * {GAP} + max(came - i * {GAP}) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS starts_us FROM o")
+def io7(spark, d):
+    """When each call starts if two are at least 3.3 seconds apart: a call waits for its turn or starts as it comes.
+
+    The i-th start is the greatest of (arrival j) + (i - j) gaps over all j up to i, a running maximum.
+    """
+    placed = dense_index(table(spark, d, "events").select("event_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), "ts", "event_id", name="i")
+    ahead = running(placed.withColumn("lead", F.col("at") - F.col("i") * GAP), "lead", "i", how="max", name="most")
+    return ahead.select("event_id", (F.col("i") * GAP + F.col("most")).alias("starts_us"))
+
+
+@query("io18_settings", """WITH l AS (SELECT 'KEY_' || (c_custkey % 97) AS key, c_mktsegment || c_custkey AS value, c_custkey AS line FROM customer WHERE c_custkey % 10 > 0), f AS (SELECT key, arg_max(value, line) AS value FROM l GROUP BY key), p AS (SELECT 'KEY_' || (n_nationkey * 4) AS key, n_name AS value FROM nation)
+SELECT key, value FROM p UNION ALL SELECT key, value FROM f WHERE key NOT IN (SELECT key FROM p)""")
+def io18(spark, d):
+    """Settings from KEY=VALUE lines, which never override those that are there."""
+    key = F.concat(F.lit("KEY_"), F.col("c_custkey") % 97)
+    line = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("# "), key)).otherwise(F.concat(F.lit(" "), key, F.lit(' = "'), "c_mktsegment", "c_custkey", F.lit('"')))
+    lines = table(spark, d, "customer").select(F.col("c_custkey").alias("at"), line.alias("value"))
+    present = table(spark, d, "nation").select(F.concat(F.lit("KEY_"), F.col("n_nationkey") * 4).alias("key"), F.col("n_name").alias("value"))
+    return files.settings(lines, present)
+
+
+@query("io19_raw_dumps", "SELECT event_type AS backend, event_id, props AS raw FROM events")
+def io19(spark, d):
+    """Raw answers as JSON, a folder for each backend, read back with their backend."""
+    path = files.scratch_path(spark)
+    table(spark, d, "events").select(F.col("event_type").alias("backend"), "event_id", F.col("props").alias("raw")).write.partitionBy("backend").json(path)
+    return spark.read.schema("event_id bigint, raw string, backend string").json(path).select("backend", "event_id", "raw")
+
+
 #: Rows of a page, and accepted rows at which the scan stops.
 PAGE, WANTED = 100, 150
 

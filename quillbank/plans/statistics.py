@@ -11,7 +11,7 @@ from quillbank.operators import statistics as S
 from quillbank.plans.probes import CORRELATION, ranked_sql
 from quillbank.plans.registry import query, table
 from quillbank.plans.text import CONTENT
-from quillbank.session import dense_index
+from quillbank.session import dense_index, running
 
 SUPPLIER = "s AS (SELECT s_suppkey AS i, s_acctbal AS x, round(s_acctbal / 500) AS y, s_nationkey AS g FROM supplier)"
 
@@ -205,15 +205,18 @@ def a9(spark, d):
 
 @query("a11_gini", f"WITH {BY_BRAND}, r AS (SELECT x, row_number() OVER (ORDER BY x, p_brand) AS i, count(*) OVER () AS n FROM b) SELECT round(sum((2 * i - n - 1) * x) / (any_value(n) * sum(x)), 6) AS gini FROM r")
 def a11(spark, d):
-    placed = brands(spark, d).select("x", F.row_number().over(Window.orderBy("x", "p_brand")).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return placed.agg(F.round(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x")) / (F.max("n") * F.sum("x")), 6).alias("gini"))
+    placed = dense_index(brands(spark, d), "x", "p_brand", name="i")
+    n = placed.count()
+    return placed.agg(F.round(F.sum((2 * (F.col("i") + 1) - n - 1) * F.col("x")) / (n * F.sum("x")), 6).alias("gini"))
 
 
 @query("a12_mass_shares", f"WITH {BY_BRAND}, r AS (SELECT x, row_number() OVER w AS i, sum(x) OVER (w ROWS UNBOUNDED PRECEDING) AS run, sum(x) OVER () AS all_ FROM b WINDOW w AS (ORDER BY x DESC, p_brand)) SELECT round(sum(x) FILTER (i <= 5) / sum(x), 6) AS top5, count(*) FILTER (run - x < all_ / 2) AS half_mass FROM r")
 def a12(spark, d):
-    by = Window.orderBy(F.desc("x"), "p_brand")
-    run = brands(spark, d).select("x", F.row_number().over(by).alias("i"), F.sum("x").over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("run"), F.sum("x").over(Window.partitionBy()).alias("total"))
-    return run.agg(F.round(F.sum(F.when(F.col("i") <= 5, F.col("x"))) / F.sum("x"), 6).alias("top5"), F.count(F.when(F.col("run") - F.col("x") < F.col("total") / 2, 1)).alias("half_mass"))
+    """Share of the five largest, and how many of the largest make up half: rows before which less than half has been seen."""
+    placed = running(dense_index(brands(spark, d), F.desc("x"), "p_brand", name="i"), "x", "i", name="run")
+    total = placed.agg(F.sum("x").alias("total"))
+    both = placed.crossJoin(F.broadcast(total))  # one row
+    return both.agg(F.round(F.sum(F.when(F.col("i") < 5, F.col("x"))) / F.max("total"), 6).alias("top5"), F.count(F.when(F.col("run") - F.col("x") < F.col("total") / 2, 1)).alias("half_mass"))
 
 
 @query("a13_macro_average", "SELECT round(avg(m), 6) AS macro FROM (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) WHERE NOT isnan(m)")
@@ -347,7 +350,7 @@ def w2_in_order(spark, d):
 
 @query("w4_feature_order", "SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, doc_id % 2 = 0 AS half FROM (SELECT doc_id, len(string_split(text, ' ')) AS score FROM documents)")
 def w4(spark, d):
-    from quillbank.session import dense_index
+    from quillbank.session import dense_index, running
 
     scored = table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("score"))
     return dense_index(scored, F.desc("score"), "doc_id", name="place").select("doc_id", (F.col("place") + 1).alias("place"), (F.col("doc_id") % 2 == 0).alias("half"))
@@ -373,7 +376,7 @@ def w6(spark, d):
 
 def strata_round_robin(items, budget: int, least: float = 0.15, strata: int = 6):
     """id, stratum, round of ``budget`` items (id, a, b); all items take part where too few have a above ``least``."""
-    from quillbank.session import dense_index
+    from quillbank.session import dense_index, running
 
     able = items.where(F.col("a") > least)
     able = able if able.limit(budget).count() >= budget else items

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,23 @@ def dense_index(df: DataFrame, *order, name: str = "id") -> DataFrame:
     table = df.sparkSession.createDataFrame(offsets or [(0, 0)], "_part bigint, _offset bigint")
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("_part", part).join(F.broadcast(table), "_part").withColumn(name, F.col("_offset") + within).drop("_at", "_offset", "_part")
+
+
+def running(df: DataFrame, value: str, *order, how: str = "sum", name: str = "running") -> DataFrame:
+    """``df`` with the sum or the greatest of ``value`` up to each row in the given total order, without one task for all rows.
+
+    As ``dense_index``: range partitions, one total for each of them, and a window inside each.
+    """
+    placed = checkpointed(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    fold = F.sum if how == "sum" else F.max
+    totals = sorted((r["_part"], r["t"]) for r in placed.groupBy("_part").agg(fold(value).alias("t")).collect())
+    before, total = [], None
+    for part, t in totals:
+        before.append((part, total))
+        total = t if total is None else total if t is None else total + t if how == "sum" else max(total, t)
+    kind = "bigint" if df.schema[value].dataType.simpleString() in ("int", "bigint") else "double"
+    table = df.sparkSession.createDataFrame(before or [(0, None)], f"_part bigint, _before {kind}")
+    own = fold(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    both = placed.withColumn(name, own).join(F.broadcast(table), "_part")
+    out = F.when(F.col("_before").isNull(), F.col(name)).when(F.col(name).isNull(), F.col("_before")).otherwise(F.col("_before") + F.col(name) if how == "sum" else F.greatest("_before", name))
+    return both.withColumn(name, out).drop("_at", "_part", "_before")

@@ -6,6 +6,7 @@ Round trips go through the session's shared checkpoint folder, which every execu
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -85,6 +86,44 @@ def bounded_map(df: DataFrame, column: str, worker: Callable, result: str) -> Da
     return df.mapInPandas(run, f"{kept}, {result}, error string")
 
 
+def called(df: DataFrame, column: str, call: Callable, attempts: int = 6, base: float = 1.0, sleep: bool = True) -> DataFrame:
+    """``df`` with status, body, attempts and waited from ``call`` (key, attempt) -> (status, body).
+
+    Statuses 429 and from 500 up are tried again, up to ``attempts`` times, after ``base`` * 2 ** k seconds; any other is
+    final at once. Without ``sleep`` the waiting is only counted.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for key in pdf[column].tolist():
+                waited = 0.0
+                for k in range(attempts):
+                    status, body = call(key, k)
+                    if status != 429 and status < 500 or k + 1 == attempts:
+                        break
+                    waited += base * 2**k
+                    if sleep:
+                        time.sleep(base * 2**k)
+                rows.append((status, body, k + 1, waited))
+            status, body, tried, waited = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pdf.assign(status=status, body=body, attempts=tried, waited=waited)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, f"{kept}, status int, body string, attempts int, waited double")
+
+
+def settings(lines: DataFrame, present: DataFrame) -> DataFrame:
+    """key, value: ``present`` and, for keys that it lacks, the last KEY=VALUE line (value, with ``at``, its place) of each.
+
+    Lines that are no setting do not count; quotes around a value and blanks go.
+    """
+    pattern = "^[ \\t]*([A-Za-z_][A-Za-z0-9_]*)[ \\t]*=(.*)$"
+    parsed = lines.select("at", F.regexp_extract("value", pattern, 1).alias("key"), F.regexp_replace(F.trim(F.regexp_extract("value", pattern, 2)), "^\"|\"$", "").alias("value")).where("key <> ''")
+    last = parsed.groupBy("key").agg(F.max_by("value", "at").alias("value"))
+    return present.select("key", "value").unionByName(last.join(present.select("key"), "key", "left_anti"))
+
+
 def latex_rows(df: DataFrame) -> DataFrame:
     """A line of a LaTeX table for each row, its columns in order."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in df.columns]

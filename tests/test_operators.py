@@ -242,3 +242,25 @@ def test_quota_walks_seeds_in_order(spark):
                 want.add((seed, kw))
                 n += 1
     assert {(q.seed, q.kw) for q in quota_in_order(spark.createDataFrame(rows, "seed string, kw string, volume double"), 3).collect()} == want
+
+
+def test_running_totals_cross_partitions(spark):
+    from quillbank.session import running
+
+    r = np.random.default_rng(8)
+    values = r.integers(-50, 50, 200).tolist()
+    df = spark.createDataFrame(list(enumerate(values)), "i long, v long").repartition(5)
+    got = {q.i: (q.s, q.m) for q in running(running(df, "v", "i", name="s"), "v", "i", how="max", name="m").collect()}
+    assert got == {i: (sum(values[: i + 1]), max(values[: i + 1])) for i in range(200)}
+    assert running(df.limit(0), "v", "i").collect() == []
+
+
+def test_settings_never_override_and_calls_stop_at_bad_requests(spark):
+    lines = spark.createDataFrame([(1, "A=1"), (2, "# B=2"), (3, ' C = "three" '), (4, "A=4"), (5, "C=5"), (6, "no setting")], "at long, value string")
+    assert {r.key: r.value for r in files.settings(lines, spark.createDataFrame([("C", "kept")], "key string, value string")).collect()} == {"A": "4", "C": "kept"}
+
+    def call(key, attempt):
+        return (400, None) if key == 1 else (503, None) if attempt < key else (200, "ok")
+
+    got = {r.key: (r.status, r.body, r.attempts, r.waited) for r in files.called(spark.createDataFrame([(k,) for k in (0, 1, 3, 9)], "key long"), "key", call, sleep=False).collect()}
+    assert got == {0: (200, "ok", 1, 0.0), 1: (400, None, 1, 0.0), 3: (200, "ok", 4, 7.0), 9: (503, None, 6, 31.0)}
