@@ -31,7 +31,6 @@ CHUNK_BYTES = 2_000_000
 #: Text for each bucket of pairs, and shards (then sums of shards) whose counts are summed together.
 BUCKET_BYTES, FAN = 4_000_000, 256
 EDGE = b"\xff"  # not in UTF-8: stands before the text DEPTH times and after it once
-END_WORD = xxhash.xxh3_64_intdigest(EDGE)
 HALF = math.log(0.5)
 
 
@@ -349,11 +348,19 @@ def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES, fan: i
     nodes = nodes[~is_word]
     root = spark.sparkContext.broadcast(Root(nodes[:, 0].astype(np.int64), nodes[:, 1], nodes[:, 2], nodes[:, 3]))
 
+    def values_of(model: bytes) -> list[np.ndarray]:
+        """Words, their counts, pairs and the values of these, from a bucket's counts."""
+        words, known, keys, n = unsqueeze(model)
+        return [words, known, keys, _to_bits(log_probabilities(keys, n.astype(np.int64), root.value))]
+
     def valued(batches):
+        for batch in batches:
+            yield from _binaries(bucket=batch.column("bucket").to_pylist(), model=[squeeze(*values_of(m)) for m in batch.column("model").to_pylist()]).to_batches()
+
+    def replies(batches):
         for batch in batches:
             for bucket, model, sent, blobs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "model", "sent", "blobs")), strict=True):
-                words, known, keys, n = unsqueeze(model)
-                code = _to_bits(log_probabilities(keys, n.astype(np.int64), root.value))
+                words, known, keys, code = unsqueeze(model) if several else values_of(model)
                 lengths, shards = np.frombuffer(sent, "<i8").reshape(2, -1)
                 ends = np.cumsum(lengths)
                 for shard, lo, hi in zip(shards.tolist(), (ends - lengths).tolist(), ends.tolist(), strict=True):
@@ -361,8 +368,11 @@ def score(docs: DataFrame, train: Column, shard_bytes: int = SHARD_BYTES, fan: i
                     reply = squeeze(known[np.searchsorted(words, own[0])], code[np.searchsorted(keys, own[2])])
                     yield from _binaries(bucket=[bucket], shard=[shard], blob=[reply]).to_batches()
 
-    with_model = rows.drop("model").join(models.select("bucket", "model").hint("merge"), "bucket") if several else rows
-    told = with_model.mapInArrow(valued, "bucket bigint, shard bigint, blob binary")
+    with_model = rows
+    if several:  # a bucket's values are made once, whatever its number of rows
+        values = cut(models.select("bucket", "model").mapInArrow(valued, "bucket bigint, model binary"))
+        with_model = rows.drop("model").join(values.hint("merge"), "bucket")
+    told = with_model.mapInArrow(replies, "bucket bigint, shard bigint, blob binary")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([_score_shard(row, right, buckets, total, distinct) for row in left.to_pylist()])
