@@ -54,3 +54,38 @@ def test_stages_on_repeated_rows_ids_and_other_columns(spark, tmp_path):
     assert coded.count() == 15 and {"n_words", "keys"} < set(coded.columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+
+
+def test_the_whole_run_equals_plain_versions_of_its_stages(spark):
+    """SQL for the first two stages, brute force over all pairs and windows for the next two, the tokenizer's own library for the last."""
+    import os
+
+    import duckdb
+    import numpy as np
+    import pytest
+
+    from quillbank.llm import bpe, decontam, line_dedup, quality
+    from tests.llm import cases, test_decontam
+
+    data = "/root/testdata/sf0.001"
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    con = duckdb.connect()
+    for name in ("documents", "labels", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{data}/{name}.parquet'")
+    con.sql(f"CREATE TABLE good AS WITH {quality.verdict_sql()} SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM q_verdict WHERE kept)")
+    lines = con.sql(f"WITH {line_dedup.kept_sql('good')} SELECT doc_id, text FROM l_kept ORDER BY doc_id").fetchall()
+    groups = cases.near_duplicates(lines, 5, 80)
+    single = [(i, t) for i, t in lines if groups[i][1] == i]
+    items = con.sql("SELECT item_id, text FROM benchmark").fetchall()
+    windows = decontam.Windows([(str(i), t) for i, t in items])
+    hits = test_decontam.brute([x for x in single[:60]], items)
+    spans, found = decontam.search_shard([decontam.words_of(t) for _, t in single], windows)
+    assert all((len(decontam.words_of(t)), sum(e - b for b, e in s), f) == hits[i] for (i, t), s, f in list(zip(single, spans, found))[:60])
+    clean = [(i, decontam.without_spans(t, s) if s else t) for (i, t), s, f in zip(single, spans, found) if len(f) < 2]
+    model = bpe.ByteBPE.load(*bpe.vocabulary_file())
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=model.ranks, special_tokens={})
+    want = {i: hashlib.sha256(np.array(library.encode_ordinary(t), "<u4").tobytes()).hexdigest() for i, t in clean}
+    got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, data).collect()}
+    assert got == want and 0 < len(want) < con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
