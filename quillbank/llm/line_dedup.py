@@ -16,7 +16,7 @@ from quillbank.llm.shared import LOWER, SPACES, UPPER, cut, read
 
 
 #: 128 bits of a row's doc_id and text, never null.
-ROW = ["_row_a", "_row_b"]
+ROW = ["_line_row_a", "_line_row_b"]
 
 
 def line_hashes() -> F.Column:
@@ -26,6 +26,18 @@ def line_hashes() -> F.Column:
     return F.transform(F.split("text", "\n"), lambda line: both(key(line)))
 
 
+#: Lines whose hashes are broadcast at most; beyond it a join on the hash and one of SALTS parts of the rows takes its place.
+BROADCAST_LINES, SALTS = 500_000, 16
+
+
+def _among(placed: DataFrame, lines: DataFrame) -> DataFrame:
+    """The rows of ``placed`` whose hash ``lines`` (a written table) has; a line that many rows hold does not meet in one task."""
+    if lines.count() <= BROADCAST_LINES:
+        return placed.join(F.broadcast(lines), ["a", "b"], "left_semi")
+    salted = lines.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.withColumn("_salt", F.pmod(ROW[0], F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["a", "b", "_salt"], "left_semi").drop("_salt")
+
+
 def line_dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """All columns of ``docs``, with ``text`` without the repeated lines, and ``n_lines`` and ``n_dropped``.
 
@@ -34,25 +46,25 @@ def line_dedup(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     line and comes back as the empty text; empty lines are never dropped. Columns of ``docs`` named n_lines or n_dropped
     are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_bad", *ROW).withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.drop("n_lines", "n_dropped", "_line_bad", *ROW).withColumn("text", F.coalesce("text", F.lit("")))
     keyed = docs.withColumns({ROW[0]: F.xxhash64("doc_id", "text"), ROW[1]: F.xxhash64(F.lit(1), "doc_id", "text")})  # equal rows share a key: their positions are the same
     hashed = cut(keyed.select("doc_id", *ROW, line_hashes().alias("h")))
     each = hashed.select(F.explode(F.array_distinct("h")).alias("h")).where("h IS NOT NULL").groupBy("h.a", "h.b").agg(F.count("*").alias("n"))
     candidates = cut(each.where(F.col("n") >= min_docs).select("a", "b"))
     placed = hashed.select("doc_id", *ROW, F.posexplode("h").alias("pos", "h")).where("h IS NOT NULL").select("doc_id", *ROW, "pos", "h.a", "h.b")
-    placed = cut(placed.join(candidates, ["a", "b"]))
+    placed = cut(_among(placed, candidates))
     ids = placed.select("a", "b", "doc_id").where("doc_id IS NOT NULL").distinct()  # spreads a line's documents; then each line's number is summed
-    frequent = ids.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
-    bad = cut(placed.join(frequent, ["a", "b"], "left_semi").groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("_bad")))
+    frequent = cut(ids.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
+    bad = cut(_among(placed, frequent).groupBy(*ROW).agg(F.sort_array(F.collect_set("pos")).alias("_line_bad")))
     joined = keyed.join(bad.hint("merge"), ROW, "left")  # one plan at every size
-    kept = """CASE WHEN _bad IS NULL THEN text ELSE element_at(transform(array(split(text, '\\n')), lines ->
-        element_at(transform(array(concat(array(-1), _bad, array(size(lines)))), b ->
+    kept = """CASE WHEN _line_bad IS NULL THEN text ELSE element_at(transform(array(split(text, '\\n')), lines ->
+        element_at(transform(array(concat(array(-1), _line_bad, array(size(lines)))), b ->
           concat_ws('\\n', flatten(transform(slice(b, 1, size(b) - 1), (x, i) -> slice(lines, x + 2, b[i + 1] - x - 1))))), 1)), 1) END"""
     return joined.select(
         *[c for c in docs.columns if c != "text"],
         F.expr(kept).alias("text"),
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_bad"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("_line_bad"), F.lit(0)).cast("long").alias("n_dropped"),
     ).select(*docs.columns, "n_lines", "n_dropped")
 
 

@@ -121,3 +121,11 @@ def test_false_rejection_stays_below_alpha(spark, seed):
         ratio = lambda x, rule: min(quality.GRID, -(-quality.GRID * x[column[quality.RULES[rule][0]]] // x[column[quality.RULES[rule][1]]]))
         rejected = sum(any(ratio(x, rule) > cuts.get((stratum, rule), quality.GRID) for rule in quality.RULES) for x in own)
         assert rejected <= 0.05 * len(own)
+
+
+def test_lines_beyond_the_broadcast_give_the_same(spark, monkeypatch):
+    rows = [(i % 25, f"common\nown {i}\nhalf {i % 2}\n\ncommon", i) for i in range(40)] + [(None, "common\nx", 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a long")
+    one = sorted(map(str, line_dedup.line_dedup(docs).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    assert sorted(map(str, line_dedup.line_dedup(docs).collect())) == one and any("own 7\\n" in x for x in one) and not any("common" in x for x in one)
