@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import time
@@ -10,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+_made: list[str] = []
+
+
+def _clean() -> None:
+    """At the end of the driver's program the scratch tables that it made go, where its session is still there."""
+    spark = SparkSession.getActiveSession()
+    with contextlib.suppress(Py4JError, OSError):
+        for path in _made if spark is not None else ():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; only a local session (tests) may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -46,7 +65,10 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made.append(f"{root.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -56,13 +78,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete the files of tables that ``cut`` made and that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def reclaim(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of finished stages now rather than at the next chance collection.
 
@@ -74,10 +89,6 @@ def reclaim(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def fold_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

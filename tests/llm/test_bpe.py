@@ -24,6 +24,7 @@ def texts():
     r = random.Random(1)
     out = ["", "a" * 1000, "ab" * 700, "\x1c\x1d a\x85b᠎ c​ d   x", "'s 'S x's'll", " " * 999 + "x", "\n\n \t x", "é" * 400, "日本語" * 200, "<|endoftext|> x", "it's 123456 ½ ٣٤"]
     out += ["".join(r.choice(a) for _ in range(n)) for a, n in (("abcdeé ", 5000), ("abcdest", 3000), ("etaoin shrdlu\n", 4000))]
+    out += ["😀 astral 𝔘𝔫𝔦 \U0010ffff x\U00020000y", "👩‍👩‍👧‍👦" * 60]
     return out + ["".join(chr(r.randrange(1, 0x3000)) for _ in range(5000))]
 
 

@@ -144,3 +144,10 @@ def test_many_languages_share_the_budget(spark, monkeypatch):
     rows = [(i, "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(400)), f"l{i % 30}") for i in range(300)]
     raw = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), piece=40)
     assert len(raw) == 30 and all(1 <= len(c.split(b"\n")) <= 3 for c, _ in raw.values())
+
+
+def test_ties_go_to_more_rows_then_to_the_first_name():
+    model = langid.Classifier({"aa": (b"ka mo ti", 5), "bb": (b"ka mo ti", 9)})
+    assert model.predict("ka mo")[0] == "bb"
+    assert langid.Classifier({"aa": (b"ka mo ti", 5), "bb": (b"ka mo ti", 5)}).predict("ka mo")[0] == "aa"
+    assert langid.Classifier({}).predict("ka mo") == ("und", 0.0, True)

@@ -77,3 +77,11 @@ def test_counts_do_not_depend_on_blocks(spark, monkeypatch):
     parts = T.train(T.transcripts(frame), T.F.lit(True))
     for a, b in ((whole.start, parts.start), (whole.moves, parts.moves), (whole.seen, parts.seen)):
         assert np.array_equal(a, b)
+
+
+def test_null_transcripts_and_other_columns(spark):
+    rows = [(1, 0, None, "x"), (1, 1, "User: hi", "y"), (2, 0, "", None), (3, 0, None, "z")]
+    got = {(r.conv_id, r.block): r for r in T.format_chats(spark.createDataFrame(rows, "conv_id long, block long, transcript string, first string"), model(2)).collect()}
+    assert len(got) == 4 and got[3, 0].turns == [] and got[2, 0].rendered == "" and got[1, 1].turns[-1].text == "hi"
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert T.train(T.transcripts(empty), T.F.lit(True)).viterbi(T.line_features(["User: a"])[:, 1:]) == [0]  # nothing learnt: all equal, the least number
