@@ -9,7 +9,6 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillbank.functions import numbers as N
 from quillbank.functions import text as T
 from quillbank.operators import kernels as M
 from quillbank.operators import nearest as K
