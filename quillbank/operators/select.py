@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbank.functions import numbers as N
+from quillbank.operators.nearest import MODEL_CELLS
 
 BATCH = 1000
 DIGITS = 9
@@ -95,7 +96,10 @@ def _best(items: DataFrame, rule, without: list[int], batch: int) -> list:
 
 
 def model_of(clusters: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids and weights in the order of cid; clusters are a model of some dozens."""
+    """Centroids and weights in the order of cid; clusters are a model, whose size is checked before it comes to the driver."""
+    cells = clusters.select(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
+    if cells > MODEL_CELLS:
+        raise ValueError(f"{cells} numbers are more than a selection holds ({MODEL_CELLS}); cluster more coarsely")
     rows = clusters.orderBy("cid").select("centroid", "weight").collect()
     return np.array([r["centroid"] for r in rows]), np.array([r["weight"] for r in rows])
 

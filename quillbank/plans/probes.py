@@ -145,17 +145,29 @@ def a14(spark, d):
     return sizes.crossJoin(S.spearman(a.join(b, "domain"), [], "na", "nb").select(F.round("r", 6).alias("rho")))
 
 
-@query("a15_source_mix", f"""WITH {LOG}, r AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS round FROM l)
-SELECT engine, round::BIGINT AS round, count(*) AS answers, count(DISTINCT domain) AS domains, round(sum(CASE WHEN domain < 9 THEN 1 ELSE 0 END) / count(domain), 6) AS listed_share, round(count(domain) / count(*), 6) AS per_answer FROM r GROUP BY engine, round""")
+@query("a15_source_mix", f"""WITH {LOG}, r AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS round FROM l), t AS (SELECT engine, round, domain, row_number() OVER (PARTITION BY engine, round ORDER BY count(*) DESC, domain) AS p FROM r WHERE domain IS NOT NULL GROUP BY engine, round, domain),
+f AS (SELECT engine, round, string_agg(domain, ',' ORDER BY p) AS top5 FROM t WHERE p <= 5 GROUP BY engine, round)
+SELECT engine, round::BIGINT AS round, count(*) AS answers, count(DISTINCT domain) AS domains, round(sum(CASE WHEN domain < 9 THEN 1 ELSE 0 END) / count(domain), 6) AS listed_share, round(count(domain) / count(*), 6) AS per_answer, any_value(top5) AS top5 FROM r LEFT JOIN f USING (engine, round) GROUP BY engine, round""")
 def a15(spark, d):
-    rows = in_rounds(spark, d).groupBy("engine", F.col("round").cast("bigint").alias("round"))
-    return rows.agg(F.count("*").alias("answers"), F.count_distinct("domain").alias("domains"), F.round(F.sum(F.when(F.col("domain") < 9, 1).otherwise(0)) / F.count("domain"), 6).alias("listed_share"), F.round(F.count("domain") / F.count("*"), 6).alias("per_answer"))
-
-
-@query("a22_citations_per_query", f"WITH {LOG}, p AS (SELECT q, engine, count(DISTINCT domain) AS n FROM l GROUP BY q, engine) SELECT engine, round(avg(n), 6) AS mean, max(n) AS most, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0 END), 6) AS empty FROM p GROUP BY engine")
+    """By engine and round: answers, distinct domains, the share of nine listed ones, domains for each answer and the five most cited."""
+    rows = in_rounds(spark, d).withColumn("round", F.col("round").cast("bigint"))
+    by = ["engine", "round"]
+    mix = rows.groupBy(*by).agg(F.count("*").alias("answers"), F.count_distinct("domain").alias("domains"), F.round(F.sum(F.when(F.col("domain") < 9, 1).otherwise(0)) / F.count("domain"), 6).alias("listed_share"), F.round(F.count("domain") / F.count("*"), 6).alias("per_answer"))
+    counts = rows.where("domain IS NOT NULL").groupBy(*by, "domain").agg(F.count("*").alias("n"))
+    first = counts.withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "domain"))).where("p <= 5")
+    top = first.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "domain"))), lambda x: x["domain"].cast("string")), ",").alias("top5"))
+    return mix.join(top, by, "left")
+
+
+@query("a22_citations_per_query", f"""WITH {LOG}, p AS (SELECT q, engine, count(DISTINCT domain) AS n FROM l GROUP BY q, engine), h AS (SELECT engine, string_agg(n || ':' || c, ' ' ORDER BY n) AS histogram FROM (SELECT engine, n, count(*) AS c FROM p GROUP BY engine, n) GROUP BY engine),
+w AS (SELECT avg(m) AS m FROM (SELECT avg(n) AS m FROM p GROUP BY q)) SELECT engine, round(avg(n), 6) AS mean, max(n) AS most, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0 END), 6) AS empty, any_value(histogram) AS histogram, round(any_value(w.m), 6) AS query_mean FROM p JOIN h USING (engine), w GROUP BY engine""")
 def a22(spark, d):
+    """Distinct domains for each query and engine: mean, most, the share without any and the histogram; and the mean over queries of their engines' means."""
     per = log(spark, d).groupBy("q", "engine").agg(F.count_distinct("domain").alias("n"))
-    return per.groupBy("engine").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.round(F.avg(F.when(F.col("n") == 0, 1.0).otherwise(0.0)), 6).alias("empty"))
+    whole = per.groupBy("engine").agg(F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"), F.round(F.avg(F.when(F.col("n") == 0, 1.0).otherwise(0.0)), 6).alias("empty"))
+    bars = per.groupBy("engine", "n").agg(F.count("*").alias("c")).groupBy("engine").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "c"))), lambda x: F.concat_ws(":", x["n"].cast("string"), x["c"].cast("string"))), " ").alias("histogram"))
+    means = per.groupBy("q").agg(F.avg("n").alias("m")).agg(F.round(F.avg("m"), 6).alias("query_mean"))
+    return whole.join(bars, "engine").crossJoin(F.broadcast(means))  # one row
 
 
 @query("a23_call_accounting", f"WITH {LOG}, r AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 2 END AS round FROM l) SELECT round::BIGINT AS round, count(DISTINCT engine) AS engines, count(DISTINCT q) AS queries, count(*) AS calls FROM r GROUP BY round")

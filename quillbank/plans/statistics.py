@@ -285,9 +285,20 @@ def j12(spark, d):
     return best_overlap(spark, d).withColumn("best", F.round("best", 6))
 
 
-@query("a21_reference_overlap", f"WITH {BEST} SELECT count(*) AS n, round(avg(best), 6) AS mean_best, count(*) FILTER (best >= 0.6) AS near_duplicates FROM j")
+@query("a21_reference_overlap", f"""WITH {BEST}, w AS (SELECT avg(len(list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> ''))) AS w FROM conversations WHERE role = 'user'), h AS (SELECT unnest({CONTENT}) AS head FROM (SELECT text FROM benchmark)), c AS (SELECT head FROM h GROUP BY head ORDER BY count(*) DESC, head LIMIT 40),
+s AS (SELECT avg((list_has_any({CONTENT}, (SELECT list(head) FROM c)))::INT) AS s FROM conversations WHERE role = 'user'), v AS (SELECT ln(1 + p_retailprice) AS v, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS p FROM part)
+SELECT count(*) AS n, round(avg(best), 6) AS mean_best, count(*) FILTER (best >= 0.6) AS near_duplicates, (SELECT round(w, 6) FROM w) AS mean_words, (SELECT round(s, 6) FROM s) AS head_share, (SELECT round(sum(v) FILTER (p <= 60) / sum(v), 6) FROM v) AS top_volume FROM j""")
 def a21(spark, d):
-    return best_overlap(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("best"), 6).alias("mean_best"), F.count(F.when(F.col("best") >= 0.6, 1)).alias("near_duplicates"))
+    """Overlap of a bank with the reference texts, its mean length, the share of it that names a head term, and the log volume of the 60 largest keywords."""
+    overlap = best_overlap(spark, d).agg(F.count("*").alias("n"), F.round(F.avg("best"), 6).alias("mean_best"), F.count(F.when(F.col("best") >= 0.6, 1)).alias("near_duplicates"))
+    heads = table(spark, d, "benchmark").select(F.explode(T.content_tokens(F.col("text"))).alias("head")).groupBy("head").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "head").limit(40).agg(F.collect_list("head").alias("heads"))
+    turns = table(spark, d, "conversations").where("role = 'user'").crossJoin(F.broadcast(heads))  # one row
+    named = F.when(F.arrays_overlap(T.content_tokens(F.col("text")), F.col("heads")), 1.0).otherwise(0.0)
+    own = turns.agg(F.round(F.avg(F.size(T.words(F.col("text")))), 6).alias("mean_words"), F.round(F.avg(named), 6).alias("head_share"))
+    volume = F.log1p("p_retailprice")
+    parts = table(spark, d, "part")
+    top = parts.orderBy(F.desc("p_retailprice"), "p_partkey").limit(60).agg(F.sum(volume).alias("t")).crossJoin(parts.agg(F.sum(volume).alias("all")))
+    return overlap.crossJoin(own).crossJoin(top.select(F.round(F.col("t") / F.col("all"), 6).alias("top_volume")))
 
 
 @query("j7_substring_join", "SELECT n_name AS form, count(*) AS n FROM nation JOIN documents ON contains(lower(text), lower(n_name)) GROUP BY 1 UNION ALL SELECT 'the', count(*) FROM documents WHERE contains(lower(text), 'the')")

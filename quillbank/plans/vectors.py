@@ -48,7 +48,7 @@ def v4(spark, d):
 @query("v5_cluster_similarity", f"WITH {CENTROIDS} SELECT a.cid AS a, b.cid AS b, round(greatest(0, {DOT('a.centroid', 'b.centroid')}), 6) AS sim FROM k a, k b")
 def v5(spark, d):
     k = K.centroids(vectors(spark, d)).select("cid", "centroid")
-    other = F.broadcast(k.select(F.col("cid").alias("b"), F.col("centroid").alias("c2")))  # clusters against clusters
+    other = K.checked(k).select(F.col("cid").alias("b"), F.col("centroid").alias("c2"))  # clusters against clusters
     return k.crossJoin(other).select(F.col("cid").alias("a"), "b", F.round(F.greatest(F.lit(0.0), N.dot(F.col("centroid"), F.col("c2"))), 6).alias("sim"))
 
 
