@@ -81,7 +81,7 @@ def sketch(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: 128 bits of a row's doc_id and text, never null: equal rows share a key, other rows have their own.
-ROW = ["_row_a", "_row_b"]
+ROW = ["_minmax_row_a", "_minmax_row_b"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -182,13 +182,14 @@ def _prefix_pairs(nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent:
     components has a member outside the shingle's most common component; that side leads.
     """
     each = sets.join(nodes.hint("merge"), "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("f"))
+    # Written, as the tables below: a join whose sides are both dealt anew can be split where one shingle is very common.
+    often = cut(each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1"))
     need = F.expr(f"CAST(n - CAST(ceil(n * {percent} / 100.0D) AS INT) + 1 AS INT)")
-    rare = each.join(often.hint("merge"), "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("all"))
+    rare = each.join(often.hint("merge"), "s", "left").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1).cast("bigint")).alias("f"), "s"))).alias("all"))
     first = rare.select("node", "n", F.posexplode(F.slice("all", F.lit(1), need)).alias("at", "x")).where("x.f > 1").select("node", "n", (F.col("n") - F.col("at")).alias("left"), "x.s")
     posted = cut(first.join(labels.hint("merge"), "node"))
-    main = posted.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("m.label").alias("main"))
-    some = posted.join(main.hint("merge"), "s")
+    main = cut(posted.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("labels")).where("labels > 1").select("s", F.col("m.label").alias("main")))
+    some = cut(posted.join(main.hint("merge"), "s"))
     lead = some.where("label <> main").select("s", F.col("node").alias("x"), F.col("label").alias("u"), F.col("n").alias("nx"), F.col("left").alias("lx"), "main")
     other = some.select("s", F.col("node").alias("y"), F.col("label").alias("v"), F.col("n").alias("ny"), F.col("left").alias("ly"))
     enough = (100 + percent) * F.least("lx", "ly") >= percent * (F.col("nx") + F.col("ny"))  # intersection >= t / (1 + t) of both sizes
@@ -252,10 +253,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     Rows are removed by doc_id and text together, so another text of the same id stays. Rows without a doc_id stay, and
     rows that repeat both the id and the text that stay.
     """
-    keyed = _keyed(docs.withColumn("_own_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("long")))
+    keyed = _keyed(docs.withColumn("_minmax_own_id", F.col("doc_id")).withColumn("doc_id", F.col("doc_id").cast("long")))
     found = _grouped(keyed.select("doc_id", "text", *ROW), width, percent)
     gone = cut(found.where("n_shingles > 0 AND doc_id <> component_id").select(*ROW).distinct())
-    return keyed.join(gone.hint("merge"), ROW, "left_anti").withColumn("doc_id", F.col("_own_id")).select(*docs.columns)
+    return keyed.join(gone.hint("merge"), ROW, "left_anti").withColumn("doc_id", F.col("_minmax_own_id")).select(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
