@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillbank.functions import numbers as N
+from quillbank.session import ship
 
 #: Rows of a group that an eigenvalue problem or a discriminator is given at most, by a hash of the id (the operator's own sample).
 VENDI_ROWS, DISCRIMINATOR_ROWS = 400, 1200
@@ -63,6 +64,7 @@ def fit_kmeans(vectors: DataFrame, asked: list[tuple[int, int]], cosine: bool =
     All models and all their starts are fitted together: an iteration is one pass over the vectors, in which each
     partition adds up its rows by model and centroid, so what comes to the driver is as large as the models.
     """
+    ship(vectors.sparkSession)
     rows = vectors.select("id", (N.normalize(N.as_doubles(F.col("v"))) if cosine else N.as_doubles(F.col("v"))).alias("v")).persist()
     some = np.array([r["v"] for r in sampled(rows, [], SEED_ROWS).orderBy("id").collect()])
     models = [[Lloyd(first_centroids(some, k, cosine, seed + 101 * r), cosine, seed + 101 * r) for r in range(restarts)] for k, seed in asked]
@@ -107,6 +109,7 @@ def fit_kmeans(vectors: DataFrame, asked: list[tuple[int, int]], cosine: bool =
 
 def assigned(vectors: DataFrame, centroids: np.ndarray, cosine: bool = True) -> DataFrame:
     """id and cid, the nearest of ``centroids`` (a model of bounded size)."""
+    ship(vectors.sparkSession)
     model = Lloyd(centroids, cosine, 0)
 
     def run(batches):
@@ -177,6 +180,7 @@ def folds(y: np.ndarray, seed: int) -> np.ndarray:
 
 def held_out_auc(rows: DataFrame, seeds: list[int]) -> DataFrame:
     """seed, auc: a discriminator of label 1 against 0 (id, x, y), fitted on a seeded 70 % of either class and scored on the rest."""
+    ship(rows.sparkSession)
     one = sampled(rows, ["y"], DISCRIMINATOR_ROWS).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,6 +196,7 @@ def held_out_auc(rows: DataFrame, seeds: list[int]) -> DataFrame:
 def held_out_gram_auc(rows: DataFrame, seeds: list[int], least: int = 3, most: int = 250) -> DataFrame:
     """As ``held_out_auc``, from rows (id, y, size, grams: array of (g, n)): the features are the shares of those grams
     that are the most frequent by document in the training fold, so the vocabulary never sees the scored rows."""
+    ship(rows.sparkSession)
     one = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -292,6 +297,8 @@ def irt(responses: DataFrame, key: str, steps: int = 3000) -> DataFrame:
     The takers are a universe of bounded size chosen beforehand, so a key's matrix is small.
     """
 
+    ship(responses.sparkSession)
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         succ, trials = (pdf.pivot_table(index="item", columns="taker", values=c, aggfunc="sum", fill_value=0).sort_index() for c in ("succ", "trials"))
         a, b, _ = fit_2pl(succ.to_numpy(float), trials.to_numpy(float), steps)
@@ -307,6 +314,7 @@ def irt_replicates(cells: DataFrame, replicates: DataFrame, steps: int) -> DataF
     kind 'whole' takes all takers, 'boot' as many drawn with replacement, 'half' one of two disjoint halves (side 0 or 1).
     The cells, a universe chosen beforehand, go to every fit; the fits run side by side.
     """
+    ship(cells.sparkSession)
     matrix = cells.toPandas()
     succ, trials = (matrix.pivot_table(index="item", columns="taker", values=c, aggfunc="sum", fill_value=0).sort_index() for c in ("succ", "trials"))
     items, succ, trials = list(succ.index), succ.to_numpy(float), trials.to_numpy(float)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillbank.functions import numbers as N
+from quillbank.session import ship
 
 #: Clusters times dimensions that are sent to executors at most (64 MB of doubles).
 MODEL_CELLS = 8_000_000
@@ -36,6 +37,7 @@ def nearest(vectors: DataFrame, clusters: DataFrame, exclude: str | None = None)
 
     ``exclude`` names a column of ``vectors``, a cid that is not to be chosen. Zero vectors have similarity 0 to all.
     """
+    ship(vectors.sparkSession)
     cells = clusters.select(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
     if cells > MODEL_CELLS:
         return _nearest_by_join(vectors, clusters, exclude)

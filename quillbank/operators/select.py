@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillbank.functions import numbers as N
 from quillbank.operators.nearest import MODEL_CELLS
+from quillbank.session import ship
 
 BATCH = 1000
 DIGITS = 9
@@ -57,6 +58,7 @@ class Farthest(Marginal):
 
 def select(items: DataFrame, rule, budget: int, batch: int = BATCH) -> list[tuple[int, float]]:
     """(id, score when picked) in the order of picks, from items (id, v: unit vector, r)."""
+    ship(items.sparkSession)
     items = items.select("id", N.as_doubles(F.col("v")).alias("v"), F.coalesce("r", F.lit(0.0)).alias("r"))
     picked: list[tuple[int, float]] = []
     while len(picked) < budget:

@@ -6,12 +6,14 @@ class is 0.5, the Jaccard of two empty sets is null.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillbank.session import dense_index
+from quillbank.session import dense_index, ship
 
 
 def ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
@@ -48,15 +50,64 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, keys: list[str], item: str, x: str, y: str) -> DataFrame:
-    """tau-b over all pairs of a group's items, for groups of some hundred items (domains, engines)."""
+    """tau-b: over all pairs of each group's items, for groups of some hundred (domains, engines); without keys over all rows."""
+    if not keys:
+        return _kendall_of_all(df, x, y)
     a = df.select(*keys, F.col(item).alias("_i"), F.col(x).alias("_x1"), F.col(y).alias("_y1"))
     b = df.select(*keys, F.col(item).alias("_j"), F.col(x).alias("_x2"), F.col(y).alias("_y2"))
     dx, dy = F.signum(F.col("_x1") - F.col("_x2")), F.signum(F.col("_y1") - F.col("_y2"))
-    pairs = (a.join(b, keys) if keys else a.crossJoin(b)).where("_i < _j").select(*keys, dx.alias("dx"), dy.alias("dy"))
+    pairs = a.join(b, keys).where("_i < _j").select(*keys, dx.alias("dx"), dy.alias("dy"))
     sums = pairs.groupBy(*keys).agg(F.sum(F.col("dx") * F.col("dy")).alias("_s"), F.sum(F.abs("dx")).alias("_px"), F.sum(F.abs("dy")).alias("_py"))
     return sums.select(*keys, ratio(F.col("_s"), F.sqrt(F.col("_px") * F.col("_py"))).alias("tau"))
 
 
+def inversions(values: np.ndarray) -> int:
+    """Pairs of places of which the earlier has the greater value."""
+    if len(values) <= 64:
+        return int(np.triu(values[:, None] > values[None, :], 1).sum())
+    first, second = values[: len(values) // 2], values[len(values) // 2 :]
+    across = len(first) * len(second) - int(np.searchsorted(np.sort(first), second, "right").sum())
+    return inversions(first) + inversions(second) + across
+
+
+#: Rows of a block of places, at least, and blocks at most.
+BLOCK_ROWS, BLOCKS = 100_000, 1_000
+
+
+def _kendall_of_all(df: DataFrame, x: str, y: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: tau-b without making pairs. Rows without x or y take no part.
+
+    Each row has a place by (x, y) and one by y; discordant pairs are the inversions between the two orders. They are
+    counted inside blocks of the first order, inside blocks of the second, and from the sizes of the blocks' meets.
+    """
+    ship(df.sparkSession)
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"))
+    placed = dense_index(dense_index(rows, "_x", "_y", name="_p"), "_y", "_p", name="_q")
+    n = placed.count()
+    size = max(block_rows, -(-n // BLOCKS))
+    both = placed.select("_p", "_q", F.floor(F.col("_p") / size).alias("_a"), F.floor(F.col("_q") / size).alias("_b"))
+
+    def inside(order: str, value: str):
+        def count(table: pa.Table) -> pa.Table:
+            return pa.table({"n": pa.array([inversions(table.sort_by(order).column(value).to_numpy())], pa.int64())})
+
+        return count
+
+    first = both.groupBy("_a").applyInArrow(inside("_p", "_q"), "n bigint")
+    second = both.groupBy("_b").applyInArrow(inside("_q", "_a"), "n bigint")
+    discordant = int(first.unionByName(second).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    meets = np.zeros((-(-n // size), -(-n // size)))
+    for r in both.groupBy("_a", "_b").agg(F.count("*").alias("n")).collect():  # BLOCKS squared at most
+        meets[r["_a"], r["_b"]] = r["n"]
+    before = np.vstack([np.zeros((1, meets.shape[1])), meets.cumsum(axis=0)[:-1]]) if n else meets  # earlier blocks of the first order
+    later = before[:, ::-1].cumsum(axis=1)[:, ::-1] - before  # and later ones of the second
+    discordant += int((meets * later).sum())
+    ties = lambda *c: rows.groupBy(*c).agg(F.count("*").alias("t")).agg(F.coalesce(F.sum(F.expr("t * (t - 1) DIV 2")), F.lit(0))).first()[0]
+    pairs, tx, ty, txy = n * (n - 1) // 2, ties("_x"), ties("_y"), ties("_x", "_y")
+    spread = math.sqrt((pairs - tx) * (pairs - ty))
+    return df.sparkSession.createDataFrame([((pairs - tx - ty + txy - 2 * discordant) / spread if spread else 0.0,)], "tau double")
+
+
 def auc(df: DataFrame, keys: list[str], score: str, label: str, order: str) -> DataFrame:
     """Mann-Whitney AUC from 1-based places by score, ``order`` deciding ties; 0.5 where a class is missing."""
     if keys:
@@ -118,6 +169,7 @@ def random_halves(cells: DataFrame, splits: int) -> DataFrame:
     ``cells`` has g, unit (an integer), domain and n. Each partition adds up its own cells for all splits at once, so
     rows are not multiplied by the number of splits; domains are a universe of bounded size.
     """
+    ship(cells.sparkSession)
     kind = cells.schema["g"].dataType.simpleString()
 
     def run(batches):

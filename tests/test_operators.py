@@ -264,3 +264,18 @@ def test_settings_never_override_and_calls_stop_at_bad_requests(spark):
 
     got = {r.key: (r.status, r.body, r.attempts, r.waited) for r in files.called(spark.createDataFrame([(k,) for k in (0, 1, 3, 9)], "key long"), "key", call, sleep=False).collect()}
     assert got == {0: (200, "ok", 1, 0.0), 1: (400, None, 1, 0.0), 3: (200, "ok", 4, 7.0), 9: (503, None, 6, 31.0)}
+
+
+@pytest.mark.parametrize("block_rows", [7, 100_000])
+def test_kendall_of_all_rows_is_that_of_all_pairs(spark, block_rows):
+    r = np.random.default_rng(9)
+    for top in (5, 1000):
+        x, y = r.integers(0, top, 150), r.integers(0, top, 150)
+        s = px = py = 0
+        for i, j in itertools.combinations(range(150), 2):
+            a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+            s, px, py = s + a * b, px + abs(a), py + abs(b)
+        frame = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y)] + [(1, None)], "x long, y long").repartition(4)
+        assert S._kendall_of_all(frame, "x", "y", block_rows).first().tau == pytest.approx(s / math.sqrt(px * py))
+    assert S.kendall(frame.limit(0), [], "x", "x", "y").first().tau == 0.0
+    assert S.inversions(np.array([3, 1, 2] * 50)) == sum(a > b for a, b in itertools.combinations([3, 1, 2] * 50, 2))
