@@ -8,39 +8,22 @@ import gc
 import tempfile
 import time
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillbank.session import ship  # noqa: F401  the operators take it from here
+
 #: ASCII white space as the contracts define it: 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_shipped: set[str] = set()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers can import it wherever they run."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    _shipped.add(sc.applicationId)
-
-
 _made: list[str] = []
 
 
