@@ -279,3 +279,15 @@ def test_kendall_of_all_rows_is_that_of_all_pairs(spark, block_rows):
         assert S._kendall_of_all(frame, "x", "y", block_rows).first().tau == pytest.approx(s / math.sqrt(px * py))
     assert S.kendall(frame.limit(0), [], "x", "x", "y").first().tau == 0.0
     assert S.inversions(np.array([3, 1, 2] * 50)) == sum(a > b for a, b in itertools.combinations([3, 1, 2] * 50, 2))
+
+
+@pytest.mark.parametrize("block_cells", [40, 10**6])
+def test_a_cluster_for_each_item_is_selected_in_blocks(spark, block_cells):
+    x = unit(50, 5, 11) * (1 + np.arange(50) % 3)[:, None]
+    x[7] = 0
+    r, length = 0.1 * (np.arange(50) % 3), np.linalg.norm(x, axis=1, keepdims=True)
+    each = x / np.where(length > 0, length, 1)
+    items, _ = frames(spark, x, each)
+    got = Q.select_each(items, 20.0, [0.0, 0.7], 6, block_cells)
+    for lam, picked in got.items():
+        assert [i for i, _ in picked] == plain(x, r, Q.Facility(each, np.full(50, 0.4), lam), 6)
