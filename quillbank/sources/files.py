@@ -32,13 +32,26 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+#: How a null is written in CSV; a text of backslashes before an N is written with one more.
+NULL_FIELD, NULL_LIKE = "\\N", "^\\\\+N$"
+#: Blanks at either end of a field are its own, and only \n ends a line: what stands in a text is never taken for the separator.
+CSV = {"header": True, "escape": '"', "lineSep": "\n", "nullValue": NULL_FIELD, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _texts(df: DataFrame, change: Callable) -> DataFrame:
+    return df.select(*[change(F.col(f"`{c}`")).alias(c) if kind == "string" else F.col(f"`{c}`") for c, kind in df.dtypes])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """All fields quoted, quotes doubled; line ends inside fields stay."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    """All fields quoted, quotes doubled; line ends and blanks inside fields stay."""
+    shown = _texts(df, lambda c: F.when(c.rlike(NULL_LIKE), F.concat(F.lit("\\"), c)).otherwise(c))
+    shown.write.mode("overwrite").options(**CSV).option("quoteAll", True).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    """What ``write_csv`` wrote, character for character."""
+    rows = spark.read.schema(schema).options(**CSV).option("multiLine", True).csv(path)
+    return _texts(rows, lambda c: F.when(c.rlike(NULL_LIKE), F.substr(c, F.lit(2))).otherwise(c))
 
 
 def cached_fetch(wanted: DataFrame, cache: DataFrame, key: str, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:

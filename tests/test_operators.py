@@ -132,6 +132,13 @@ def test_csv_with_quotes_and_line_ends(spark):
     assert got == rows
 
 
+def test_csv_gives_back_every_character(spark):
+    odd = ["", None, " lead", "trail ", "\t", "\n", "a\n\n", '\n"', '"\n', "\r", "\r\n", "a\r\nb", "a\rb", "\x00x", "\x1f", '"', '""', '","', "\\", '\\"', "\\N", "\\\\N", "\\N\n", "N", "null", "#c", "\u00a0\ufeff\u2028"]
+    path = files.scratch_path(spark)
+    files.write_csv(spark.createDataFrame(list(enumerate(odd)), "i bigint, t string").coalesce(1), path)
+    assert dict(files.read_csv(spark, path, "i bigint, t string").collect()) == dict(enumerate(odd))
+
+
 def test_item_response_takes_the_steps_of_the_reference():
     import numpy as np
 
