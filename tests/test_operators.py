@@ -46,6 +46,26 @@ def test_batched_selection_is_the_plain_greedy_order(spark, make):
         assert [i for i, _ in Q.select(items, make(c, w), 12, batch)] == plain(x, r, make(c, w), 12)
 
 
+def result_mb(spark, work):
+    """What ``work`` gives and the MB of all its tasks' results, from the application's status."""
+    tracker, jvm = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc()
+    group = f"sent-{id(work)}"
+    spark.sparkContext.setJobGroup(group, "")
+    got = work()
+    stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
+    spark.sparkContext._jvm.java.lang.Thread.sleep(1000)  # the status follows the events
+    return got, sum(jvm.statusStore().lastStageAttempt(i).resultSize() for i in stages) / 1e6
+
+
+def test_a_round_of_selection_sends_one_batch_to_the_driver(spark):
+    x, c = unit(4000, 16, 21), unit(4, 16, 22)
+    items = frames(spark, x, c)[0].repartition(16).persist()
+    items.count()
+    _, one = result_mb(spark, lambda: Q._best(items.coalesce(1), Q.Facility(c, np.ones(4), 0.0), [], 250))
+    _, many = result_mb(spark, lambda: Q._best(items, Q.Facility(c, np.ones(4), 0.0), [], 250))
+    assert many < one + 0.2  # beyond the batch only each task's own figures
+
+
 def test_greedy_is_near_the_best_subset():
     x, c, w = unit(9, 4, 3), unit(3, 4, 4), np.array([1.0, 2.0, 3.0])
     value = lambda s: sum(w[k] * max(0, max(x[i] @ c[k] for i in s)) for k in range(3))
