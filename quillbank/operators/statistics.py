@@ -6,6 +6,7 @@ class is 0.5, the Jaccard of two empty sets is null.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -163,33 +164,31 @@ def disattenuated(rho: Column, r1: Column, r2: Column) -> Column:
 SIDE = (7919, 104729, 1009)
 
 
+@functools.lru_cache(1)
+def _first_side() -> np.ndarray:
+    """Row u, column c: 1 where (u * SIDE[0] + c) mod SIDE[2] is even."""
+    c = np.arange(SIDE[2])
+    return ((c[:, None] * SIDE[0] + c[None]) % SIDE[2] % 2 == 0).astype(np.float64)
+
+
 def random_halves(cells: DataFrame, splits: int) -> DataFrame:
     """g, b, domain, x and y: what either half of the units cites of each domain, for ``splits`` random halvings.
 
-    ``cells`` has g, unit (an integer), domain and n. Each partition adds up its own cells for all splits at once, so
-    rows are not multiplied by the number of splits; domains are a universe of bounded size.
+    ``cells`` has g, unit (an integer), domain and n. A unit's sides follow from its remainder by SIDE[2], and so units of
+    one remainder are one; a task then holds the remainders of one domain, whatever the number of units and domains.
     """
     ship(cells.sparkSession)
     kind = cells.schema["g"].dataType.simpleString()
-
-    def run(batches):
-        held: dict[tuple, list[np.ndarray]] = {}
-        for batch in batches:
-            unit, n = batch.column("unit").to_numpy(), batch.column("n").to_numpy()
-            each, place = np.unique(unit, return_inverse=True)
-            members: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(batch.column("g").to_pylist(), batch.column("domain").to_pylist(), strict=True)):
-                members.setdefault(key, []).append(i)
-            side = ((each[:, None] * SIDE[0] + np.arange(splits)[None] * SIDE[1]) % SIDE[2] % 2).astype(bool)
-            for key, rows in members.items():
-                first = np.zeros(splits, np.int64)
-                for lo in range(0, len(rows), 512):
-                    some = rows[lo : lo + 512]
-                    first += n[some] @ ~side[place[some]]
-                total, x = held.setdefault(key, [np.int64(0), np.zeros(splits, np.int64)])
-                held[key] = [total + n[rows].sum(), x + first]
-        for (g, domain), (total, x) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([g] * splits), pa.array(np.arange(splits)), pa.array([domain] * splits, pa.int64()), pa.array(x), pa.array(total - x)], names=["g", "b", "domain", "x", "y"])
-
-    parts = cells.select("g", F.col("unit").cast("bigint").alias("unit"), F.col("domain").cast("bigint").alias("domain"), F.col("n").cast("bigint").alias("n"))
-    return parts.mapInArrow(run, f"g {kind}, b bigint, domain bigint, x bigint, y bigint").groupBy("g", "b", "domain").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    at = np.arange(splits) * SIDE[1] % SIDE[2]
+
+    def run(table: pa.Table) -> pa.Table:
+        n = np.zeros(SIDE[2])
+        n[table.column("u").to_numpy()] = table.column("n").to_numpy()  # whole numbers, exact in a double
+        x = np.rint(n @ _first_side()).astype(np.int64)[at]
+        key = {c: pa.array([table.column(c)[0].as_py()] * splits, table.schema.field(c).type) for c in ("g", "domain")}
+        return pa.table({"g": key["g"], "b": np.arange(splits), "domain": key["domain"], "x": x, "y": np.int64(n.sum()) - x})
+
+    known = F.when(F.col("unit").isNotNull(), F.col("n")).otherwise(0)  # without a unit on neither side
+    parts = cells.select("g", F.pmod(F.coalesce(F.col("unit").cast("bigint"), F.lit(0)), F.lit(SIDE[2])).alias("u"), F.col("domain").cast("bigint").alias("domain"), known.cast("bigint").alias("n"))
+    summed = parts.groupBy("g", "domain", "u").agg(F.sum("n").alias("n"))
+    return summed.groupBy("g", "domain").applyInArrow(run, f"g {kind}, b bigint, domain bigint, x bigint, y bigint")

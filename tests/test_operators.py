@@ -230,6 +230,14 @@ def test_random_halves_equal_a_plain_count(spark):
     assert got == want
 
 
+def test_random_halves_hold_one_domain_of_remainders(spark):
+    """Units of one remainder are one before Python sees them, and a unit that is null is on neither side."""
+    seen = spark.createDataFrame([(0, u, 3, 1) for u in (5, 5 + 1009, 5 - 1009)] + [(0, None, 3, 7), (0, None, 4, 7)], "g long, unit long, domain long, n long")
+    got = {(q.b, q.domain): (q.x, q.y) for q in S.random_halves(seen, 40).collect()}
+    side = [(5 * 7919 + b * 104729) % 1009 % 2 for b in range(40)]
+    assert got == {(b, k): ((3, 0) if s == 0 else (0, 3)) if k == 3 else (0, 0) for b, s in enumerate(side) for k in (3, 4)}
+
+
 def test_keyless_ranks_share_ties(spark):
     rows = spark.createDataFrame([(v,) for v in (3.0, 1.0, 3.0, 2.0, 3.0)], "x double")
     assert sorted((q.x, q.r) for q in S.average_ranks(rows, [], "x", "r").collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 4.0), (3.0, 4.0), (3.0, 4.0)]
