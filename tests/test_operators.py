@@ -194,6 +194,14 @@ def test_kmeans_is_lloyd_from_the_same_starts(spark):
         assert [told[i] for i in range(300)] == M.Lloyd(centroids, cosine, 0).nearest(x)[0].tolist()
 
 
+def test_kmeans_sends_each_model_once_to_the_driver(spark):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit(4000, 32, 8))], "id bigint, v array<double>")
+    fit = lambda parts: result_mb(spark, lambda: M.fit_kmeans(rows.repartition(parts, "id"), [(100, 1)], restarts=2, max_iter=3))
+    (few, one), (many, wide) = fit(2), fit(24)
+    assert few[0][1] == pytest.approx(many[0][1])
+    assert wide < one + 24 * 4 * 0.03  # two starts of 0.026 MB each; beyond them only each task's own figures
+
+
 def test_a_centroid_without_rows_is_seeded_again():
     model = M.Lloyd(np.array([[1.0, 0.0], [0.0, 1.0]]), True, 1)
     model.update(np.array([[2.0, 0.0], [0.0, 0.0]]), np.array([2, 0]), np.array([[0.6, 0.8]]))
